@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skein.llm import simhash
+from skein.llm import simhash, toxicity
 
 QUERIES: dict = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_toxicity": toxicity.op3_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
