@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import simhash, suffix_dedup, toxicity
+from skein.llm import decontam, simhash, suffix_dedup, toxicity
 
 QUERIES: dict = {
     "op2_simhash": simhash.op2_simhash,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op10_decontaminate": decontam.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
