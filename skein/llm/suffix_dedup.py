@@ -31,10 +31,10 @@ from skein.llm.common import column, load, slices, stored
 
 LENGTH = 200
 GRAM = 40
-BIG_BUCKET = 100_000
+BIG_BUCKET = 10_000
 #: Bytes of contexts that a block holds, and suffixes that are sorted at a time.
-BLOCK_BYTES = 4 << 20
-BLOCK_SUFFIXES = 1 << 18
+BLOCK_BYTES = 1 << 20
+BLOCK_SUFFIXES = 1 << 17
 _SLICE = 1 << 20
 _POSITION_BITS = 30
 _U = np.uint64
@@ -128,6 +128,7 @@ class CoverSorter:
     """
 
     def __init__(self, data: bytes, length: int = LENGTH, period: int = 64):
+        period = min(period, length)
         self.length, self.period, self.n = length, period, len(data)
         padded = np.frombuffer(data + bytes(2 * length + period + 16), np.uint8)
         self.words = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
@@ -139,9 +140,15 @@ class CoverSorter:
         self.shift = np.array([int(np.argmax(both[r:])) for r in range(period)])
         self.inside = inside
         sample = np.flatnonzero(inside[np.arange(self.n + period) % period])
-        order, group = self._refine(sample, np.zeros(len(sample), np.int64), 0, length)
-        self.ranks = np.zeros(self.n + period + 1, np.int64)
-        self.ranks[order] = group
+        pos, group = self._refine(sample, np.zeros(len(sample), np.int64), 0, period)
+        self.ranks = np.zeros(self.n + length + 4 * period, np.int32)
+        self.ranks[pos] = group
+        # A cover position plus the period is one again, so the ranks of `reach` bytes give those of twice as many.
+        reach = period
+        while reach < length:
+            pos, group = self._split(pos, group, self.ranks[pos + reach])
+            self.ranks[pos] = group
+            reach *= 2
 
     def _refine(self, pos: np.ndarray, group: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """pos in order, and the number of each one's class, after comparing bytes begin to end; only ties are read on."""
@@ -153,17 +160,34 @@ class CoverSorter:
             key = self.words[np.minimum(pos[live] + d, len(self.words) - 1)].astype(_U)
             if d + 8 > end:
                 key &= ~_U((1 << (8 * (d + 8 - end))) - 1)
-            order = np.lexsort((key, group[live]))
-            moved, key, old = pos[live][order], key[order], group[live][order]
-            pos[live] = moved
-            new = np.ones(len(live), bool)
-            new[1:] = (old[1:] != old[:-1]) | (key[1:] != key[:-1])
-            # a class is numbered by its first place in the whole order
-            heads = np.flatnonzero(new)
-            group[live] = live[np.repeat(heads, np.diff(np.append(heads, len(live))))]
-            tied = ~new
-            tied[:-1] |= ~new[1:]
-            live = live[tied]
+            live = live[self._order(pos, group, live, key)]
+        return pos, group
+
+    @staticmethod
+    def _order(pos: np.ndarray, group: np.ndarray, live: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Orders the places `live` by class and key, in place; which of them are still tied."""
+        order = np.lexsort((key, group[live]))
+        key, old = key[order], group[live][order]
+        pos[live] = pos[live][order]
+        new = np.ones(len(live), bool)
+        new[1:] = (old[1:] != old[:-1]) | (key[1:] != key[:-1])
+        # a class is numbered by its first place in the whole order
+        heads = np.flatnonzero(new)
+        group[live] = live[np.repeat(heads, np.diff(np.append(heads, len(live))))]
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        return tied
+
+    def _split(self, pos: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes in order, split by another key."""
+        pos, group = pos.copy(), group.copy()
+        same = group[1:] == group[:-1]
+        tied = np.zeros(len(pos), bool)
+        tied[1:] |= same
+        tied[:-1] |= same
+        live = np.flatnonzero(tied)
+        if len(live):
+            self._order(pos, group, live, key[live])
         return pos, group
 
     def _compare(self, i: int, j: int) -> int:
