@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from skein.llm import decontam, sentencepiece_ops, simhash, suffix_dedup, toxicity
+from skein.llm import decontam, fingerprints, sentencepiece_ops, simhash, suffix_dedup, toxicity
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece_ops.op1_sentencepiece,
     "op2_simhash": simhash.op2_simhash,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
