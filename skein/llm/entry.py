@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import decontam, fingerprints, sentencepiece_ops, simhash, suffix_dedup, toxicity
+from skein.llm import decontam, fingerprints, licenses, sentencepiece_ops, simhash, suffix_dedup, toxicity
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece_ops.op1_sentencepiece,
@@ -10,6 +10,7 @@ QUERIES: dict = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_license_scan": licenses.op6_license_scan,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
