@@ -366,7 +366,8 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def repeated_windows(keyed: DataFrame, big_bucket: int = BIG_BUCKET) -> DataFrame:
     """(k1, k2, a, b): ranges of window starts that repeat, for rows (k1, k2, text, ...); ranges may touch or overlap."""
-    stats = (
+    # A table of its own, so that the join below reads two plain exchanges and Spark can split a hot anchor.
+    stats = stored(
         keyed.select("text").mapInArrow(_count_runs, "ah long, ch long, c long").groupBy("ah")
         .agg(F.sum("c").alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1").select("ah", (F.col("lo") != F.col("hi")).alias("mixed"))
     )
