@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import decontam, fingerprints, licenses, sentencepiece_ops, simhash, suffix_dedup, toxicity
+from skein.llm import chat, decontam, fingerprints, licenses, sentencepiece_ops, simhash, suffix_dedup, toxicity, url_filters, warc
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece_ops.op1_sentencepiece,
@@ -11,7 +11,12 @@ QUERIES: dict = {
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_warc": warc.op7_warc,
+    "op8_url_filters": url_filters.op8_url_filters,
+    "op9_chat_format": chat.op9_chat_format,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filters": url_filters.OP8_SQL,
+}
