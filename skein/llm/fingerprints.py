@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import load
 
-SAMPLES = 16
+SAMPLES = 24
 ROWS_PER_RANGE = 1_000
 MAX_RANGES = 4_096
 _LEAST = -(1 << 63)
@@ -99,7 +99,7 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     guests = first.groupBy("host").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("g")).select(
         F.lit(_LEAST).alias("key"), F.lit(None).cast("long").alias("id"), F.col("g.text").alias("text"), F.col("host").alias("part"), F.lit(1).alias("guest")
     )
-    full = rows.withColumn("guest", F.lit(0)).unionByName(guests)
+    full = rows.withColumn("guest", F.lit(0)).unionByName(guests).repartition(len(heads), "part")
     order = Window.partitionBy("part").orderBy("guest", F.col("key").desc(), F.xxhash64("text"))
     return full.select("part", F.row_number().over(order).alias("place"), "guest", "id", "text", F.lead("text").over(order).alias("next_text"))
 
@@ -120,8 +120,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str, samples: int = SAMPLES) -
     texts = F.when(F.col("guest") == 1, F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")))).otherwise(
         F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), change.alias("t")))
     )
-    both = rows.select("part", "place", F.inline(texts))
-    prints = _weighed(both, ["part", "place", "v"], "t", samples)
+    # doc_id goes along so that this reads the same columns as `facts`: Spark then deals the texts out once for both.
+    both = rows.select("part", "place", F.col("id").alias("doc_id"), F.inline(texts))
+    prints = _weighed(both, ["part", "place", "doc_id", "v"], "t", samples)
     order = Window.partitionBy("part").orderBy("place", "v")
     names = [f"s{k}" for k in range(samples)]
     near = lambda step: sum((F.when(F.col(s) == F.lead(s, step).over(order), 1).otherwise(0) for s in names), F.lit(0)) / F.lit(float(samples))
