@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, load, slices, texts_of
+from skein.llm.common import column, load, slices, texts_of, tidy
 
 Q = 8
 #: Edits allowed, as a share of an item's characters.
@@ -217,6 +217,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     for k, index in enumerate(_indexes(spark, benchmark)):
         shared = spark.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in slices(batches, limit=2 << 20):
@@ -242,6 +243,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in _indexes(spark, benchmark):
         shared = spark.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, limit=2 << 20):
                 bad = {f[0] for f in find(shared.value, texts_of(batch))}

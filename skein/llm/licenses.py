@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, load, slices, texts_of
+from skein.llm.common import column, load, slices, texts_of, tidy
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -204,6 +204,7 @@ def licence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, label, template, first_word, last_word, covered) of every span in docs. Null and empty texts have none."""
     machine = LicenceAutomaton(templates)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = [(i, machine.labels[k], k, a, b, c) for i, t in zip(column(batch, "id").to_pylist(), texts_of(batch), strict=True) for k, a, b, c in machine.report(t)[2]]
@@ -223,6 +224,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """
     machine = LicenceAutomaton(templates)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [label for _, label in machine.phrases]
         for batch in slices(batches):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, load, slices, texts_of
+from skein.llm.common import column, load, slices, texts_of, tidy
 
 #: The vocabulary file of the query and the pipeline; a parameter of every operator here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,7 +40,7 @@ BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Words longer than this are encoded one at a time with the same transitions.
 _LONG = 48
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 250_000
 #: Stable pairs are kept in a table of fixed size; a newer pair takes the place of an older one with the same slot.
 _PAIR_BITS = 21
 _U = np.uint64
@@ -278,6 +278,7 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str | None = None, text_col
     A column that is already named ids_col is replaced.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path, kind)
         for batch in slices(batches, text_col):
@@ -285,6 +286,7 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str | None = None, text_col
             ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
+        pieces.memo.clear()
 
     docs = docs.drop(ids_col)
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias(ids_col)).schema)
@@ -293,6 +295,7 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str | None = None, text_col
 def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the text of each array of ids; null arrays give an empty text, ids outside the model fail."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
@@ -306,6 +309,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col: s
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:
     """Every document's ids as a digest, their number, and the digest of the text decoded from them."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in slices(batches):
@@ -322,6 +326,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = MODEL) -> Da
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
             )
+        pieces.memo.clear()
 
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, components, cut, load, slices
+from skein.llm.common import column, components, cut, load, slices, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -66,6 +66,7 @@ def _majority(hashes: np.ndarray) -> int:
     return out
 
 
+@tidy
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = column(batch, "text").cast(pa.binary()).to_pylist()

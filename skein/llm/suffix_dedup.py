@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, load, slices, stored
+from skein.llm.common import column, load, slices, stored, tidy
 
 LENGTH = 200
 GRAM = 40
@@ -257,6 +257,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+@tidy
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ah, ch, c): runs by anchor and context, counted within each slice so that copies leave the task as one row."""
     for batch in slices(batches, limit=_SLICE):
@@ -268,6 +269,7 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(x[heads]), _signed(y[heads]), pa.array(np.diff(np.append(heads, len(x))))], ["ah", "ch", "c"])
 
 
+@tidy
 def _place_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k1, k2, ah, ch, p, a, b): the runs with their places."""
     for batch in slices(batches, limit=_SLICE):
@@ -283,6 +285,7 @@ def _place_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CONTEXT = "ah long, c long, k1 long, k2 long, p int, a int, b int, bytes binary"
 
 
+@tidy
 def _fetch_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["ah", "c", "k1", "k2", "p", "a", "b", "bytes"]
     for batch in slices(batches):
@@ -327,6 +330,7 @@ def sort_contexts(rows: list[tuple], period: int = 64) -> list[tuple[int, int, i
     return out
 
 
+@tidy
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts in order of their buckets, a block of whole buckets at a time."""
     held: list[tuple] = []
@@ -400,6 +404,7 @@ def cut_ranges(data: bytes, ranges: list[int] | None, length: int = LENGTH) -> t
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
+@tidy
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = _binary(batch, "text")

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, cut, load, slices, texts_of
+from skein.llm.common import column, cut, load, slices, texts_of, tidy
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 #: Distinct words whose buckets a worker remembers at a time.
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 150_000
 
 
 def word_buckets(word: str) -> list[int]:
@@ -53,7 +53,7 @@ class _Terms:
             if got is None:
                 got = word_buckets(word)
                 if self.slot is not None:
-                    got = [s for s in self.slot[got].tolist() if s >= 0]
+                    got = tuple(s for s in self.slot[got].tolist() if s >= 0)
                 if len(memo) >= _MEMO_WORDS:
                     memo.clear()
                 memo[word] = got
@@ -141,6 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_featur
     sample = spark.createDataFrame(sample.toPandas(), "id long, y int")  # max_rows at most
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id").select("text", "y"))
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, total = _Terms(), np.zeros((2, BUCKETS), np.int64)
         for batch in slices(batches):
@@ -159,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_featur
     slot = np.full(BUCKETS, -1, np.int32)
     slot[counts["bucket"].to_numpy()[order]] = np.arange(len(order), dtype=np.int32)
 
+    @tidy
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(slot)
         for batch in slices(batches):
@@ -171,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_featur
 
 
 def scorer(model: FactorizationMachine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(model.slot)
         for batch in slices(batches):
@@ -184,6 +187,7 @@ def scorer(model: FactorizationMachine) -> Callable[[Iterator[pa.RecordBatch]],
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """(id, score) for each row: 0 to 1. A null or empty text scores as one without terms; repeated rows score alike."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(model.slot)
         for batch in slices(batches):
