@@ -1,19 +1,21 @@
-"""The registry of named queries with the SQL that states the same result."""
+"""All queries of the engine, gathered from the modules that state them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.session import load
+from skein.plans import memory_queries, relational_queries, retrieval_queries  # noqa: F401
+from skein.plans.registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").groupBy("lang").count()
+    """Hybrid retrieval: sparse and dense legs for a batch of questions, merged and cut to the best."""
+    return retrieval_queries.hybrid_merge(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
