@@ -60,19 +60,27 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         yield batch.slice(start)
 
 
+def _release() -> None:
+    """Memory that is free again goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, returning the memory it used to the system at the end of a task: Python workers live on and wait beside those of later stages."""
+    """run, returning unused memory now and then and at the end of a task: Python workers live on and wait beside those of later stages."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for k, batch in enumerate(run(batches)):
+                yield batch
+                if k % 16 == 15:
+                    _release()
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            libc = ctypes.util.find_library("c")
-            if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
-                trim.malloc_trim(0)
+            _release()
 
     return wrapped
 

@@ -220,7 +220,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in slices(batches, limit=2 << 20):
+            for batch in slices(batches, limit=1 << 20):
                 found = find(index, texts_of(batch))
                 at = pa.array([f[0] for f in found], pa.int64())
                 cols = [pa.array([index.ids[f[1]] for f in found], pa.int64()), *(pa.array([f[j] for f in found], pa.int32()) for j in (2, 3, 4))]
@@ -245,7 +245,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, limit=2 << 20):
+            for batch in slices(batches, limit=1 << 20):
                 bad = {f[0] for f in find(shared.value, texts_of(batch))}
                 yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in bad], pa.int64()))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import load
 
-SAMPLES = 24
+SAMPLES = 32
 ROWS_PER_RANGE = 1_000
 MAX_RANGES = 4_096
 _LEAST = -(1 << 63)

@@ -40,7 +40,8 @@ BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Words longer than this are encoded one at a time with the same transitions.
 _LONG = 48
-_MEMO_WORDS = 250_000
+_MEMO_WORDS = 300_000
+_SLICE = 1 << 20
 #: Stable pairs are kept in a table of fixed size; a newer pair takes the place of an older one with the same slot.
 _PAIR_BITS = 21
 _U = np.uint64
@@ -93,7 +94,7 @@ class PieceModel:
                 raise ValueError("two pieces of one length share a hash")
             self.keys[n] = h[order], np.array([self.ids[p] for p in group], np.int32)[order]
         self.pair_keys, self.pair_values = np.zeros(1 << _PAIR_BITS, np.int64), np.zeros(1 << _PAIR_BITS, bool)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = _Words()
 
     # Ids below -1 stand for a character without a piece: -2 - code point.
     def _text(self, i: int) -> str:
@@ -131,8 +132,8 @@ class PieceModel:
             self.pair_keys[slot[new[at]]], self.pair_values[slot[new[at]]] = fresh, values
         return good
 
-    def encode_equal(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct words of one length, all advancing together."""
+    def encode_equal(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words of one length, all advancing together: one word's after the other's, and how many each has."""
         n, rows = len(words[0]), len(words)
         grid = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(rows, n)
         sums = np.zeros((n + 1, rows), _U)
@@ -191,14 +192,12 @@ class PieceModel:
         deep = int(taken.max())
         turned = path[:deep][::-1].T
         inside = np.arange(deep)[None, :] >= deep - taken[:, None]
-        flat = turned[inside].tolist()
-        strange = set(np.flatnonzero(np.where(inside, turned, 0).min(axis=1) < 0).tolist())
+        flat = turned[inside]
+        if flat.min() >= 0:
+            return flat, taken
         ends = np.cumsum(taken).tolist()
-        out, start = [], 0
-        for r, end in enumerate(ends):
-            out.append(self._spell(flat[start:end]) if r in strange else tuple(flat[start:end]))
-            start = end
-        return out
+        spelled = [self._spell(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return np.fromiter(chain.from_iterable(spelled), np.int32), np.array([len(x) for x in spelled])
 
     def encode_long(self, word: str) -> tuple[int, ...]:
         """The same path for one word of any length, with the lattice in dictionaries."""
@@ -242,22 +241,22 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (int32) of each text; an empty text has none."""
         memo = self.memo
-        if len(memo) > _MEMO_WORDS:
+        if len(memo.number) > _MEMO_WORDS:
             memo.clear()
         front = BLANK if self.prefix else ""
         split = [_WORDS.findall(front + text.replace(" ", BLANK)) if text else [] for text in texts]
         missing: dict[int, list[str]] = {}
-        for w in set().union(*split).difference(memo):
+        for w in set().union(*split).difference(memo.number):
             missing.setdefault(len(w), []).append(w)
         for n, words in missing.items():
             if n > _LONG:
-                for w in words:
-                    memo[w] = self.encode_long(w)
-            else:
-                for at in range(0, len(words), 20_000):
-                    part = words[at : at + 20_000]
-                    memo.update(zip(part, self.encode_equal(part), strict=True))
-        return [np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32) for words in split]
+                spelled = [self.encode_long(w) for w in words]
+                memo.add(words, np.fromiter(chain.from_iterable(spelled), np.int32), np.array([len(x) for x in spelled]))
+                continue
+            for at in range(0, len(words), 8_000):
+                part = words[at : at + 8_000]
+                memo.add(part, *self.encode_equal(part))
+        return [memo.spell(words) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids. Bytes that are no UTF-8 become U+FFFD."""
@@ -266,6 +265,37 @@ class PieceModel:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class _Words:
+    """Ids of the words met so far, packed: a word's number, and where its ids are in one array."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        old, n = len(self.number), len(words)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
+        if old + n > len(self.begin):
+            more = max(len(self.begin), n)
+            self.begin, self.size = np.concatenate([self.begin, np.zeros(more, np.int64)]), np.concatenate([self.size, np.zeros(more, np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[old : old + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[old : old + n] = sizes
+        self.used += len(ids)
+        self.number.update(zip(words, range(old, old + n), strict=True))
+
+    def spell(self, words: list[str]) -> np.ndarray:
+        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        sizes = self.size[k]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.begin[k] - (ends - sizes), sizes) + np.arange(ends[-1] if len(k) else 0)]
+
+
 @lru_cache(maxsize=4)
 def model(path: str = MODEL, kind: str | None = None) -> PieceModel:
     """A worker's copy of a model, kept with what it has memoised."""
@@ -281,7 +311,7 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str | None = None, text_col
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path, kind)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, _SLICE):
             got = pieces.encode(texts_of(batch, text_col))
             ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
@@ -312,7 +342,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = MODEL) -> Da
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             texts = texts_of(batch)
             got = pieces.encode(texts)
             back = [pieces.decode(x) for x in got]

@@ -404,21 +404,23 @@ def cut_ranges(data: bytes, ranges: list[int] | None, length: int = LENGTH) -> t
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-@tidy
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        texts = _binary(batch, "text")
-        got = [cut_ranges(t, r) for t, r in zip(texts, column(batch, "ranges").to_pylist(), strict=True)]
-        names = [n for n in batch.schema.names if n != "ranges"]
-        kept, removed, spans = zip(*got, strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [*(column(batch, n) for n in names), pa.array(kept, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
-            [*names, "kept", "n_bytes", "n_removed", "n_spans"],
-        )
+def _cutter(as_text: bool):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = _binary(batch, "text")
+            kept, removed, spans = zip(*(cut_ranges(t, r) for t, r in zip(texts, column(batch, "ranges").to_pylist(), strict=True)), strict=True)
+            held = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            sizes = (pa.array(x, pa.int64()) for x in ([len(t) for t in texts], removed, spans))
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), held, *sizes], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
+
+    return run
+
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", big_bucket: int = BIG_BUCKET, as_text: bool = False) -> DataFrame:
+    """docs' other columns packed in `row`, with kept (binary), n_bytes, n_removed and n_spans for each row.
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", big_bucket: int = BIG_BUCKET) -> DataFrame:
-    """docs' columns packed in `row`, with kept (binary), n_bytes, n_removed and n_spans for each row.
+    as_text: kept is a string, without the bytes of characters that a cut leaves in part.
 
     A null text is empty; texts below 200 bytes lose nothing; repeated rows (even of one id) repeat each other
     and so lose all they have if it is 200 bytes or more; an empty table gives no rows. Rows are told apart by id and a hash of the text.
@@ -431,10 +433,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     ranges = repeated_windows(keyed, big_bucket).groupBy("k1", "k2").agg(F.collect_list((F.col("a").cast("long") * (1 << 32)) + F.col("b")).alias("ranges"))
     joined = keyed.join(ranges, ["k1", "k2"], "left")
-    schema = joined.drop("ranges").schema
-    for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
+    schema = joined.select("row").schema
+    for name, kind in (("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
         schema = schema.add(name, kind)
-    return joined.mapInArrow(_cut_batches, schema).drop("k1", "k2", "text")
+    return joined.mapInArrow(_cutter(as_text), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,14 +445,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = [x.decode("utf-8", "ignore") for x in column(batch, "kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(text, pa.string())], ["row", "text"])
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes taken out of their texts; a character that a cut leaves in part goes whole."""
-    out = remove_repeats(docs, id_col, text_col).select("row", "kept")
-    text = out.mapInArrow(_as_text, out.select("row", F.lit("").alias("text")).schema)
-    return text.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    out = remove_repeats(docs, id_col, text_col, as_text=True)
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
