@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +31,25 @@ def build_session(app: str = "skein", master: str | None = None, shuffle_partiti
 def load(spark: SparkSession, sf_dir: str, name: str):
     """One of the tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where the session names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-shared-"))
+    return sc.getCheckpointDir()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of a session, once, for sessions whose workers don't find it by themselves."""
+    sc = spark.sparkContext
+    if getattr(sc, "_skein_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="skein-package-")) / "skein-package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in [*sorted((top / "skein").rglob("*.py")), *sorted(top.glob("corpus_pipeline.py"))]:
+            z.write(p, p.relative_to(top))
+    sc.addPyFile(str(target))
+    sc._skein_shipped = True
