@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skein.session import shared_folder
 
@@ -37,8 +38,9 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    empty = spark.createDataFrame([], stream.schema.add("batch_", "integer"))
-    return spark.read.schema(empty.schema).parquet(f"{top}/out") if query.lastProgress else empty
+    schema = StructType([*stream.schema.fields, StructField("batch_", IntegerType())])
+    empty = spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{top}/out") if query.lastProgress else empty
 
 
 def windowed(events: DataFrame, window: Column, keys: list[str], delay: str = "1 hour") -> DataFrame:
