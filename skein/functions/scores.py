@@ -24,7 +24,7 @@ def working_decay(ts: Column, as_of: Column, ttl_minutes: float) -> Column:
     if ttl_minutes is None or ttl_minutes <= 0:
         return F.when(ts.isNull(), 0.5).otherwise(1.0)
     decay = F.exp(-(age_seconds(ts, as_of) / 60) / ttl_minutes)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), decay)), F.lit(0.5))
+    return F.when(ts.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), decay)))
 
 
 def working_score(tfidf: Column, keyword: Column, decay: Column, importance: Column) -> Column:
@@ -34,7 +34,7 @@ def working_score(tfidf: Column, keyword: Column, decay: Column, importance: Col
 
 def episodic_recency(ts: Column, as_of: Column) -> Column:
     recency = F.exp(-(age_seconds(ts, as_of) / 86400) / 30)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), recency)), F.lit(0.5))
+    return F.when(ts.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), recency)))
 
 
 def episodic_score(vector: Column, keyword: Column, recency: Column, importance: Column) -> Column:
@@ -47,7 +47,7 @@ def semantic_score(vector: Column, graph: Column, importance: Column) -> Column:
 
 
 def perceptual_recency(ts: Column, as_of: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.1), F.exp(-0.1 * (age_seconds(ts, as_of) / 3600) / 24)), F.lit(0.5))
+    return F.when(ts.isNull(), 0.5).otherwise(F.greatest(F.lit(0.1), F.exp(-0.1 * (age_seconds(ts, as_of) / 3600) / 24)))
 
 
 def perceptual_score(vector: Column, recency: Column, importance: Column) -> Column:

@@ -101,7 +101,7 @@ def best_class(text: Column, classes: Mapping[str, Sequence[str]], default: str
 
 def title(text: Column) -> Column:
     """The first line that isn't blank, without leading # and *, if it has 4 to 99 characters."""
-    first = F.element_at(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), 1)
+    first = F.element_at(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1)
     clean = F.regexp_replace(first, r"^[#*]+\s*", "")
     return F.when((F.length(clean) > 3) & (F.length(clean) < 100), clean)
 
@@ -146,7 +146,7 @@ def clip(text: Column, n: int) -> Column:
 
 def distinct_variants(variants: Column) -> Column:
     """Trimmed, without blank ones, first of equal ones kept in order."""
-    return F.array_distinct(F.filter(F.transform(variants, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(variants, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def file_keywords(name: Column) -> Column:

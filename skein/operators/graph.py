@@ -49,13 +49,13 @@ def cooccurrence(found: DataFrame, weight: float = 0.5) -> DataFrame:
 
 def pattern_relations(memories: DataFrame, found: DataFrame, text_col: str = "content") -> DataFrame:
     """is_a, uses and related_to edges between entities of one memory, by what stands after or between their names."""
-    text = memories.select("memory_id", F.col(text_col).alias("text"))
-    pairs = found.select("memory_id", F.col("name").alias("source")).join(found.select("memory_id", F.col("name").alias("target")), "memory_id").where("source <> target").join(text, "memory_id")
-    piece = lambda verb: F.when(F.contains(F.col("text"), F.concat(F.col("source"), F.lit(verb))), F.substr(F.col("text"), F.charindex(F.concat(F.col("source"), F.lit(verb)), F.col("text")) + F.length("source") + len(verb), F.lit(20)))
+    text = memories.select("memory_id", F.lower(text_col).alias("text"))
+    pairs = found.select("memory_id", F.col("key").alias("source")).join(found.select("memory_id", F.col("key").alias("target")), "memory_id").where("source <> target").join(text, "memory_id")
+    piece = lambda verb: F.when(F.contains(F.col("text"), F.concat(F.col("source"), F.lit(verb))), F.substr(F.col("text"), F.position(F.concat(F.col("source"), F.lit(verb)), F.col("text")) + F.length("source") + len(verb), F.lit(20)))
     holds = lambda verb: F.coalesce(F.contains(piece(verb), F.col("target")), F.lit(False))
     near = F.lit(False)
     for joint in ("与", "和"):
-        rest = F.when(F.contains(F.col("text"), F.concat(F.col("source"), F.lit(joint))), F.substr(F.col("text"), F.charindex(F.concat(F.col("source"), F.lit(joint)), F.col("text")) + F.length("source") + 1, F.length("target") + 5))
+        rest = F.when(F.contains(F.col("text"), F.concat(F.col("source"), F.lit(joint))), F.substr(F.col("text"), F.position(F.concat(F.col("source"), F.lit(joint)), F.col("text")) + F.length("source") + 1, F.length("target") + 5))
         near = near | F.coalesce(F.contains(rest, F.col("target")), F.lit(False))
     kinds = F.array_compact(
         F.array(
@@ -64,7 +64,7 @@ def pattern_relations(memories: DataFrame, found: DataFrame, text_col: str = "co
             F.when(near, F.struct(F.lit("related_to").alias("type"), F.lit(0.8).alias("weight"))),
         )
     )
-    return pairs.select("memory_id", F.lower("source").alias("source"), F.lower("target").alias("target"), F.inline(kinds))
+    return pairs.select("memory_id", "source", "target", F.inline(kinds))
 
 
 def graph_scores(query_keys: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:

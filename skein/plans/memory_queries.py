@@ -17,7 +17,6 @@ from skein.plans.registry import query
 from skein.session import load
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
-AS_OF = F.lit(AS_OF_TEXT).cast("timestamp_ntz")
 DUCK_AS_OF = f"timestamp '{AS_OF_TEXT}'"
 
 # Events as memories: importance from the id, the type from the event's, the session is the user.
@@ -25,6 +24,10 @@ _MEM = """m as (select event_id as memory_id, event_type || ' ' || props as cont
  (event_id % 11) / 10.0::double as importance, ts, cast(user_id as varchar) as session_id, case when event_id % 5 = 0 then 'image' when event_id % 7 = 0 then null else 'text' end as modality, value from events)"""
 
 
+def as_of() -> Column:
+    return F.lit(AS_OF_TEXT).cast("timestamp_ntz")
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     kind = F.when(F.col("event_id") % 4 == 0, "working").when(F.col("event_id") % 4 == 1, "episodic").when(F.col("event_id") % 4 == 2, "semantic").otherwise("perceptual")
@@ -51,13 +54,13 @@ _PURCHASE = _KEYWORD.format(q="['purchase', 'k']", s="purchase k")
 
 @query("working_score", f"with {_MEM} select memory_id, round({_PURCHASE} * exp(-({_SECONDS} / 60) / 43200) * {_WEIGHT}, 6) as score from m")
 def working_score(spark, sf_dir):
-    decay = S.working_decay(F.col("ts"), AS_OF, 43200)
+    decay = S.working_decay(F.col("ts"), as_of(), 43200)
     return _scored(memories(spark, sf_dir), S.working_score(F.lit(0.0), _keyword("purchase k"), decay, F.col("importance")))
 
 
 @query("episodic_score", f"with {_MEM} select memory_id, round(({_PURCHASE} * 0.8::double + exp(-({_SECONDS} / 86400) / 30) * 0.2::double) * {_WEIGHT}, 6) as score from m")
 def episodic_score(spark, sf_dir):
-    return _scored(memories(spark, sf_dir), S.episodic_score(F.lit(0.0), _keyword("purchase k"), S.episodic_recency(F.col("ts"), AS_OF), F.col("importance")))
+    return _scored(memories(spark, sf_dir), S.episodic_score(F.lit(0.0), _keyword("purchase k"), S.episodic_recency(F.col("ts"), as_of()), F.col("importance")))
 
 
 @query("semantic_score", f"with {_MEM} select memory_id, round((value / 1000 * 0.7::double + importance * 0.3::double) * {_WEIGHT}, 6) as score from m")
@@ -67,12 +70,12 @@ def semantic_score(spark, sf_dir):
 
 @query("perceptual_score", f"with {_MEM} select memory_id, round((greatest(0.1::double, exp(-0.1::double * ({_SECONDS} / 3600) / 24)) * 0.2::double) * {_WEIGHT}, 6) as score from m where coalesce(modality, 'text') = 'image' and importance >= 0.3::double")
 def perceptual_score(spark, sf_dir):
-    return _scored(M.of_modality(memories(spark, sf_dir), "image", 0.3), S.perceptual_score(F.lit(0.0), S.perceptual_recency(F.col("ts"), AS_OF), F.col("importance")))
+    return _scored(M.of_modality(memories(spark, sf_dir), "image", 0.3), S.perceptual_score(F.lit(0.0), S.perceptual_recency(F.col("ts"), as_of()), F.col("importance")))
 
 
 @query("context_recency", f"with {_MEM} select memory_id, round(case when {_SECONDS} / 3600 <= 24 then 1::double else exp(-({_SECONDS} / 3600 - 24) / 72) end, 6) as score from m")
 def context_recency(spark, sf_dir):
-    return _scored(memories(spark, sf_dir), S.context_recency(F.col("ts"), AS_OF))
+    return _scored(memories(spark, sf_dir), S.context_recency(F.col("ts"), as_of()))
 
 
 @query("note_boost", "select event_id, round(least(1.0::double, greatest(0.0::double, (event_id % 100) / 100.0::double + case event_type when 'error' then 0.25::double when 'purchase' then 0.15::double else 0 end)), 6) as score from events")
@@ -114,12 +117,12 @@ def forget_importance(spark, sf_dir):
 
 @query("forget_time", f"with {_MEM} select memory_id from m where not ({_OLD})")
 def forget_time(spark, sf_dir):
-    return M.forget(memories(spark, sf_dir), "time", AS_OF, max_age_days=20).select("memory_id")
+    return M.forget(memories(spark, sf_dir), "time", as_of(), max_age_days=20).select("memory_id")
 
 
 @query("forget_mixed", f"with {_MEM} select memory_id from m where not ({_OLD} and importance < 0.3::double)")
 def forget_mixed(spark, sf_dir):
-    return M.forget(memories(spark, sf_dir), "mixed", AS_OF, 0.3, 20).select("memory_id")
+    return M.forget(memories(spark, sf_dir), "mixed", as_of(), 0.3, 20).select("memory_id")
 
 
 @query("forget_capacity", f"with {_MEM} select memory_id from m order by importance desc, ts desc, memory_id desc limit 500")
@@ -165,7 +168,7 @@ def rebuild_antijoin(spark, sf_dir):
 
 @query("time_window_report", f"with {_MEM} select memory_type, count(*) as n, round(avg(importance), 6) as mean_importance from m where ts >= {DUCK_AS_OF} - interval 10080 minute group by 1")
 def time_window_report(spark, sf_dir):
-    return M.window_report(memories(spark, sf_dir), AS_OF, 10080).withColumn("mean_importance", F.round("mean_importance", 6))
+    return M.window_report(memories(spark, sf_dir), as_of(), 10080).withColumn("mean_importance", F.round("mean_importance", 6))
 
 
 @query("upsert_latest", "with b as (select c_custkey, c_acctbal, 1 as version, 0 as fresh from customer union all select c_custkey, c_acctbal + 100, 2, 1 from customer where c_custkey % 3 = 0), r as (select *, row_number() over (partition by c_custkey order by version desc, fresh desc) as r from b) select c_custkey, round(c_acctbal, 4) as c_acctbal, version from r where r = 1")
