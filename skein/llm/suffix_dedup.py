@@ -377,7 +377,7 @@ def repeated_windows(keyed: DataFrame, big_bucket: int = BIG_BUCKET) -> DataFram
     )
     runs = stored(keyed.select("k1", "k2", "text").mapInArrow(_place_runs, "k1 long, k2 long, ah long, ch long, p int, a int, b int").join(stats, "ah"))
     mixed = runs.where("mixed").drop("mixed")
-    distinct = mixed.groupBy("ah", "ch").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("at"))
+    distinct = stored(mixed.groupBy("ah", "ch").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("at")))
     several = mixed.join(distinct.where("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi")
     wanted = distinct.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.collect_list(F.struct("ah", "c", F.col("at.p").alias("p"), F.col("at.a").alias("a"), F.col("at.b").alias("b"))).alias("wanted")  # at most a text's runs
