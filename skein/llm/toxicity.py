@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_featur
             packed = [np.array(sorted(terms.of(t)), np.int16 if len(order) < 1 << 15 else np.int32).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), column(batch, "y")], ["f", "y"])
 
-    got = rows.mapInArrow(featured, "f binary, y int").orderBy(F.xxhash64("f"), "y").toPandas()
+    got = rows.mapInArrow(featured, "f binary, y int").toPandas().sort_values(["f", "y"])  # in one order, however Spark returned them
     kind = np.int16 if len(order) < 1 << 15 else np.int32
     return fit([np.frombuffer(x, kind) for x in got["f"]], got["y"].to_numpy(float), len(order), slot)
 
