@@ -80,12 +80,14 @@ class ItemIndex:
         """(item, lowest diagonal, highest diagonal) of bands in x that reach the bound; bands that touch are one."""
         h = gram_hashes(x)
         at = np.flatnonzero(self.table[h >> np.uint32(32 - _TABLE_BITS)])
-        if not len(at) or not len(self.grams):
+        if not len(at):
             return []
         g = np.searchsorted(self.grams, h[at])
         g[g == len(self.grams)] = 0
         real = self.grams[g] == h[at]
         at, g = at[real], g[real]
+        if not len(at):
+            return []
         count = self.count[g]
         total = np.cumsum(count)
         cells: list[np.ndarray] = []
