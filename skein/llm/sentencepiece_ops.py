@@ -41,9 +41,10 @@ _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Words longer than this are encoded one at a time with the same transitions.
 _LONG = 48
 _MEMO_WORDS = 300_000
-_SLICE = 1 << 20
+_SLICE = 3 << 20
 #: Stable pairs are kept in a table of fixed size; a newer pair takes the place of an older one with the same slot.
 _PAIR_BITS = 21
+_FILTER_BITS = 18
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
@@ -79,7 +80,7 @@ class PieceModel:
         # What a piece writes: bytes as such, controls nothing, blanks for their marks.
         self.written = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, kinds.tolist(), strict=True)]
         # Sorted keys by length: hash of the piece's characters -> id
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by_length: dict[int, list[str]] = {}
         for p in self.ids:
             by_length.setdefault(len(p), []).append(p)
@@ -92,7 +93,9 @@ class PieceModel:
             order = np.argsort(h)
             if len(np.unique(h)) < len(h):
                 raise ValueError("two pieces of one length share a hash")
-            self.keys[n] = h[order], np.array([self.ids[p] for p in group], np.int32)[order]
+            near = np.zeros(1 << _FILTER_BITS, bool)  # most substrings are no piece: a glance at the hash's top bits says so
+            near[h >> _U(64 - _FILTER_BITS)] = True
+            self.keys[n] = h[order], np.array([self.ids[p] for p in group], np.int32)[order], near
         self.pair_keys, self.pair_values = np.zeros(1 << _PAIR_BITS, np.int64), np.zeros(1 << _PAIR_BITS, bool)
         self.memo = _Words()
 
@@ -150,18 +153,24 @@ class PieceModel:
             every = np.arange(rows)
             for end in range(1, n + 1):
                 for size in range(min(end, self.longest), 0, -1):
-                    live = every[step[end] == 0] if bpe else every
+                    live = np.flatnonzero(step[end] == 0) if bpe else every
                     if not len(live):
                         break
                     start = end - size
-                    keys, ids = self.keys.get(size, (None, None))
-                    got = np.full(len(live), -1, np.int32)
-                    if keys is not None:
+                    got = None
+                    if size in self.keys:
+                        keys, ids, near = self.keys[size]
                         h = _finish(sums[end, live] - sums[start, live] * powers[size])
+                        if size > 1:
+                            maybe = np.flatnonzero(near[h >> _U(64 - _FILTER_BITS)])
+                            live, h = live[maybe], h[maybe]
                         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                         got = np.where(keys[at] == h, ids[at], np.int32(-1))
+                    elif size > 1:
+                        continue
                     if size == 1:
-                        got = np.where(got < 0, -2 - grid[live, start].astype(np.int32), got)
+                        alone = -2 - grid[live, start].astype(np.int32)
+                        got = alone if got is None else np.where(got < 0, alone, got)
                     real = got != -1
                     live, got = live[real], got[real]
                     if not len(live):
