@@ -12,8 +12,9 @@ CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{20000}-\x{2a6df}\x{2a700}-\x{2b73f
 _RUNS = r"[a-zA-Z0-9]+|[一-鿿]+"
 
 
-def _empty() -> Column:
-    return F.array().cast("array<string>")
+def let(f, **values: Column) -> Column:
+    """f of a struct of values, each computed once: an expression inside a lambda would be computed again for every element."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f)[0]
 
 
 def plain_tokens(text: Column) -> Column:
@@ -28,7 +29,8 @@ def _bigrams(run: Column) -> Column:
 def tokens(text: Column) -> Column:
     """plain_tokens with each CJK run of two characters or more followed by its bigrams."""
     wide = lambda t: t.rlike(r"^[一-鿿]{2,}$")
-    return F.flatten(F.transform(plain_tokens(text), lambda t: F.when(wide(t), F.concat(F.array(t), _bigrams(t))).otherwise(F.array(t))))
+    expanded = F.flatten(F.transform(plain_tokens(text), lambda t: F.when(wide(t), F.concat(F.array(t), _bigrams(t))).otherwise(F.array(t))))
+    return F.when(text.rlike(r"[一-鿿]{2}"), expanded).otherwise(plain_tokens(text))
 
 
 def latin_first_tokens(text: Column) -> Column:
@@ -37,7 +39,7 @@ def latin_first_tokens(text: Column) -> Column:
     latin = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(r"[一-鿿]+"), F.lit(0))
     wide = F.flatten(F.transform(runs, lambda t: F.when(F.length(t) >= 2, F.concat(F.array(t), _bigrams(t))).otherwise(F.array(t))))
-    return F.concat(latin, wide)
+    return F.when(text.rlike(r"[一-鿿]"), F.concat(latin, wide)).otherwise(latin)
 
 
 def is_cjk(text: Column) -> Column:
@@ -60,24 +62,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def _set_score(q: Column, c: Column, query: Column, content: Column, bonus: float) -> Column:
+    extra = F.when(F.contains(F.lower(content), F.lower(query)), bonus).otherwise(0.0)
+    share = let(lambda x: F.when((F.size(x["q"]) == 0) | (F.size(x["c"]) == 0), F.lit(None)).otherwise(jaccard(x["q"], x["c"])), q=q, c=c)
+    return F.when(share.isNull(), 0.0).otherwise(F.least(F.lit(1.0), share + extra))
+
+
 def keyword_score(query: Column, content: Column) -> Column:
     """Jaccard of expanded tokens, 0.15 more if the query is a substring, at most 1; 0 if either has no token."""
-    q, c = F.array_distinct(tokens(query)), F.array_distinct(tokens(content))
-    bonus = F.when(F.contains(F.lower(content), F.lower(query)), 0.15).otherwise(0.0)
-    return F.when((F.size(q) == 0) | (F.size(c) == 0), 0.0).otherwise(F.least(F.lit(1.0), jaccard(q, c) + bonus))
+    return _set_score(F.array_distinct(tokens(query)), F.array_distinct(tokens(content)), query, content, 0.15)
 
 
 def memory_relevance(query: Column, content: Column) -> Column:
-    """Jaccard of plain tokens with a bonus of 0.1 for a substring, at most 1."""
-    q, c = F.array_distinct(plain_tokens(query)), F.array_distinct(plain_tokens(content))
-    bonus = F.when(F.contains(F.lower(content), F.lower(query)), 0.1).otherwise(0.0)
-    return F.when((F.size(q) == 0) | (F.size(c) == 0), 0.0).otherwise(F.least(F.lit(1.0), jaccard(q, c) + bonus))
+    """Jaccard of plain tokens with a bonus of 0.1 for a substring, at most 1; 0 if either has no token."""
+    return _set_score(F.array_distinct(plain_tokens(query)), F.array_distinct(plain_tokens(content)), query, content, 0.1)
 
 
 def coverage(query: Column, content: Column) -> Column:
     """Share of the query's tokens, repeats included, that the content has."""
-    q, c = latin_first_tokens(query), latin_first_tokens(content)
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.filter(q, lambda t: F.array_contains(c, t))) / F.size(q))
+    met = let(lambda x: F.when(F.size(x["q"]) == 0, 0.0).otherwise(F.size(F.filter(x["q"], lambda t: F.array_contains(x["c"], t))) / F.size(x["q"])), q=latin_first_tokens(query), c=F.array_distinct(latin_first_tokens(content)))
+    return F.coalesce(met, F.lit(0.0))
 
 
 def hits(text: Column, words: Sequence[str], fold: bool = True) -> Column:
