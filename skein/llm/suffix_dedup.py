@@ -375,7 +375,9 @@ def repeated_windows(keyed: DataFrame, big_bucket: int = BIG_BUCKET) -> DataFram
         keyed.select("text").mapInArrow(_count_runs, "ah long, ch long, c long").groupBy("ah")
         .agg(F.sum("c").alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1").select("ah", (F.col("lo") != F.col("hi")).alias("mixed"))
     )
-    runs = stored(keyed.select("k1", "k2", "text").mapInArrow(_place_runs, "k1 long, k2 long, ah long, ch long, p int, a int, b int").join(stats, "ah"))
+    placed = keyed.select("k1", "k2", "text").mapInArrow(_place_runs, "k1 long, k2 long, ah long, ch long, p int, a int, b int")
+    # Dealt by text again, so that a hot anchor's rows come from all tasks below and Spark can split them there too.
+    runs = stored(placed.join(stats, "ah").repartition("k1", "k2"))
     mixed = runs.where("mixed").drop("mixed")
     distinct = stored(mixed.groupBy("ah", "ch").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("at")))
     several = mixed.join(distinct.where("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi")
