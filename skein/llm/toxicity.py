@@ -126,12 +126,13 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 8_192, min_rows: int = 3, min_chi: float = 8.0) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 8_192, min_rows: int = 3, min_chi: float | None = None) -> FactorizationMachine:
     """Fits on the labelled rows that aren't held out.
 
     Of rows with a null label or id nothing is learnt; of several labels for one document the largest counts. Of the
     features that occur in min_rows sampled rows, the max_features that tell the classes apart best are kept, if their
-    chi-squared is min_chi or more: features below that only add noise that grows with a text's length.
+    chi-squared is min_chi or more (twice the logarithm of their number, where none is given: what the best of so many would reach by
+    chance). Features below that only add noise that grows with a text's length.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)")
@@ -156,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_featur
     a, b = counts["pos"].to_numpy(float), counts["neg"].to_numpy(float)
     total, both = a + b, n1 + n0
     chi = both * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1e-9, total * (both - total) * n1 * n0)
-    order = np.lexsort((counts["bucket"].to_numpy(), -chi))[: min(max_features, int((chi >= min_chi).sum()))]
+    least = 2 * np.log(max(2, len(counts))) if min_chi is None else min_chi
+    order = np.lexsort((counts["bucket"].to_numpy(), -chi))[: min(max_features, int((chi >= least).sum()))]
     slot = np.full(BUCKETS, -1, np.int32)
     slot[counts["bucket"].to_numpy()[order]] = np.arange(len(order), dtype=np.int32)
 
