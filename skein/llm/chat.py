@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, load, slices
+from skein.llm.common import bounded, column, load, slices
 
 #: The vocabulary file of the query; a parameter of every operator here.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -122,7 +122,7 @@ _COLUMNS = "conv_id long, turn long, role string, text string"
 
 
 def _clean(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return bounded(rows).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def format_turns(conversations: DataFrame, path: str = RANKS) -> DataFrame:

@@ -19,6 +19,20 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers. Whole texts fill batches of thousands of rows otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_BYTES at most; a smaller bound that the session has stays."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH_SETTING, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,18 +59,20 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that one holds at most `limit` bytes of text or a single row."""
+    """The batches, each cut into parts of about equal size that hold at most `limit` bytes of text and one row's more."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
+        total = sum(sizes)
+        share = total / max(1, -(-total // limit))
         start = held = 0
         for i, size in enumerate(sizes):
-            if i > start and held + size > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
             held += size
+            if held >= share and i + 1 < n:
+                yield batch.slice(start, i + 1 - start)
+                start, held = i + 1, 0
         yield batch.slice(start)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, load, slices, texts_of, tidy
+from skein.llm.common import bounded, column, load, slices, texts_of, tidy
 
 Q = 8
 #: Edits allowed, as a share of an item's characters.
@@ -214,7 +214,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     schema = "id long, item_id long, start int, end int, edits int"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], schema)
     for k, index in enumerate(_indexes(spark, benchmark)):
         shared = spark.sparkContext.broadcast(index)
@@ -251,5 +251,5 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {f[0] for f in find(shared.value, texts_of(batch))}
                 yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in bad], pa.int64()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, load, slices, texts_of, tidy
+from skein.llm.common import bounded, column, load, slices, texts_of, tidy
 
 #: The vocabulary file of the query and the pipeline; a parameter of every operator here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -327,7 +327,7 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str | None = None, text_col
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
         pieces.memo.clear()
 
-    docs = docs.drop(ids_col)
+    docs = bounded(docs).drop(ids_col)
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias(ids_col)).schema)
 
 
@@ -341,7 +341,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col: s
             got = [pieces.decode(np.array(x or [], np.int64)) for x in column(batch, ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], [*batch.schema.names, text_col])
 
-    rows = rows.drop(text_col)
+    rows = bounded(rows).drop(text_col)
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias(text_col)).schema)
 
 
@@ -367,5 +367,5 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = MODEL) -> Da
             )
         pieces.memo.clear()
 
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(load(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

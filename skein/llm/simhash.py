@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, components, cut, load, slices, tidy
+from skein.llm.common import bounded, column, components, cut, load, slices, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -76,7 +76,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id long, fp long) for each row of docs. A null text counts as empty (fingerprint zero); a null id stays null."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_fingerprint_batches, "id long, fp long")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, load, slices, stored, tidy
+from skein.llm.common import bounded, column, load, slices, stored, tidy
 
 LENGTH = 200
 GRAM = 40
@@ -427,7 +427,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text is empty; texts below 200 bytes lose nothing; repeated rows (even of one id) repeat each other
     and so lose all they have if it is 200 bytes or more; an empty table gives no rows. Rows are told apart by id and a hash of the text.
     """
-    keyed = docs.select(
+    keyed = bounded(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k1"),
         F.xxhash64(text_col).alias("k2"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

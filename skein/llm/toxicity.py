@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, cut, load, slices, texts_of, tidy
+from skein.llm.common import bounded, column, cut, load, slices, texts_of, tidy
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_featur
     by_hash = (F.xxhash64("id"), F.col("id"))
     sample = known.where("y = 1").orderBy(*by_hash).limit(max_rows // 2).unionByName(known.where("y = 0").orderBy(*by_hash).limit(max_rows - max_rows // 2))
     sample = spark.createDataFrame(sample.toPandas(), "id long, y int")  # max_rows at most
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id").select("text", "y"))
+    rows = cut(bounded(docs).select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id").select("text", "y"))
 
     @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(model.scores(texts_of(batch), terms))], ["id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,5 +209,5 @@ def drop_toxic(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """docs without the rows that score THRESHOLD or more; all columns stay, whatever their names."""
     run = scorer(model)
     mark = "toxicity_score_"
-    wide = docs.mapInArrow(run, docs.drop(mark).schema.add(mark, "double"))
+    wide = bounded(docs).mapInArrow(run, docs.drop(mark).schema.add(mark, "double"))
     return wide.where(F.col(mark) < THRESHOLD).drop(mark)

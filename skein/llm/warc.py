@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import column, load, slices
+from skein.llm.common import bounded, column, load, slices
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 4122
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
@@ -109,7 +109,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     A null or empty message gives an empty text and a metadata block without fields; a null payload digest is computed; a null
     id is an empty name. Repeated rows give repeated records; no rows give none.
     """
-    wanted = responses.select(*(F.col(c).cast("string").alias(c) for c in ("record_id", "target_uri", "warc_date", "payload_digest")), F.col("content").cast("binary").alias("content"))
+    wanted = bounded(responses).select(*(F.col(c).cast("string").alias(c) for c in ("record_id", "target_uri", "warc_date", "payload_digest")), F.col("content").cast("binary").alias("content"))
     return wanted.mapInArrow(_derive, FIELDS)
 
 
