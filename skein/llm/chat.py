@@ -205,4 +205,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     probe = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], _COLUMNS)
-    return digests(format_turns(_clean(load(spark, sf_dir, "conversations")).unionByName(more)))
+    return digests(format_turns(_clean(load(spark, sf_dir, "conversations")).unionByName(more))).drop("n_ids")
+
+
+OP9_SQL = rf"""
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f as (
+    select *, length(text) + len(regexp_extract_all(text, '{_ESCAPABLE.pattern}')) + case role when 'user' then length('<s>[INST][/INST]') when 'assistant' then length('</s>') when 'system' then length('<<SYS>><</SYS>>')
+        else length('[TURN][:][/TURN]') + length(role) + len(regexp_extract_all(role, '{_ESCAPABLE.pattern}')) end as n from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(n)::bigint as formatted_chars from f group by 1
+"""

@@ -19,4 +19,5 @@ QUERIES: dict = {
 
 ORACLE_SQL: dict[str, str] = {
     "op8_url_filters": url_filters.OP8_SQL,
+    "op9_chat_format": chat.OP9_SQL,
 }
