@@ -70,18 +70,28 @@ def pattern_relations(memories: DataFrame, found: DataFrame, text_col: str = "co
 def graph_scores(query_keys: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
     """(memory_id, score) for one query's entity keys: Jaccard of entities * 0.6 + linked edges * 0.4, at most 1.
 
-    An edge counts if one end is asked for and the other is in the memory: 0.3 of its weight if it comes from that memory, else 0.15. Two equi-joins
-    (each end's turn) whose union is made distinct take the place of an OR condition.
+    An edge counts if one end is asked for and the other is in the memory: 0.3 of its weight if it comes from that memory, else 0.15. The weights
+    are summed by their other end (over all memories, and from the memory itself) before they meet the memories, so an entity that many memories
+    name costs a row of each, not a row of each pair. An edge with both ends asked for and in the memory is met twice; one of the two is taken off.
     """
     keys = F.broadcast(query_keys.select(F.col("key")).distinct())
     asked = keys.count()
     overlap = found.join(keys, "key").groupBy("memory_id").agg(F.count("*").alias("shared"))
     sizes = found.groupBy("memory_id").agg(F.count("*").alias("size"))
-    numbered = edges.withColumn("edge", F.xxhash64("memory_id", "source", "target", "type"))
-    one = numbered.join(keys.withColumnRenamed("key", "source"), "source", "left_semi").select("edge", "weight", F.col("memory_id").alias("origin"), F.col("target").alias("key"))
-    two = numbered.join(keys.withColumnRenamed("key", "target"), "target", "left_semi").select("edge", "weight", F.col("memory_id").alias("origin"), F.col("source").alias("key"))
-    met = one.unionByName(two).join(found.select("memory_id", "key"), "key").select("edge", "memory_id", "weight", "origin").distinct()
-    linked = met.groupBy("memory_id").agg(F.sum(F.col("weight") * F.when(F.col("origin") == F.col("memory_id"), 0.3).otherwise(0.15)).alias("links"))
+    each = edges.select("memory_id", "source", "target", "type", "weight").distinct()
+    from_source = each.join(keys.withColumnRenamed("key", "source"), "source", "left_semi")
+    from_target = each.join(keys.withColumnRenamed("key", "target"), "target", "left_semi")
+    twice = from_source.join(keys.withColumnRenamed("key", "target"), "target", "left_semi")
+    ends = from_source.select("memory_id", F.col("target").alias("key"), "weight").unionByName(from_target.select("memory_id", F.col("source").alias("key"), "weight"))
+    own = ends.groupBy("memory_id", "key").agg(F.sum("weight").alias("own"))
+    anywhere = ends.groupBy("key").agg(F.sum("weight").alias("all"))
+    met = found.select("memory_id", "key").join(anywhere, "key").join(own, ["memory_id", "key"], "left").select("memory_id", (0.15 * (F.col("all") + F.coalesce("own", F.lit(0.0)))).alias("part"))
+    named = found.select("memory_id", "key").join(keys, "key", "left_semi")
+    pairs = named.select("memory_id", F.col("key").alias("source")).join(named.select("memory_id", F.col("key").alias("target")), "memory_id")
+    own = twice.groupBy("memory_id", "source", "target").agg(F.sum("weight").alias("own"))
+    anywhere = F.broadcast(twice.groupBy("source", "target").agg(F.sum("weight").alias("all")))  # pairs of asked keys
+    over = pairs.join(anywhere, ["source", "target"]).join(own, ["memory_id", "source", "target"], "left").select("memory_id", (-0.15 * (F.col("all") + F.coalesce("own", F.lit(0.0)))).alias("part"))
+    linked = met.unionByName(over).groupBy("memory_id").agg(F.sum("part").alias("links"))
     joined = sizes.join(overlap, "memory_id", "left").join(linked, "memory_id", "left")
     shared, links = F.coalesce("shared", F.lit(0)), F.coalesce("links", F.lit(0.0))
     score = shared / (F.col("size") + asked - shared) * 0.6 + links * 0.4
