@@ -47,3 +47,35 @@ def test_graph_takes_every_document(spark, folder):
             want[m] = score
     got = {r.memory_id: r.score for r in run(spark, where, "graph_score_all")}
     assert set(got) == set(want) and all(got[m] == pytest.approx(want[m], abs=1e-6) for m in want)
+
+
+def test_every_question_is_asked(spark, folder):
+    items, n = [3, 8, 50, 77], 40
+    words = [f"w{i}" for i in range(n)]
+    docs = [(i, f"{words[i]} {words[(i + 1) % n]} common", "en", "src1", 10) for i in range(n)]
+    bench = [(i, words[i % n] + " common") for i in items]
+    vectors = [(i, [1.0, float(i)], 3) for i in range(90)]
+    where = folder(
+        documents=spark.createDataFrame(docs, DOCUMENTS), benchmark=spark.createDataFrame(bench, "item_id long, text string"),
+        embeddings=spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int"),
+    )
+    # Two documents hold a question's rare word and share the best score; the lower id is first.
+    best = {i: min(i % n, (i - 1) % n) for i in items}
+    for name in ("sparse_tfidf_topk_all", "sparse_raw_tf_topk_all", "bm25_topk_all", "filter_then_search_all"):
+        rows = run(spark, where, name)
+        assert {r.query_id: r.chunk_id for r in rows if r["rank"] == 1} == best and len(rows) == 10 * len(items), name
+    cosine = lambda a, b: (1 + a * b) / ((1 + a * a) * (1 + b * b)) ** 0.5
+    want = {q: [v for _, v in sorted((-round(min(1.0, cosine(q, v)), 6), v) for v in range(90))[:10]] for q in items}
+    rows = run(spark, where, "dense_cosine_topk_all")
+    assert {q: [r.chunk_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q] for q in items} == want
+    for name in ("hybrid_merge_all", "min_score_filter_all", "hybrid_rank_fusion_all", "citation_context_all", "offline_embedding_search"):
+        assert {r.query_id for r in run(spark, where, name)} == set(items), name
+    assert {r.chunk_id: r.hits for r in run(spark, where, "mqe_max_merge_all")} == dict.fromkeys(range(n), len(items))
+    assert {r.chunk_id for r in run(spark, where, "expanded_search_all")} >= {i % n for i in items}
+    for name in ("rrf_fusion_all", "node_dedup_all"):
+        assert {r.chunk_id for r in run(spark, where, name)} == set(range(n)), name
+
+
+def test_entry_asks_every_question(spark, sf):
+    asked = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert {r.query_id for r in entry.entry(spark).select("query_id").distinct().collect()} == asked and max(asked) >= 8
