@@ -20,6 +20,7 @@ from skein.llm.common import load
 #: Days from this one on; an open interval ends far later.
 START = "2024-01-01"
 _OPEN = 1 << 30
+#: Parts of a path in keys_of by default; lists are applied with every part.
 PATH_PARTS = 2
 
 
@@ -32,20 +33,25 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?", 1)
 
 
-def keys_of(url: Column) -> Column:
-    """Every key that covers a URL."""
+def keys_of(url: Column, parts: int | None = PATH_PARTS) -> Column:
+    """The keys that cover a URL, with up to so many leading parts of its path; None: with each."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
-    depth = F.least(F.size(parts), F.lit(PATH_PARTS))
-    paths = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
+    names = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
+    depth = F.size(names) if parts is None else F.least(F.size(names), F.lit(parts))
+    paths = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(names, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, paths)))
 
 
+def entry_key(key: Column) -> Column:
+    """An entry's key with its host lower-cased; the case of a path counts, as in a URL."""
+    return F.concat(F.lower(F.regexp_extract(key, r"^[^/]*", 0)), F.regexp_extract(key, r"^[^/]*(?s)(.*)", 1))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, first_day, end_day) from (list, key, day, action). Of entries of one list, key and day a removal counts; rows with a null are void."""
-    clean = entries.select("list", F.lower("key").alias("key"), F.col("day").cast("int").alias("day"), (F.col("action") == "add").alias("on")).where("list is not null and key is not null and day is not null and on is not null")
+    clean = entries.select("list", entry_key(F.col("key")).alias("key"), F.col("day").cast("int").alias("day"), (F.col("action") == "add").alias("on")).where("list is not null and key is not null and day is not null and on is not null")
     daily = clean.groupBy("list", "key", "day").agg(F.min("on").alias("on"))
     order = Window.partitionBy("list", "key").orderBy("day")
     return daily.select("list", "key", "on", F.col("day").alias("first_day"), F.coalesce(F.lead("day").over(order), F.lit(_OPEN)).alias("end_day")).where("on").drop("on")
@@ -59,7 +65,7 @@ def apply_lists(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     captures = captures.drop("blocked", "lists", "hits")
     visits = captures.select("url", "day").where("url is not null and day is not null").distinct()
-    keyed = visits.select("url", "day", F.explode(keys_of(F.col("url"))).alias("key"))
+    keyed = visits.select("url", "day", F.explode(keys_of(F.col("url"), None)).alias("key"))
     asked = keyed.select("key", "day").distinct()
     spans = intervals(entries).select(F.col("key").alias("k"), "list", "first_day", "end_day")
     active = asked.join(spans, (F.col("key") == F.col("k")) & (F.col("day") >= F.col("first_day")) & (F.col("day") < F.col("end_day"))).select("key", "day", "list")
