@@ -170,12 +170,12 @@ def find(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, int, int, i
     joined = np.concatenate([y for x in xs for y in (x, gap)]) if xs else np.zeros(0, np.uint32)
     wanted: dict[int, list[tuple[int, int, int]]] = {}
     for i, low, high in index.regions(joined):
-        # The region's middle says which text it is in; an item that starts before or ends after a text still has most of itself inside.
-        mid = min(max((low + high + len(index.items[i])) // 2, 0), len(joined) - 1)
-        t = int(np.searchsorted(starts, mid, "right")) - 1
-        for near in (t - 1, t, t + 1):
-            if 0 <= near < len(xs) and low - 1 < starts[near] + sizes[near] and high + len(index.items[i]) + 1 > starts[near]:
-                wanted.setdefault(near, []).append((i, int(low - starts[near]), int(high - starts[near])))
+        # A region may reach over several texts, as bands that touch are one: each of them is held against the item on the diagonals that it has.
+        m = len(index.items[i])
+        first, last = np.searchsorted(starts, [low - 1, high + m + 1], "right") - 1
+        for t in range(max(0, int(first)), min(int(last), len(xs) - 1) + 1):
+            if low - 1 < starts[t] + sizes[t] and high + m + 1 > starts[t]:
+                wanted.setdefault(t, []).append((i, max(int(low - starts[t]), -m - 1), min(int(high - starts[t]), int(sizes[t]) + 1)))
     out = []
     for t, regions in sorted(wanted.items()):
         items = [index.items[i] for i, _, _ in regions]
@@ -190,9 +190,11 @@ def find(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, int, int, i
                 out.append((t, i, max(0, stop - int(back[0])), stop, int(best[r])))
     for i, short in index.short:
         for t, x in enumerate(xs):
-            at = "".join(map(chr, x.tolist())).find(short)
-            if at >= 0:
+            whole = "".join(map(chr, x.tolist()))
+            at = whole.find(short)
+            while at >= 0:
                 out.append((t, i, at, at + len(short), 0))
+                at = whole.find(short, at + 1)
     return out
 
 
