@@ -86,6 +86,30 @@ def drop_duplicates(memories: DataFrame, threshold: float = 0.8) -> DataFrame:
     return memories.join(losers, "memory_id", "left_anti")
 
 
+def token_classes(memories: DataFrame) -> DataFrame:
+    """(memory_id, rep): rep is the smallest id of the rows with the same set of plain tokens. Rows without a token are left out."""
+    tokens = F.array_sort(F.array_distinct(T.plain_tokens(F.col("content"))))
+    keyed = memories.select("memory_id", tokens.alias("t")).where(F.size("t") > 0).select("memory_id", F.sha2(F.array_join("t", " "), 256).alias("k"))
+    return keyed.join(keyed.groupBy("k").agg(F.min("memory_id").alias("rep")), "k").select("memory_id", "rep")
+
+
+def class_pairs(memories: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """similar_pairs between the representatives of classes; other pairs follow from membership, so copies cost a row each."""
+    return similar_pairs(memories.join(classes.where("memory_id = rep").select("memory_id"), "memory_id", "left_semi"), threshold)
+
+
+def drop_class_duplicates(memories: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """drop_duplicates by way of classes: a row goes if its class or one that resembles it has a better row."""
+    classes = token_classes(memories)
+    pairs = class_pairs(memories, classes, threshold)
+    ranked = classes.join(memories.select("memory_id", F.struct("importance", (-F.col("memory_id")).alias("early")).alias("rank")), "memory_id")
+    best = ranked.groupBy("rep").agg(F.max("rank").alias("best"))
+    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    near = ends.join(best.select(F.col("rep").alias("other"), "best"), "other").select("rep", "best").unionByName(best).groupBy("rep").agg(F.max("best").alias("best"))
+    losers = ranked.join(near, "rep").where("best > rank").select("memory_id")
+    return memories.join(losers, "memory_id", "left_anti")
+
+
 def consolidate(memories: DataFrame, min_importance: float, by: str = "session_id") -> DataFrame:
     """One row for each group of candidates: their texts in order of time, mean importance raised by 0.1, count, ids, first session."""
     ordered = F.array_sort(F.collect_list(F.struct("ts", "memory_id", "content")))

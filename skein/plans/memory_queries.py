@@ -148,6 +148,24 @@ def dedup_jaccard(spark, sf_dir):
     return M.drop_duplicates(_english(spark, sf_dir), 0.8).select("memory_id")
 
 
+# The same over documents of every language, without SQL: copies are told by membership (member: b has the tokens of a), pairs are those of representatives.
+def _texts(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"), ((F.col("doc_id") % 7) / 10.0).alias("importance"))
+
+
+@query("dedup_pairs_all")
+def dedup_pairs_all(spark, sf_dir):
+    m = _texts(spark, sf_dir)
+    classes = M.token_classes(m)
+    members = classes.where("memory_id <> rep").select(F.col("rep").alias("a"), F.col("memory_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
+    return members.unionByName(M.class_pairs(m, classes, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"), F.lit("pair").alias("kind")))
+
+
+@query("dedup_jaccard_all")
+def dedup_jaccard_all(spark, sf_dir):
+    return M.drop_class_duplicates(_texts(spark, sf_dir), 0.8).select("memory_id")
+
+
 @query("consolidate", f"with {_MEM} select session_id, string_agg(content, chr(10) order by ts, memory_id) as content, round(least(1.0::double, avg(importance) + 0.1::double), 6) as importance, count(*) as merged from m where importance >= 0.7::double group by 1")
 def consolidate(spark, sf_dir):
     return M.consolidate(memories(spark, sf_dir), 0.7).select("session_id", "content", F.round("importance", 6).alias("importance"), "merged")

@@ -79,3 +79,19 @@ def test_every_question_is_asked(spark, folder):
 def test_entry_asks_every_question(spark, sf):
     asked = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     assert {r.query_id for r in entry.entry(spark).select("query_id").distinct().collect()} == asked and max(asked) >= 8
+
+
+def test_duplicates_in_every_language(spark, folder):
+    base = [" ".join(f"t{k}x{j}" for j in range(12)) for k in range(4)]
+    texts = [base[0], base[0] + " more", base[0], base[1], base[1] + " x", base[1] + " x y", base[1] + " x y z w", base[2], base[3], base[3], "", None, base[3] + " " + base[3], base[2] + " q"]
+    langs = ["fr", "en", None, "de", "es", "es", "en", "de", None, "fr", "en", "fr", "de", "es"]
+    where = folder(documents=spark.createDataFrame([(i, t, lang, "s", 1) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))], DOCUMENTS))
+    sets = {i: set(t.split()) for i, t in enumerate(texts) if t}
+    close = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
+    close = {p: x for p, x in close.items() if x >= 0.8}
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    rows = run(spark, where, "dedup_pairs_all")
+    assert {(r.a, r.b) for r in rows if r.kind == "member"} == {(rep[i], i) for i in sets if rep[i] != i}
+    assert {(r.a, r.b): r.similarity for r in rows if r.kind == "pair"} == {(a, b): round(x, 6) for (a, b), x in close.items() if rep[a] == a and rep[b] == b and a != b and sets[a] != sets[b]}
+    losers = {a if b % 7 > a % 7 else b for a, b in close}
+    assert {r.memory_id for r in run(spark, where, "dedup_jaccard_all")} == set(range(len(texts))) - losers
