@@ -55,8 +55,14 @@ def auto_tags(spark, sf_dir):
 
 @query("query_parse", f"with s as (select item_id, text, {_CLASS_SCORES} from benchmark), t as (select *, greatest(s0, s1, s2, s3) as top from s), d as (select item_id, text, case when top = 0 then null {_CLASS_CASE} end as doc_type from t) select item_id, doc_type, text as cleaned from d where doc_type is null")
 def query_parse(spark, sf_dir):
+    return query_parse_all(spark, sf_dir).where("doc_type is null")
+
+
+@query("query_parse_all")
+def query_parse_all(spark, sf_dir):
+    """Every item with its class, whose words are taken out. Has no SQL; that of query_parse is for items without a class."""
     kind = T.best_class(F.col("text"), _CLASSES, None)
-    return load(spark, sf_dir, "benchmark").select("item_id", kind.alias("doc_type"), T.clean_query(F.col("text"), kind, _CLASSES).alias("cleaned")).where("doc_type is null")
+    return load(spark, sf_dir, "benchmark").select("item_id", kind.alias("doc_type"), T.clean_query(F.col("text"), kind, _CLASSES).alias("cleaned"))
 
 
 @query("clip_preview", "select doc_id, case when length(text) > 120 then substr(text, 1, 120) || '...' else text end as preview from documents")
@@ -102,7 +108,7 @@ def image_refs(spark, sf_dir):
 def front_matter(spark, sf_dir):
     from skein.sources.notes import parse_notes
 
-    d = load(spark, sf_dir, "documents").where("text not like '%---%' and text = trim(text)")
+    d = load(spark, sf_dir, "documents").withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source", "text")})
     raw = d.select(F.lit("x.md").alias("path"), F.concat(F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit("\ntitle: Title "), F.col("doc_id").cast("string"), F.lit("\ntype: "), "lang", F.lit("\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\n---\n\n"), "text").alias("text"))
     return parse_notes(raw).select(F.col("id").cast("long").alias("id"), "title", "type", F.array_join("tags", ",").alias("tags"), "body")
 

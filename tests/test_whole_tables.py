@@ -95,3 +95,15 @@ def test_duplicates_in_every_language(spark, folder):
     assert {(r.a, r.b): r.similarity for r in rows if r.kind == "pair"} == {(a, b): round(x, 6) for (a, b), x in close.items() if rep[a] == a and rep[b] == b and a != b and sets[a] != sets[b]}
     losers = {a if b % 7 > a % 7 else b for a, b in close}
     assert {r.memory_id for r in run(spark, where, "dedup_jaccard_all")} == set(range(len(texts))) - losers
+
+
+def test_notes_and_questions_of_every_row(spark, folder):
+    texts = ["plain", "a --- b\n---\nc", "  blanks  ", None]
+    where = folder(
+        documents=spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in enumerate(texts)], DOCUMENTS),
+        benchmark=spark.createDataFrame([(1, "zzz moron zzz"), (2, "zzz")], "item_id long, text string"),
+    )
+    assert {r.id: (r.title, r.tags, r.body) for r in run(spark, where, "front_matter")} == {i: (f"Title {i}", "en,src1", (t or "").strip()) for i, t in enumerate(texts)}
+    got = {r.item_id: (r.doc_type, r.cleaned) for r in run(spark, where, "query_parse_all")}
+    assert set(got) == {1, 2} and got[1] == ("insult", "zzz zzz") and got[2] == (None, "zzz")
+    assert [r.item_id for r in run(spark, where, "query_parse")] == [2]
