@@ -90,7 +90,7 @@ def page_text(spark, sf_dir):
 
 @query("markdown_blocks", """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from (select conv_id as doc_id, string_agg(case when role = 'user' then '# ' || turn || chr(10) || text else text end, chr(10) order by turn) as text from conversations group by 1)),
 m as (select *, regexp_matches(line, '^#{1,6}\\s+\\S') as h, sum(regexp_matches(line, '^#{1,6}\\s+\\S')::int) over (partition by doc_id order by pos) as block from l)
-select doc_id as id, block::bigint as block, coalesce(min(trim(regexp_replace(line, '^#{1,6}\\s+', ''))) filter (h), '全文') as section, count(*) filter (not h) as lines from m group by 1, 2 having trim(coalesce(string_agg(line, chr(10) order by pos) filter (not h), ''), e' \\n') <> ''""")
+select doc_id as id, block::bigint as block, coalesce(min(trim(regexp_replace(line, '^#{1,6}\\s+', ''))) filter (h), '全文') as section, len(string_split(trim(string_agg(line, chr(10) order by pos), e' \\n'), chr(10))) as lines from m group by 1, 2 having trim(string_agg(line, chr(10) order by pos), e' \\n') <> ''""")
 def markdown_blocks(spark, sf_dir):
     part = F.when(F.col("role") == "user", F.concat(F.lit("# "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
     docs = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("t")))), lambda x: x["t"]), "\n").alias("text"))

@@ -35,14 +35,13 @@ def decode(raw: bytes) -> str:
 
 
 def headed_blocks(text: str, default: str = "全文") -> list[Block]:
-    """(section, content): a heading line starts a block."""
+    """(section, content): a heading line starts a block and stays its first line."""
     blocks: list[tuple[str, list[str]]] = [(default, [])]
     for line in text.split("\n"):
-        mark = re.match(r"^#{1,6}\s+(\S.*)$", line)
+        mark = re.match(r"^\s*#{1,6}\s+(\S.*)$", line)
         if mark:
             blocks.append((mark[1].strip(), []))
-        else:
-            blocks[-1][1].append(line)
+        blocks[-1][1].append(line)
     return [(name, body) for name, lines in blocks if (body := "\n".join(lines).strip())]
 
 
@@ -55,10 +54,11 @@ def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
 
 
 def docx_blocks(raw: bytes) -> list[Block]:
+    """A block for each paragraph with text."""
     with zipfile.ZipFile(BytesIO(raw)) as z:
         root = _xml(z, "word/document.xml")
-    lines = [_texts(p, "t") for p in root.iter() if p.tag.rpartition("}")[2] == "p"]
-    return [("全文", "\n".join(x for x in lines if x.strip()))]
+    lines = [_texts(p, "t").strip() for p in root.iter() if p.tag.rpartition("}")[2] == "p"]
+    return [("段落", x) for x in lines if x]
 
 
 def xlsx_blocks(raw: bytes) -> list[Block]:
@@ -107,6 +107,7 @@ def pdf_text(raw: bytes) -> str:
 def media_block(name: str, kind: str, size: int, description: str | None = None) -> list[Block]:
     stem = name.rpartition(".")[0] or name
     words = [w for w in re.split(r"[-_.\s]+", stem) if len(w) >= 2]
+    # The sentences that describe a media file.
     parts = [f"这是一个{kind}文件", f"文件名: {name}", *([f"文件名关键词: {' '.join(words)}"] if words else []), *([f"内容描述: {description}"] if description else []), f"文件大小: {size} 字节"]
     return [("文件元数据", "。".join(parts))]
 

@@ -84,8 +84,8 @@ def test_files(spark, tmp_path):
     got = {}
     for r in S.read_blocks(spark, str(tmp_path)).collect():
         got.setdefault(r.path.rpartition("/")[2], []).append((r.section, r.content, r.doc_type))
-    assert got["a.md"] == [("全文", "intro", "markdown"), ("One", "body 1", "markdown"), ("Two", "body 2", "markdown")]
-    assert got["b.txt"][0][1] == "中文内容" and got["c.docx"][0][1] == "Hello\nthere" and got["d.xlsx"][0][1] == "name | 0"
+    assert got["a.md"] == [("全文", "intro", "markdown"), ("One", "# One\nbody 1", "markdown"), ("Two", "## Two\n\nbody 2", "markdown")]
+    assert got["b.txt"][0][1] == "中文内容" and [x[1] for x in got["c.docx"]] == ["Hello", "there"] and got["d.xlsx"][0][1] == "name | 0"
     assert got["e.pptx"] == [("slide 1", "Slide text", "ppt")] and got["f.pdf"][0][1] == "Hi (you)\nab"
     assert "big cat photo" in got["big-cat_photo.png"][0][1] and "broken.docx" not in got
     assert S.read_texts(spark, str(tmp_path), "*.md").count() == 1 and S.preview(spark, str(tmp_path), 3).where("preview = 'int'").count() == 1
