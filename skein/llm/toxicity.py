@@ -7,17 +7,20 @@ those), hashed to BUCKETS. The machine scores
 
 over the terms present, so a pair (an insult with a group mention) can carry weight that neither term has alone.
 
-Fitting uses a bounded sample of labelled rows (`max_rows`, at most half of them positive, taken by a hash of doc_id) of
-which only the features' counts by class and the rows' active features reach the driver: at most BUCKETS count rows
-and max_rows short arrays, whatever the size of the corpus. Scoring is one pass over whole texts without a shuffle.
+Fitting uses a bounded sample of labelled rows (`max_rows`, at most half of them positive, taken by a hash of doc_id), one text for each id. Features are
+taken up by two tests against chance, neither with a limit on their number: a term's own association with the label, and, for
+terms that matter only beside others, its joint association with the terms around it in what a first machine leaves unexplained. The
+driver gets the terms' counts by class (at most BUCKETS rows) and the sampled rows' terms (`max_values` at most), whatever the size of the corpus. Scoring is
+one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,9 @@ THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 #: Distinct words whose buckets a worker remembers at a time.
 _MEMO_WORDS = 150_000
+_VALUES = 1 << 18
+#: Cells of the sketch that holds the terms around a term.
+_CELLS = 256
 
 
 def word_buckets(word: str) -> list[int]:
@@ -61,6 +67,15 @@ class _Terms:
                 out.update(got)
         return out
 
+    def packed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The features of all texts in one array, in order of text and number, and how many each has."""
+        sets = [self.of(t) for t in texts]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.fromiter(chain.from_iterable(sets), np.int64, int(sizes.sum()))
+        flat += np.repeat(np.arange(len(sets), dtype=np.int64), sizes) << 32
+        flat.sort()
+        return (flat & 0xFFFFFFFF).astype(np.int32), sizes
+
 
 @dataclass
 class FactorizationMachine:
@@ -71,16 +86,27 @@ class FactorizationMachine:
     w: np.ndarray
     v: np.ndarray
 
-    def margin(self, features: list[int]) -> float:
-        if not features:
-            return self.w0
-        v = self.v[features]
-        s = v.sum(axis=0)
-        return float(self.w0 + self.w[features].sum() + 0.5 * (s @ s - (v * v).sum()))
+    def margins(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The margins of rows whose distinct feature numbers stand one row after the other in flat."""
+        out = np.full(len(sizes), self.w0)
+        ends = np.cumsum(sizes)
+        begin = 0
+        while begin < len(sizes):  # some rows at a time: a row's factors are held at once, whatever its length
+            done = int(ends[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, done + _VALUES, "right")))
+            mine = flat[done : int(ends[stop - 1])]
+            owner = np.repeat(np.arange(stop - begin), sizes[begin:stop])
+            n, v = stop - begin, self.v[mine]
+            total = np.stack([np.bincount(owner, v[:, f], n) for f in range(v.shape[1])], 1)
+            out[begin:stop] += np.bincount(owner, self.w[mine], n) + 0.5 * ((total * total).sum(1) - np.bincount(owner, (v * v).sum(1), n))
+            begin = stop
+        return out
+
+    def probabilities(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margins(flat, sizes), -40, 40)))
 
     def scores(self, texts: list[str], terms: _Terms) -> np.ndarray:
-        z = np.array([self.margin(sorted(terms.of(t))) for t in texts], np.float64)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return self.probabilities(*terms.packed(texts))
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, n: int, slot: np.ndarray, factors: int = 8, epochs: int = 8, steps: int = 1500, batch: int = 64, rate: float = 0.1, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
@@ -126,13 +152,59 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_features: int = 8_192, min_rows: int = 3, min_chi: float | None = None) -> FactorizationMachine:
-    """Fits on the labelled rows that aren't held out.
+def paired_features(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, probability: np.ndarray, n: int) -> np.ndarray:
+    """The features below n whose company tells something about the label that its probability does not.
 
-    Of rows with a null label or id nothing is learnt; of several labels for one document the largest counts. Of the
-    features that occur in min_rows sampled rows, the max_features that tell the classes apart best are kept, if their
-    chi-squared is min_chi or more (twice the logarithm of their number, where none is given: what the best of so many would reach by
-    chance). Features below that only add noise that grows with a text's length.
+    Each row's features are added up in a signed sketch of _CELLS cells. Over the rows with a feature the residual (y less probability) and a cell are
+    uncorrelated unless the feature and one in that cell interact, so this is a score test of each pair, with the rows' mean residual
+    taken out and the larger of the model's and the residuals' variance. A feature counts if its most distant cell is beyond what the best of so many would
+    reach by chance (a chi-squared of twice the logarithm of their number). Those with fewer rows than that cannot reach it.
+    """
+    least = 2 * np.log(max(2, n * _CELLS))
+    slot = np.full(n, -1, np.int64)
+    often = np.flatnonzero(np.bincount(flat, minlength=n) >= least)
+    slot[often] = np.arange(len(often))
+    rng = np.random.default_rng(11)
+    cell, sign = rng.integers(0, _CELLS, n), rng.choice(np.array([-1.0, 1.0]), n)
+    found = np.zeros(len(often), bool)
+    residual, variance = y - probability, probability * (1 - probability)
+    block = 1 << 13  # features whose sums are held at a time
+    for first in range(0, len(often), block):
+        size = min(block, len(often) - first)
+        rs, vs, vss, rrss = (np.zeros((size, _CELLS), np.float32) for _ in range(4))
+        r1, v1 = np.zeros(size), np.full(size, 1e-12)
+        for end, count, r, v in zip(np.cumsum(sizes).tolist(), sizes.tolist(), residual.tolist(), variance.tolist(), strict=True):
+            mine = flat[end - count : end]
+            row = slot[mine] - first
+            row = row[(row >= 0) & (row < size)]
+            if len(row):
+                x = np.bincount(cell[mine], sign[mine], _CELLS)
+                for table, factor in ((rs, r * x), (vs, v * x), (vss, v * x * x), (rrss, r * r * x * x)):
+                    table[row] += factor.astype(np.float32)
+                r1[row] += r
+                v1[row] += v
+        score = rs - vs * (r1 / v1)[:, None]
+        spread = np.maximum(vss - vs * vs / v1[:, None], rrss)
+        found[first : first + size] = (score * score / np.maximum(spread, 1e-6)).max(1, initial=0) >= least
+    return often[found]
+
+
+def _subset(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of features below n with the chosen ones alone, numbered anew."""
+    number = np.full(n, -1, np.int64)
+    number[chosen] = np.arange(len(chosen))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    got = number[flat]
+    return got[got >= 0], np.bincount(owner[got >= 0], minlength=len(sizes))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_values: int = 16_000_000, min_rows: int = 3, min_chi: float | None = None) -> FactorizationMachine:
+    """Fits on the labelled rows that aren't held out, max_rows of them and max_values of their terms at most.
+
+    Of rows with a null label or id nothing is learnt; of several labels for one document the largest counts, of several rows
+    with one id the least text. Of the features that occur in min_rows sampled rows those are taken up whose chi-squared is min_chi or more (twice
+    the logarithm of their number, where none is given: what the best of so many would reach by chance), and those that paired_features finds in what a machine of
+    the former leaves over. Features below only add noise that grows with a text's length.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)")
@@ -140,7 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_featur
     by_hash = (F.xxhash64("id"), F.col("id"))
     sample = known.where("y = 1").orderBy(*by_hash).limit(max_rows // 2).unionByName(known.where("y = 0").orderBy(*by_hash).limit(max_rows - max_rows // 2))
     sample = spark.createDataFrame(sample.toPandas(), "id long, y int")  # max_rows at most
-    rows = cut(bounded(docs).select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id").select("text", "y"))
+    labelled = bounded(docs).select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id")
+    rows = cut(labelled.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")))
 
     @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,39 +224,45 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_featur
         seen = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[0, seen]), pa.array(total[1, seen])], ["bucket", "neg", "pos"])
 
-    counts = rows.mapInArrow(counted, "bucket int, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(F.col("neg") + F.col("pos") >= min_rows).toPandas()
+    counts = rows.select("text", "y").mapInArrow(counted, "bucket int, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(F.col("neg") + F.col("pos") >= min_rows).toPandas()
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     n1, n0 = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     a, b = counts["pos"].to_numpy(float), counts["neg"].to_numpy(float)
     total, both = a + b, n1 + n0
     chi = both * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1e-9, total * (both - total) * n1 * n0)
     least = 2 * np.log(max(2, len(counts))) if min_chi is None else min_chi
-    order = np.lexsort((counts["bucket"].to_numpy(), -chi))[: min(max_features, int((chi >= least).sum()))]
+    # The features in order of their buckets; a pair's test needs more rows than a term's own.
+    wanted = np.sort(counts["bucket"].to_numpy()[(chi >= least) | (total >= 2 * np.log(max(2, len(counts) * _CELLS)))])
     slot = np.full(BUCKETS, -1, np.int32)
-    slot[counts["bucket"].to_numpy()[order]] = np.arange(len(order), dtype=np.int32)
+    slot[wanted] = np.arange(len(wanted), dtype=np.int32)
 
     @tidy
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(slot)
         for batch in slices(batches):
-            packed = [np.array(sorted(terms.of(t)), np.int16 if len(order) < 1 << 15 else np.int32).tobytes() for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), column(batch, "y")], ["f", "y"])
-
-    got = rows.mapInArrow(featured, "f binary, y int").toPandas().sort_values(["f", "y"])  # in one order, however Spark returned them
-    kind = np.int16 if len(order) < 1 << 15 else np.int32
-    return fit([np.frombuffer(x, kind) for x in got["f"]], got["y"].to_numpy(float), len(order), slot)
-
-
-def scorer(model: FactorizationMachine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(model.slot)
-        for batch in slices(batches):
-            names = batch.schema.names
-            scores = model.scores(texts_of(batch), terms)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*names, "toxicity_score_"])
-
-    return run
+            flat, each = terms.packed(texts_of(batch))
+            parts = np.split(flat, np.cumsum(each)[:-1])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([x.astype("<i4").tobytes() for x in parts], pa.binary()), pa.array(each), column(batch, "y")], ["id", "f", "n", "y"])
+
+    active = cut(rows.mapInArrow(featured, "id long, f binary, n long, y int"))
+    share = max_values / max(1, active.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    if share < 1:
+        active = active.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    got = active.toPandas().sort_values("id")  # in one order, however Spark returned them
+    y = got["y"].to_numpy(float)
+    flat, each = np.frombuffer(b"".join(got["f"]), "<i4"), got["n"].to_numpy(np.int64)
+    alone = np.intersect1d(slot[counts["bucket"].to_numpy()[chi >= least]], np.arange(len(wanted)))
+
+    def fitted(chosen: np.ndarray) -> tuple[FactorizationMachine, np.ndarray]:
+        mine, count = _subset(flat, each, chosen, len(wanted))
+        numbers = np.full(BUCKETS, -1, np.int32)
+        numbers[wanted[chosen]] = np.arange(len(chosen), dtype=np.int32)
+        machine = fit(np.split(mine, np.cumsum(count)[:-1]) if len(count) else [], y, len(chosen), numbers)
+        return machine, machine.probabilities(mine, count)
+
+    machine, probability = fitted(alone)
+    paired = np.union1d(alone, paired_features(flat, each, y, probability, len(wanted)))
+    return machine if len(paired) == len(alone) else fitted(paired)[0]
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
@@ -207,7 +286,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """docs without the rows that score THRESHOLD or more; all columns stay, whatever their names."""
-    run = scorer(model)
-    mark = "toxicity_score_"
-    wide = bounded(docs).mapInArrow(run, docs.drop(mark).schema.add(mark, "double"))
-    return wide.where(F.col(mark) < THRESHOLD).drop(mark)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(model.slot)
+        for batch in slices(batches):
+            keep = model.scores(texts_of(batch), terms) < THRESHOLD
+            yield batch.filter(pa.array(keep))
+
+    return bounded(docs).mapInArrow(run, docs.schema)
