@@ -14,16 +14,21 @@ sorted are cut down first, without loss:
    that agree in `length` bytes repeat.
 
 Buckets are split over tasks by an equi-join whose hot keys Spark can split, and counted with partial aggregation
-before they are shuffled. A bucket with over BIG_BUCKET distinct contexts is not given to one task: its windows are dealt out and
-counted by a 128-bit hash of their bytes instead.
+before they are shuffled. A bucket with over BIG_BUCKET distinct contexts is not given to one task: its windows are told apart by more bytes around the
+anchor (those that all windows at a range of offsets share), which makes smaller buckets that take steps 2 and 3 in turn; the
+ranges get narrower (SPLITS) until no bucket is too large.
+
+Texts are anchored in pieces of PIECE bytes that overlap by a window, so a text's length does not bound memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +37,10 @@ from skein.llm.common import bounded, column, load, slices, stored, tidy
 LENGTH = 200
 GRAM = 40
 BIG_BUCKET = 10_000
+#: Offsets of a window's start before its anchor that share a smaller bucket, by round; at the last one a bucket is one window's bytes.
+SPLITS = (81, 21, 5, 1)
+#: Bytes of a text that are anchored at a time.
+PIECE = 2 << 20
 #: Bytes of contexts that a block holds, and suffixes that are sorted at a time.
 BLOCK_BYTES = 1 << 20
 BLOCK_SUFFIXES = 1 << 17
@@ -75,16 +84,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Anchors:
     """The runs of a list of texts: text number, anchor p, first and last window start a, b (in the text), hashes."""
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        keep = np.flatnonzero(sizes >= length)
+    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM, piece: int = PIECE):
+        self.length, self.gram = length, gram
+        # Window starts are dealt to the pieces, so neighbouring pieces share length - 1 bytes.
+        pieces = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t) - length + 1, piece)]
+        found: list[tuple[np.ndarray, ...]] = []
+        group: list[tuple[int, int]] = []
+        held = 0
+        for i, at in pieces:
+            group.append((i, at))
+            held += min(piece, len(texts[i]) - at)
+            if held >= piece:
+                found.append(self._runs(texts, group, piece))
+                group, held = [], 0
+        if group:
+            found.append(self._runs(texts, group, piece))
         empty = np.zeros(0, np.int64)
-        self.text = self.p = self.a = self.b = empty
-        self.anchor = self.context = empty.view(_U)
-        if not len(keep):
-            return
-        sizes = sizes[keep]
-        x = np.frombuffer(b"".join([texts[i] for i in keep.tolist()]), np.uint8)
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [empty] * 4 + [empty.view(_U)] * 2
+        self.text, self.p, self.a, self.b, self.anchor, self.context = columns
+
+    def _runs(self, texts: list[bytes], group: list[tuple[int, int]], piece: int) -> tuple[np.ndarray, ...]:
+        """The runs of some pieces (text, place)."""
+        length, gram = self.length, self.gram
+        parts = [texts[i][at : at + piece + length - 1] for i, at in group]
+        number, place = (np.array(c, np.int64) for c in zip(*group, strict=True))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        x = np.frombuffer(b"".join(parts), np.uint8)
         n = len(x)
         starts = np.cumsum(sizes) - sizes
         up, down = _POWERS.to(n + 1)
@@ -98,7 +123,7 @@ class Anchors:
             have *= 2
         if span > have:
             low = np.minimum(low[: have - span], low[span - have :])
-        pos = (low & _U((1 << _POSITION_BITS) - 1)).astype(np.int64)  # of each window start, those across texts too
+        pos = (low & _U((1 << _POSITION_BITS) - 1)).astype(np.int64)  # of each window start, those across pieces too
         ends = np.repeat(starts + sizes - length, sizes)[: len(pos)]
         valid = np.arange(len(pos)) <= ends
         first = valid.copy()
@@ -108,11 +133,9 @@ class Anchors:
         a, b = np.flatnonzero(first), np.flatnonzero(last)
         p = pos[a]
         where = np.searchsorted(starts, a, "right") - 1
-        at = starts[where]
-        self.text, self.p, self.a, self.b = keep[where], p - at, a - at, b - at
-        self.anchor = h[p]
+        at = starts[where] - place[where]
         shape = ((p - a).astype(_U) << _U(32)) | (b - a).astype(_U)
-        self.context = _mix((sums[b + length] - sums[a]) * down[a] + _mix(shape))
+        return number[where], p - at, a - at, b - at, h[p], _mix((sums[b + length] - sums[a]) * down[a] + _mix(shape))
 
 
 def cover(period: int) -> np.ndarray:
@@ -287,11 +310,18 @@ _CONTEXT = "ah long, c long, k1 long, k2 long, p int, a int, b int, bytes binary
 
 @tidy
 def _fetch_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the contexts wanted of each text; rows that repeat in a task give theirs once."""
     names = ["ah", "c", "k1", "k2", "p", "a", "b", "bytes"]
+    seen: set[tuple] = set()
     for batch in slices(batches):
         rows: list[tuple] = []
         texts, k1, k2 = (column(batch, n) for n in ("text", "k1", "k2"))
         for text, x, y, wanted in zip(texts.to_pylist(), k1.to_pylist(), k2.to_pylist(), column(batch, "wanted").to_pylist(), strict=True):
+            if (x, y) in seen:
+                continue
+            if len(seen) >= 1 << 16:  # a context told twice by one row changes nothing
+                seen.clear()
+            seen.add((x, y))
             data = text.encode() if isinstance(text, str) else (text or b"")
             rows += [(w["ah"], w["c"], x, y, w["p"], w["a"], w["b"], data[w["a"] : w["b"] + LENGTH]) for w in wanted]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -353,19 +383,54 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, c, k1, k2, s): each window of contexts in very large buckets, by a hash of its bytes."""
-    for batch in slices(batches, "bytes", 1 << 18):
-        for c, k1, k2, a, data in zip(*(column(batch, n).to_pylist() for n in ("c", "k1", "k2", "a", "bytes")), strict=True):
-            x = np.frombuffer(data, np.uint8)
-            up, down = _POWERS.to(len(x) + 1)
-            pair = []
-            for table in (_BYTE, _mix(_BYTE.copy())):
-                sums = np.zeros(len(x) + 1, _U)
-                np.cumsum(table[x] * up[: len(x)], out=sums[1:])
-                pair.append(_signed(_mix((sums[LENGTH:] - sums[:-LENGTH]) * down[: len(x) + 1 - LENGTH])))
-            n = len(pair[0])
-            yield pa.RecordBatch.from_arrays([*pair, pa.array([c] * n, pa.int64()), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(np.arange(a, a + n, dtype=np.int32))], ["h1", "h2", "c", "k1", "k2", "s"])
+def narrowed(width: int):
+    """Contexts cut into those of at most `width` neighbouring offsets, in buckets by the bytes that all windows at these offsets share."""
+    names = ["ah", "ch", "c", "k1", "k2", "p", "a", "b", "bytes"]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes", 1 << 18):
+            rows: list[tuple] = []
+            for ah, c, k1, k2, p, a, b, data in zip(*(column(batch, n).to_pylist() for n in ("ah", "c", "k1", "k2", "p", "a", "b", "bytes")), strict=True):
+                for group in range((p - b) // width, (p - a) // width + 1):
+                    low, high = p - group * width, p - (group + 1) * width + 1  # window starts, the latest and the earliest
+                    first, last = max(a, high), min(b, low)
+                    piece = data[first - a : last + LENGTH - a]
+                    key = xxhash.xxh64_intdigest(data[low - a : high + LENGTH - a], (ah ^ group) & _MASK)
+                    own = xxhash.xxh64_intdigest(piece, (p - first) << 32 | last - first)
+                    rows.append((_as_long(key), _as_long(own), c, k1, k2, p, first, last, piece))
+            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+_MASK = (1 << 64) - 1
+
+
+def _as_long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _crowded(distinct: DataFrame, big_bucket: int) -> DataFrame:
+    return distinct.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > big_bucket).select("ah")
+
+
+def _sorted_windows(contexts: DataFrame) -> DataFrame:
+    return contexts.repartition("ah").sortWithinPartitions("ah").mapInArrow(_sort_blocks, "k1 long, k2 long, a int, b int")
+
+
+def _windows_of_crowded(contexts: DataFrame, big_bucket: int) -> Iterator[DataFrame]:
+    """(k1, k2, a, b) for contexts in buckets too large for a task: split further, round by round, and each round's other buckets sorted."""
+    for width in SPLITS:
+        split = stored(contexts.mapInArrow(narrowed(width), "ah long, ch long, c long, k1 long, k2 long, p int, a int, b int, bytes binary"))
+        distinct = stored(split.groupBy("ah", "ch").agg(F.sum("c").alias("c"), F.min(F.struct("k1", "k2", "p", "a", "b", "bytes")).alias("at")).select("ah", "ch", "c", "at.*"))
+        yield split.where("c = 1").join(distinct.where("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("k1", "k2", "a", "b")
+        crowded = _crowded(distinct, big_bucket)
+        yield _sorted_windows(distinct.drop("ch").join(crowded, "ah", "left_anti"))
+        contexts = distinct.drop("ch").join(crowded, "ah", "left_semi")
+        if crowded.isEmpty():
+            return
 
 
 def repeated_windows(keyed: DataFrame, big_bucket: int = BIG_BUCKET) -> DataFrame:
@@ -385,12 +450,13 @@ def repeated_windows(keyed: DataFrame, big_bucket: int = BIG_BUCKET) -> DataFram
         F.collect_list(F.struct("ah", "c", F.col("at.p").alias("p"), F.col("at.a").alias("a"), F.col("at.b").alias("b"))).alias("wanted")  # at most a text's runs
     )
     contexts = keyed.join(wanted, ["k1", "k2"]).mapInArrow(_fetch_contexts, _CONTEXT)
-    big = distinct.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > big_bucket).select("ah")
-    usual = contexts.join(big, "ah", "left_anti").repartition("ah").sortWithinPartitions("ah").mapInArrow(_sort_blocks, "k1 long, k2 long, a int, b int")
-    dealt = contexts.join(big, "ah", "left_semi").mapInArrow(_window_hashes, "h1 long, h2 long, c long, k1 long, k2 long, s int")
-    again = dealt.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2")
-    huge = dealt.where("c = 1").join(again, ["h1", "h2"], "left_semi").select("k1", "k2", F.col("s").alias("a"), F.col("s").alias("b"))
-    return runs.where("not mixed").select("k1", "k2", "a", "b").unionByName(several.select("k1", "k2", "a", "b")).unionByName(usual).unionByName(huge)
+    crowded = stored(_crowded(distinct, big_bucket))
+    found = [runs.where("not mixed").select("k1", "k2", "a", "b"), several.select("k1", "k2", "a", "b")]
+    if crowded.isEmpty():
+        found.append(_sorted_windows(contexts))
+    else:
+        found += [_sorted_windows(contexts.join(crowded, "ah", "left_anti")), *_windows_of_crowded(contexts.join(crowded, "ah", "left_semi"), big_bucket)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def cut_ranges(data: bytes, ranges: list[int] | None, length: int = LENGTH) -> tuple[bytes, int, int]:
@@ -398,12 +464,12 @@ def cut_ranges(data: bytes, ranges: list[int] | None, length: int = LENGTH) -> t
     if not ranges:
         return data, 0, 0
     packed = np.sort(np.array(ranges, np.int64))
-    edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, packed >> 32, 1)
-    np.add.at(edge, (packed & 0xFFFFFFFF) + length, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
+    first, end = packed >> 32, np.maximum.accumulate((packed & 0xFFFFFFFF) + length)
+    heads = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))  # ranges that touch are one run
+    begins, stops = first[heads], end[np.append(heads[1:], len(end)) - 1]
+    view = memoryview(data)
+    kept = b"".join([view[x:y] for x, y in zip([0, *stops.tolist()], [*begins.tolist(), len(data)], strict=True)])
+    return kept, int((stops - begins).sum()), len(begins)
 
 
 def _cutter(as_text: bool):
@@ -433,7 +499,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
     )
-    ranges = repeated_windows(keyed, big_bucket).groupBy("k1", "k2").agg(F.collect_list((F.col("a").cast("long") * (1 << 32)) + F.col("b")).alias("ranges"))
+    ranges = repeated_windows(keyed, big_bucket).groupBy("k1", "k2").agg(F.collect_set((F.col("a").cast("long") * (1 << 32)) + F.col("b")).alias("ranges"))  # a text's runs, however often its row repeats
     joined = keyed.join(ranges, ["k1", "k2"], "left")
     schema = joined.select("row").schema
     for name, kind in (("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
