@@ -35,6 +35,17 @@ _ESCAPABLE = re.compile("|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for
 _ESCAPED = re.compile("|".join(re.escape(c[0]) + r"\\+" + re.escape(c[1:]) for c in sorted(CONTROLS, key=len, reverse=True)))
 
 
+#: A run of white space is encoded in pieces of so many characters: the splitting pattern looks ahead in it, as deep as it is long.
+BLANK_RUN = 4096
+_LONG_BLANKS = re.compile(rf"(?<!\s)\s{{{BLANK_RUN},}}")
+
+
+def blank_pieces(text: str) -> list[str]:
+    """text, cut within runs of white space that are longer than BLANK_RUN. Ids of a byte-level vocabulary give the same text however it is cut."""
+    cuts = [0, *(at for m in _LONG_BLANKS.finditer(text) for at in range(m.start(), m.end(), BLANK_RUN)), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
 def escape(text: str) -> str:
     return _ESCAPABLE.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
@@ -60,7 +71,10 @@ class Template:
         return self.first + _MARK[control]
 
     def text_ids(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(escape(text))
+        escaped = escape(text)
+        if len(escaped) < BLANK_RUN:
+            return self.encoding.encode_ordinary(escaped)
+        return [i for piece in blank_pieces(escaped) for i in self.encoding.encode_ordinary(piece)]
 
     def segments(self, role: str, text: str) -> list[tuple[list[int], bool]]:
         """The ids of a turn's segments, and whether they count for the loss."""
@@ -129,7 +143,7 @@ def format_turns(conversations: DataFrame, path: str = RANKS) -> DataFrame:
     """(conv_id, turn, role, place, ids binary (int32), mask binary (bytes), n_ids) for each row (conv_id, turn, role, text).
 
     Null texts and roles are empty, roles other than user, assistant and system are kept by name; rows of one turn follow each
-    other by role and text; null ids are one conversation. No rows give none.
+    other by role and text (place is the text); a null turn comes first; null ids are one conversation. No rows give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +152,7 @@ def format_turns(conversations: DataFrame, path: str = RANKS) -> DataFrame:
             got = [shape.assemble(r, t) for r, t in zip(column(batch, "role").to_pylist(), column(batch, "text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    column(batch, "conv_id"), column(batch, "turn"), column(batch, "role"), pa.array([hashlib.md5(t.encode()).hexdigest() for t in column(batch, "text").to_pylist()]),
+                    column(batch, "conv_id"), column(batch, "turn"), column(batch, "role"), column(batch, "text"),
                     pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([m.astype(np.uint8).tobytes() for _, m in got], pa.binary()), pa.array([len(i) for i, _ in got], pa.int64()),
                 ],
                 ["conv_id", "turn", "role", "place", "ids", "mask", "n_ids"],
@@ -215,7 +229,7 @@ with c as (
 f as (
     select *, length(text) + len(regexp_extract_all(text, '{_ESCAPABLE.pattern}')) + case role when 'user' then length('<s>[INST][/INST]') when 'assistant' then length('</s>') when 'system' then length('<<SYS>><</SYS>>')
         else length('[TURN][:][/TURN]') + length(role) + len(regexp_extract_all(role, '{_ESCAPABLE.pattern}')) end as n from c)
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
-    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (role = 'assistant'), '')) as loss_sha256,
     sum(n)::bigint as formatted_chars from f group by 1
 """

@@ -19,21 +19,23 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import bounded, column, load, slices
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 4122
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_HEAD = re.compile(r"<head\b.*?</head\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BREAK = re.compile(r"</?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|br|hr|td|th|title|dd|dt)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-z!?][^>]*>", re.I)
+_MARK = re.compile(r"<(?:(!--)|(/?)([a-z!?]\w*))", re.I)
+_HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "svg")}
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_HEAD_END = re.compile(r"</head\s*>", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s>]+))", re.I)
+_BREAKS = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav main aside blockquote pre br hr td th title dd dt".split())
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
+_ZEROS = re.compile(r"&#0+(?=\d)")
+_HUGE = re.compile(r"&#\d{8,};?")
 
 
 def digest(block: bytes) -> str:
@@ -45,23 +47,77 @@ def record_id(*names: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, ' '.join(names))}>"
 
 
-def visible(page: str) -> str:
-    """Text without markup: hidden elements go, block elements end lines, references are resolved, white space is squeezed."""
-    body = _TAG.sub("", _BREAK.sub("\n", _HEAD.sub("\n", _HIDDEN.sub(" ", page))))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(body))).strip()
+def unescaped(text: str) -> str:
+    """Text with its character references resolved; a number of any length is one."""
+    return html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", text)) if "&#" in text else text)
 
 
 def _clean(value: str) -> str:
-    return " ".join(html.unescape(value).split())
+    return " ".join(unescaped(value).split())
+
+
+def read_page(page: str) -> tuple[str, str, str, list[str]]:
+    """Visible text, title, language and distinct out-links (in order) of a page, in one pass from left to right.
+
+    Hidden elements and comments go (to the page's end, if they never close), so does a closed head; block elements end
+    lines, other tags vanish, references are resolved and white space is squeezed. A tag ends at the next ">"; where none follows, "<" is text. No place
+    is searched for twice, so time is linear for any input.
+    """
+    out: list[str] = []
+    links: dict[str, None] = {}
+    title, lang = None, ""
+    at, head, tags_end = 0, -1, True
+    while m := _MARK.search(page, at):
+        start, name = m.start(), (m[3] or "").lower()
+        out.append(page[at:start])
+        if m[1]:
+            end = page.find("-->", m.end())
+            out.append(" ")
+            at = len(page) if end < 0 else end + 3
+            continue
+        if name in _HIDDEN and not m[2]:
+            end = _HIDDEN[name].search(page, m.end())
+            out.append(" ")
+            at = end.end() if end else len(page)
+            continue
+        stop = page.find(">", m.end()) if tags_end else -1
+        if stop < 0:
+            tags_end = False
+            out.append(m[0])
+            at = m.end()
+            continue
+        at = stop + 1
+        if name in _BREAKS:
+            out.append("\n")
+        if name == "head":
+            if not m[2] and head < 0:
+                head = len(out)
+            elif m[2] and head >= 0 and _HEAD_END.fullmatch(page, start, at):
+                del out[head:]
+                head = -1
+        elif name == "title" and not m[2] and title is None:
+            end = _TITLE_END.search(page, at)
+            title = _clean(page[at : end.start()]) if end else ""
+        elif name == "a" and not m[2]:
+            found = _HREF.search(page, m.end(), stop)
+            link = _clean(found[1] or found[2] or found[3] or "") if found else ""
+            if link:
+                links[link] = None
+        elif name == "html" and not m[2] and not lang:
+            found = _LANG.search(page, m.end(), stop)
+            lang = found[1].lower() if found else ""
+    out.append(page[at:])
+    text = _LINES.sub("\n", _BLANKS.sub(" ", unescaped("".join(out)))).strip()
+    return text, title or "", lang, list(links)
+
+
+def visible(page: str) -> str:
+    return read_page(page)[0]
 
 
 def facts(page: str) -> tuple[str, str, list[str]]:
     """Title, language and distinct out-links in order."""
-    bare = _HIDDEN.sub(" ", page)
-    title, lang = _TITLE.search(bare), _LANG.search(bare)
-    links = dict.fromkeys(_clean(a or b or c) for a, b, c in _LINK.findall(bare))
-    links.pop("", None)
-    return _clean(title[1]) if title else "", lang[1].lower() if lang else "", list(links)
+    return read_page(page)[1:]
 
 
 def split_http(content: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -70,8 +126,8 @@ def split_http(content: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     if not found or not head.startswith(b"HTTP/"):
         return "", [], content
     status, *lines = head.decode("latin-1").split("\r\n")
-    pairs = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines) if k.strip()]
-    return status, pairs, payload
+    pairs = [("-".join(k.split()), " ".join(v.split())) for k, _, v in (x.partition(":") for x in lines) if k.strip()]
+    return " ".join(status.split()), pairs, payload
 
 
 FIELDS = "response_id string, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, block string"
@@ -88,10 +144,9 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             charset = re.search(r"charset\s*=\s*[\"']?([\w-]+)", kind, re.I)
             try:
                 page = payload.decode(charset[1] if charset else "utf-8", "replace")
-            except LookupError:
+            except (LookupError, ValueError):  # an unknown encoding, or one that is none of text
                 page = payload.decode("utf-8", "replace")
-            title, lang, links = facts(page)
-            text = visible(page)
+            text, title, lang, links = read_page(page)
             text_id, meta_id = record_id(rid or "", "conversion"), record_id(rid or "", "metadata")
             source = source or digest(payload)
             fields = [("http-status", status), *((f"http-{k.lower()}", v) for k, v in headers), ("title", title), ("language", lang), *(("outlink", x) for x in links)]
@@ -125,6 +180,12 @@ def to_warc(records: DataFrame) -> DataFrame:
     return records.select(text.cast("binary").alias("record"))
 
 
+def base32(digits: Column) -> Column:
+    """The base 32 form (RFC 4648) of 40 hex digits: four of its digits for five of theirs."""
+    groups = [F.lpad(F.conv(F.substring(digits, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
 def responses_of(pages: DataFrame) -> DataFrame:
     """Response records of a table of pages (page_id, url, html): fetched one a second from the start of 2024, in order of page_id."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -135,7 +196,7 @@ def responses_of(pages: DataFrame) -> DataFrame:
         "page_id",
         F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate([(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]) for x in ([F.lit("-")] if i else []) + [F.substring(name, a, n)]], F.lit(">")).alias("record_id"),
         F.col("url").alias("target_uri"), F.date_format(F.to_utc_timestamp(day, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("warc_date"),
-        F.concat(F.lit("sha1:"), F.sha1(payload)).alias("payload_digest"), F.concat(head.cast("binary"), payload).alias("content"),
+        F.concat(F.lit("sha1:"), base32(F.sha1(payload))).alias("payload_digest"), F.concat(head.cast("binary"), payload).alias("content"),
     )
 
 

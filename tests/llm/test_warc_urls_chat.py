@@ -3,11 +3,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
-from datetime import date
+import time
+import uuid
+from collections import Counter
+from datetime import UTC, date, datetime
+from html.parser import HTMLParser
 
 import duckdb
 import helpers
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import chat as C
@@ -55,6 +60,88 @@ def test_warc_bytes_and_query(spark, sf):
     assert W.derivatives(W.responses_of(pages.where("false"))).count() == 0
 
 
+class Reader(HTMLParser):
+    """An independent reading of a page, by the standard library's parser."""
+
+    HIDDEN, LINES = {"script", "style", "noscript", "template", "svg", "head"}, {"p", "div", "li", "ul", "ol", "tr", "table", "br", "hr", "td", "th", "title", "nav", "main", "header", "footer", "section", "article", "aside", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "dd", "dt"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.text, self.name, self.lang, self.links, self.depth, self.titled = [], [], "", [], Counter(), False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth[tag] += tag in self.HIDDEN or tag == "title"
+        self.text += ["\n"] if tag in self.LINES and not self.hidden() else []
+        found = dict(attrs)
+        if tag == "html" and not self.lang:
+            self.lang = (found.get("lang") or "").lower()
+        if tag == "a" and " ".join((found.get("href") or "").split()) not in ["", *self.links]:
+            self.links.append(" ".join(found["href"].split()))
+
+    def hidden(self):
+        return any(self.depth[x] for x in self.HIDDEN)
+
+    def handle_endtag(self, tag):
+        self.depth[tag] = max(0, self.depth[tag] - 1)
+        self.text += ["\n"] if tag in self.LINES and not self.hidden() else []
+
+    def handle_data(self, data):
+        if self.depth["title"]:
+            self.name.append(data)
+        if not self.hidden():
+            self.text.append(data)
+
+    def lines(self):
+        return [x for x in (" ".join(line.split()) for line in "".join(self.text).split("\n")) if x]
+
+
+def test_query_equals_an_independent_reading(spark, sf):
+    """Every record of every page, made anew from the page alone."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    label = lambda raw: "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    by_id = {}
+    for r in pages.values():
+        name = hashlib.md5(f"{r.page_id} {r.url}".encode()).hexdigest()
+        by_id[f"<urn:uuid:{uuid.UUID(name)}>"] = r
+    records = {(r.refers_to, r.record_type): r for r in W.op7_warc(spark, sf).collect()}
+    assert set(records) == {(i, k) for i in by_id for k in ("metadata", "conversion")}
+    for (rid, kind), r in records.items():
+        page = by_id[rid]
+        raw = (page.html or "").encode()
+        seen = Reader(page.html or "")
+        other = "metadata" if kind == "conversion" else "conversion"
+        assert r.record_id == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{rid} {kind}')}>" and r.concurrent_to == records[rid, other].record_id
+        assert r.target_uri == page.url and r.source_payload_digest == label(raw) and r.block_digest == label(r.block.encode()) and r.content_length == len(r.block.encode())
+        assert r.warc_date == datetime.fromtimestamp(1704067200 + page.page_id, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        if kind == "conversion":
+            assert [" ".join(x.split()) for x in r.block.split("\n") if x.strip()] == seen.lines()
+        else:
+            want = [("http-status", "HTTP/1.1 200 OK"), ("http-content-type", "text/html; charset=utf-8"), ("http-content-length", str(len(raw))), ("title", " ".join("".join(seen.name).split())), ("language", seen.lang), *(("outlink", x) for x in seen.links)]
+            assert r.block == "".join(f"{k}: {v}\r\n" for k, v in want if v)
+
+
+@pytest.mark.parametrize("bit", ["<head ", "<title>", "<p", "<script", "<!--", "<a href=", "</title ", "</head", "< ", "&#", "&#0", "&#9", "<html lang", "<svg></", "<style>x</style", "<a href='", "\n ", "<title></titl"])
+def test_hostile_pages_take_little_time(bit):
+    for page in (bit * (1_000_000 // len(bit)), "<title>" + bit * 50_000 + ">", "<p>" * 2 + bit + ">" * 100_000, "&#" + "9" * 100_000 + ";&#" + "0" * 9000 + "65;"):
+        began = time.process_time()
+        W.read_page(page)
+        assert time.process_time() - began < 2.5
+
+
+def test_odd_pages():
+    assert W.visible("a<p <p <p") == "a<p <p <p" and W.visible("<head><title>T</title>x") == "T\nx" and W.visible("<head>gone</head >kept") == "kept"
+    assert W.facts("<title>never closed") == ("", "", []) and W.facts('<a href="a>b">t</a><a href=\'x') == ("", "", ["a"])
+    assert W.visible("&#0000000065;&#99999999999;&#" + "9" * 9000 + ";&amp;") == "A\ufffd\ufffd&"
+    assert W.split_http(b"HTTP/1.1 200\nOK\r\nA b: c\rd\r\n\r\nx") == ("HTTP/1.1 200 OK", [("A-b", "c d")], b"x")
+
+
+def test_odd_encodings(spark):
+    rows = [(f"<urn:{i}>", "u", None, None, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={c}\r\n\r\n<p>ok</p>".encode()) for i, c in enumerate(["hex", "undefined", "idna", "nonsense", "utf-16", "punycode"])]
+    assert W.derivatives(spark.createDataFrame(rows, "record_id string, target_uri string, warc_date string, payload_digest string, content binary")).count() == 12
+
+
 def test_hosts_and_keys(spark):
     urls = ["http://User@WWW.Ads.example.com.:80/a/b/c?x#y", "https://x.org", "mailto:a", "", None, "http:///p", "//h/p"]
     got = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", U.host_of(F.col("u")).alias("h"), F.sort_array(U.keys_of(F.col("u"))).alias("k")).orderBy("i").collect()
@@ -114,13 +201,34 @@ def test_turns_come_back_from_ids():
         turns = [(rng.choice(["user", "assistant", "system", "tool", ""]), "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 9)))) for _ in range(rng.randint(0, 6))]
         made = [shape.assemble(*t) for t in turns]
         ids = np.concatenate([i for i, _ in made]) if made else np.zeros(0, np.int32)
-        mask = np.concatenate([m for _, m in made]) if made else np.zeros(0, bool)
         assert shape.turns(ids) == turns
-        assert C.unescape(shape.text(ids[mask].tolist())) == "".join(t for r, t in turns if r == "assistant") or any("\\" in t or "<" in t or "[" in t for _, t in turns)
+        for (role, said), (own, mask) in zip(turns, made, strict=True):  # escapes are undone text by text: neighbours could make a control string
+            assert len(own) == len(mask) and C.unescape(shape.text(own[mask].tolist())) == (said if role == "assistant" else "")
         text = shape.formatted(ids)
         assert text.count("[INST]") == sum(r == "user" for r, _ in turns)
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 5_000_000, "\t \n\u3000" * 300_000, "a" * 3_000_000, "</s>" * 100_000, "<" + "\\" * 1_000_000 + "/s>", "x" + " " * 4096 + "y" + " " * 4095 + "z", "\U0001f600" * 200_000])
+def test_hostile_texts_come_back(text):
+    shape = C.template()
+    ids, mask = shape.assemble("assistant", text)
+    assert shape.turns(ids) == [("assistant", text)] and C.unescape(shape.text(ids[mask].tolist())) == text
+
+
+def test_ties_follow_the_text_and_nulls_come_first(spark, folder):
+    rows = [(1, 5, "user", t) for t in ("b", "a", "é", "Z", "", "aa")] + [(1, None, "user", "first"), (1, 5, "assistant", "x"), (1, 5, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    where = folder(conversations=df)
+    got = {r.conv_id: r for r in C.op9_chat_format(spark, where).collect()}[1]
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode()))
+    assert got.turns_sha256 == helpers.sha("".join(f"{r[2]}\n{r[3]}\n" for r in ordered).encode())
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{where}/conversations.parquet/*.parquet')")
+    found = con.execute(C.OP9_SQL)
+    names = [d[0] for d in found.description]
+    assert {tuple(r[names.index(c)] for c in got.__fields__) for r in found.fetchall()} >= {tuple(got)}
+
+
 def expected(rows):
     out: dict = {}
     for conv, _, role, text in rows:
