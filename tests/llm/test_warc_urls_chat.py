@@ -146,7 +146,16 @@ def test_hosts_and_keys(spark):
     urls = ["http://User@WWW.Ads.example.com.:80/a/b/c?x#y", "https://x.org", "mailto:a", "", None, "http:///p", "//h/p"]
     got = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", U.host_of(F.col("u")).alias("h"), F.sort_array(U.keys_of(F.col("u"))).alias("k")).orderBy("i").collect()
     assert [r.h for r in got] == ["www.ads.example.com", "x.org", "", "", None, "", ""]
-    assert got[0].k == ["ads.example.com", "com", "example.com", "www.ads.example.com", "www.ads.example.com/a", "www.ads.example.com/a/b"]
+    assert got[0].k == ["ads.example.com", "com", "example.com", "www.ads.example.com", "www.ads.example.com/a", "www.ads.example.com/a/b", "www.ads.example.com/a/b/c"]
+    few = spark.createDataFrame([(urls[0],)], "u string").select(F.sort_array(U.keys_of(F.col("u"), 1, 2)).alias("k"), U.keys_of(F.col("u"), 0, 0).alias("none")).first()
+    assert few.k == ["com", "example.com", "www.ads.example.com/a"] and few.none == []
+
+
+def test_long_urls_make_no_more_keys_than_lists_have(spark):
+    urls = ["http://a.com/" + "x/" * 50_000, "http://" + "b." * 20_000 + "a.com/q", "http://a.com/" + "y" * 500_000]
+    df = spark.createDataFrame([(u, 1) for u in urls], "url string, day int")
+    out = U.apply_lists(df, spark.createDataFrame([("L", "a.com/x/x/x/", 0, "add"), ("M", "b.a.com", 0, "add")], "list string, key string, day int, action string"))
+    assert {r.url: r.lists for r in out.collect()} == dict(zip(urls, ["L", "M", ""], strict=True))
 
 
 def test_lists_against_brute_force(spark):
@@ -165,9 +174,16 @@ def test_lists_against_brute_force(spark):
         latest = max(d for d, _ in past)
         return all(on for d, on in past if d == latest)
 
-    keyed = {r.url: r.k for r in df.select("url", U.keys_of(F.col("url")).alias("k")).collect()}
+    def covers(key, url):
+        """Whether a key's host is the URL's or a parent of it, and its path the leading parts of the URL's."""
+        if url is None or "://" not in url:
+            return False
+        host, _, path = url.partition("://")[2].partition("/")
+        own, _, below = key.partition("/")
+        return (host == own and (path + "/").startswith(below + "/")) if below else (host == own or host.endswith("." + own))
+
     for r in out.collect():
-        hits = [(n, k) for n in "LM" for k in (keyed[r.url] or []) if r.day is not None and active(n, k, r.day)]
+        hits = [(n, k) for n in "LM" for k in keys if r.day is not None and covers(k, r.url) and active(n, k, r.day)]
         assert (r.blocked, r.lists, r.hits) == (bool(hits), ",".join(sorted({n for n, _ in hits})), len(hits)), (r, hits)
     assert out.count() == 308
     none = spark.createDataFrame([], "list string, key string, day int, action string")
