@@ -37,7 +37,15 @@ TEMPLATES = [
     ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("cc0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -128,8 +136,9 @@ class LicenceAutomaton:
         places: list[tuple[int, int]] = []
         matches: list[tuple[int, int, int]] = []
         nxt, link, length, said = self.next, self.link, self.length, self.said
+        least = min([MIN_MATCH, *(n for found in said for _, n in found)])  # a shorter run of known words holds nothing
         for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if end - begin < 2:
+            if end - begin < least:
                 continue
             state = size = 0
             for at, token in enumerate(tokens[begin:end].tolist(), begin):
@@ -188,11 +197,18 @@ class LicenceAutomaton:
         return out
 
     def report(self, text: str) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int, float]]]:
-        """Number of words, places of phrases, spans that cover enough: four fifths of short templates, three fifths of others."""
+        """Number of words, places of phrases, spans that cover enough: four fifths of short templates, three fifths of others.
+
+        Of spans over the same words the one that covers most of them counts: notices of one family share much of their text.
+        """
         words = words_of(text)
         places, matches = self.scan(words)
         spans = [s for s in self.spans(matches) if s[3] >= (0.8 if self.sizes[s[0]] <= 16 else 0.6)] if matches else []
-        return len(words), places, spans
+        best: list[tuple[int, int, int, float]] = []
+        for s in sorted(spans, key=lambda s: (-s[3] * self.sizes[s[0]], s[1], s[0])):
+            if all(2 * (min(s[2], t[2]) - max(s[1], t[1]) + 1) <= s[2] - s[1] + 1 for t in best):
+                best.append(s)
+        return len(words), places, sorted(best)
 
 
 def _repeat(value: int) -> Iterator[int]:

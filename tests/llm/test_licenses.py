@@ -51,6 +51,18 @@ def test_templates_and_gaps():
     assert machine.report("permission is hereby granted to eat cake and drink tea all day long")[2] == []
 
 
+def test_one_label_for_notices_of_one_family():
+    machine = L.LicenceAutomaton()
+    for label, text in L.TEMPLATES:
+        lines = "\n".join(f" * {x}" for x in re.findall(r".{1,70}(?:\s|$)", text))  # as in a comment of a source file
+        assert {machine.labels[s[0]] for s in machine.report(f"Copyright 2024 A. Body\n{lines}\n*/ int main")[2]} == {label}
+
+
+def test_phrases_of_one_word():
+    machine = L.LicenceAutomaton(phrases={"copyleft": "x", "mit license": "mit"})
+    assert sorted(machine.scan("a copyleft b mit license copyleft".split())[0]) == [(0, 1), (0, 5), (1, 3)]
+
+
 def test_operator(spark, documents):
     texts = [None, "", "MIT License", "mit\nlicense Apache-License general public license MIT LICENSE", "Licensed under CC BY-NC 4.0.", "Mité license Ä x1", "word " * 60_000 + "mit license", "mit license"]
     docs = documents([*texts, (7, "mit license")])
