@@ -10,9 +10,10 @@ Jaccard similarity of their weighted terms. The least value identifies the term
 SAMPLES least values and a likeness the share of equal ones.
 
 The documents are dealt once, by ranges of doc_id, so that a document and its successor meet in a task; counting words, the
-least values and the comparison with the successor all keep that partitioning. The ranges' bounds (at most
-MAX_RANGES ids) are the only thing that reaches the driver. Each range gets its lower neighbour's first document as a
-guest, so no window spans more than a range and there is no global order.
+least values and the comparison with the successor all keep that partitioning. The number of ranges grows with the table (rows_per_range), an id that
+many rows share is dealt further by a hash of its texts, and the ranges' bounds (one long a range) are the only thing that reaches the driver. Each range
+gets its lower neighbour's first document as a guest, so no window spans more than a range and there is no global order. Rows that repeat as a whole stay in
+one range.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from skein.llm.common import load
 
 SAMPLES = 32
 ROWS_PER_RANGE = 1_000
-MAX_RANGES = 4_096
+#: Ranges whose bounds come from one pass; more are bounded in two, the second within the ranges of the first.
+FAN = 4_096
 _LEAST = -(1 << 63)
+_SUB_BITS = 20
 
 
 def _uniform(h: Column, shift: int) -> Column:
@@ -73,6 +76,41 @@ def _text(samples: list[Column]) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(s))), 16, "0") for s in samples])
 
 
+def rows_per_range(total: int) -> int:
+    """ROWS_PER_RANGE up to 2**26 rows, from there on growing as the root of the total: 27 times as many for 5 * 10**10."""
+    return max(1, int(ROWS_PER_RANGE * max(1.0, total / (1 << 26)) ** 0.5))
+
+
+def _array(values: list[int]) -> Column:
+    """A literal array of longs, folded from one string, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def _below(values: list[int], key: Column) -> Column:
+    """How many of the sorted values are less than key: a binary search, one lambda step for each bit of their number."""
+    if not values:
+        return F.lit(0)
+    held = _array(values)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(values).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(held, at + step - 1) < key, F.lit(False)), at + step).otherwise(at))
+
+
+def _bounds(rows: DataFrame, ranges: int) -> list[int]:
+    """Keys that cut the rows into about so many ranges of equal size."""
+
+    def cuts(n: int) -> Column:
+        return F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n)
+
+    if ranges < 2:
+        return []
+    if ranges <= FAN:
+        return sorted(set(rows.agg(cuts(ranges).alias("q")).first().q or []))
+    outer = int(-(-ranges // FAN)) if ranges <= FAN * FAN else FAN
+    first = sorted(set(rows.agg(cuts(max(2, outer)).alias("q")).first().q or []))
+    inner = rows.groupBy(_below(first, F.col("key")).alias("part")).agg(cuts(FAN).alias("q")).select(F.explode("q").alias("q")).distinct()
+    return sorted({*first, *(r.q for r in inner.collect())})
+
+
 def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, place, guest, id, text, next_text): rows in descending order of id with the text of the one after, the first one's after the last.
 
@@ -82,19 +120,25 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.count()
-    ranges = int(min(MAX_RANGES, max(1, -(-total // ROWS_PER_RANGE))))
-    bounds: list[int] = []
-    if ranges > 1:
-        got = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()[0]
-        bounds = sorted(set(got))
-    # A key's range is the number of bounds below it.
-    part = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b < F.col("key"))) if bounds else F.lit(0)
-    rows = rows.withColumn("part", part.cast("int"))
-    heads = rows.groupBy("part").agg(F.max("key").alias("key")).orderBy("part").collect()  # one row a range
+    size = rows_per_range(total)
+    # Ids with the rows of several ranges: fewer than there are ranges. Each gets a range of its own, cut by the leading bits of the texts' hashes.
+    hot = sorted((r.key, min(_SUB_BITS, (r.n // size).bit_length())) for r in rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * size).collect()) if total > 2 * size else []
+    bounds = sorted({*_bounds(rows, -(-total // size)), *(x for k, _ in hot for x in (max(k - 1, _LEAST), k))})
+    part = _below(bounds, F.col("key")).cast("long")
+    sub: Column = F.lit(0).cast("long")
+    if hot:
+        keys, bits = [k for k, _ in hot], [b for _, b in hot]
+        at = _below(keys, F.col("key"))
+        depth = F.when(F.get(_array(keys), at) == F.col("key"), F.get(_array(bits), at)).otherwise(F.lit(0)).cast("int")
+        # The hash's order is kept: its leading bits, counted from the least.
+        sub = F.when(depth > 0, F.call_function("shiftright", F.shiftright(F.xxhash64("text"), 1) + F.lit(1 << 62), F.lit(63) - depth)).otherwise(sub)
+    rows = rows.withColumn("part", part * (1 << _SUB_BITS) + sub)
+    heads = rows.groupBy("part").agg(F.max("key").alias("key")).collect()  # one row a range
     if not heads:
-        return spark.createDataFrame([], "part int, place int, guest int, id long, text string, next_text string")
-    # The range below each one; the lowest is followed by the highest.
-    follows = spark.createDataFrame([(heads[i].part, heads[i - 1].part, heads[i - 1].key) for i in range(len(heads))], "host int, part int, key long")
+        return spark.createDataFrame([], "part long, place int, guest int, id long, text string, next_text string")
+    # Ranges in the order of their rows: descending keys, and within one key ascending hashes. The last is followed by the first.
+    heads.sort(key=lambda h: (-(h.part >> _SUB_BITS), h.part))
+    follows = spark.createDataFrame([(h.part, after.part, after.key) for h, after in zip(heads, [*heads[1:], heads[0]], strict=True)], "host long, part long, key long")
     first = rows.join(F.broadcast(follows), ["part", "key"]).select("host", "key", "text")
     guests = first.groupBy("host").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("g")).select(
         F.lit(_LEAST).alias("key"), F.lit(None).cast("long").alias("id"), F.col("g.text").alias("text"), F.col("host").alias("part"), F.lit(1).alias("guest")

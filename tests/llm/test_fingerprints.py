@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from math import comb
 
 import helpers
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import fingerprints as P
@@ -63,6 +65,52 @@ def test_many_ranges_one_row_and_none(spark, documents, monkeypatch):
     assert sorted((r.id, r.next_text) for r in twice) == [(1, "a"), (1, "b"), (2, "a")]
 
 
+@pytest.mark.parametrize(("rows", "fan"), [(7, 4096), (3, 4), (5, 5)])
+def test_hot_ids_and_many_bounds(spark, documents, monkeypatch, rows, fan):
+    """Ids that many rows share, null ones too, lie in several ranges; bounds found in two passes serve as well."""
+    monkeypatch.setattr(P, "ROWS_PER_RANGE", rows)
+    monkeypatch.setattr(P, "FAN", fan)
+    given = [(i, f"t{i}") for i in range(0, 120, 3)] + [(50, f"hot {i}") for i in range(90)] + [(None, f"none {i}") for i in range(60)] + [(51, "hot again"), (50, "hot 1")]
+    got = P.with_successors(documents(given)).where("guest = 0").collect()
+    h = {r.text: r.h for r in documents(given).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(given, key=lambda x: (x[0] is None, -(x[0] or 0), h[x[1]]))
+    want = Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    assert Counter((r.id, r.text, r.next_text) for r in got) == want
+    parts = Counter((r.id, r.part) for r in got)
+    assert max(parts.values()) < 45 and len([p for i, p in parts if i == 50]) > 3 and len([p for i, p in parts if i is None]) > 3
+
+
+def test_binary_search(spark):
+    rng = random.Random(4)
+    values = sorted({rng.randrange(-50, 50) for _ in range(37)})
+    keys = spark.range(-60, 60).select(F.col("id").alias("k"))
+    for held in (values, values[:1], values[:8], [-(1 << 63), (1 << 62) + 1]):
+        assert all(r.n == sum(v < r.k for v in held) for r in keys.select("k", P._below(held, F.col("k")).alias("n")).collect())
+    many = list(range(0, 200_000, 2))
+    assert spark.range(99_999, 100_001).select(P._below(many, F.col("id")).alias("n")).agg(F.max("n")).first()[0] == 50_000
+
+
+def test_query_setting_on_real_texts(spark, sf):
+    """With the query's own number of samples a likeness is one that as many draws at the generalised Jaccard similarity could give."""
+
+    def tail(hits: int, p: float) -> float:
+        chance = [comb(P.SAMPLES, k) * p**k * (1 - p) ** (P.SAMPLES - k) for k in range(P.SAMPLES + 1)]
+        return min(sum(chance[: hits + 1]), sum(chance[hits:]))
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(texts, reverse=True)
+    error = []
+    for r in P.op5_fingerprints(spark, sf).collect():
+        t, following = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        half = len(t) // 2
+        bags = [Counter(x.lower().split() or [""]) for x in (t, t[: len(t) - half] + following[:half], following)]
+        for found, other in ((r.near_edited, bags[1]), (r.near_next, bags[2])):
+            want = jaccard(bags[0], other)
+            error.append(found - want)
+            assert tail(round(found * P.SAMPLES), want) > 1e-7
+    assert abs(sum(error) / len(error)) < 0.01 and (sum(e * e for e in error) / len(error)) ** 0.5 < 0.09
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = P.op5_fingerprints(spark, sf)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
