@@ -189,17 +189,8 @@ def paired_features(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, probabil
     return often[found]
 
 
-def _subset(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of features below n with the chosen ones alone, numbered anew."""
-    number = np.full(n, -1, np.int64)
-    number[chosen] = np.arange(len(chosen))
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    got = number[flat]
-    return got[got >= 0], np.bincount(owner[got >= 0], minlength=len(sizes))
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_values: int = 16_000_000, min_rows: int = 3, min_chi: float | None = None) -> FactorizationMachine:
-    """Fits on the labelled rows that aren't held out, max_rows of them and max_values of their terms at most.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_values: int = 4_000_000, min_rows: int = 3, min_chi: float | None = None) -> FactorizationMachine:
+    """Fits on the labelled rows that aren't held out, max_rows of them at most, and fewer where their features are more than about max_values.
 
     Of rows with a null label or id nothing is learnt; of several labels for one document the largest counts, of several rows
     with one id the least text. Of the features that occur in min_rows sampled rows those are taken up whose chi-squared is min_chi or more (twice
@@ -231,38 +222,44 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_values
     total, both = a + b, n1 + n0
     chi = both * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1e-9, total * (both - total) * n1 * n0)
     least = 2 * np.log(max(2, len(counts))) if min_chi is None else min_chi
-    # The features in order of their buckets; a pair's test needs more rows than a term's own.
-    wanted = np.sort(counts["bucket"].to_numpy()[(chi >= least) | (total >= 2 * np.log(max(2, len(counts) * _CELLS)))])
-    slot = np.full(BUCKETS, -1, np.int32)
-    slot[wanted] = np.arange(len(wanted), dtype=np.int32)
-
-    @tidy
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(slot)
-        for batch in slices(batches):
-            flat, each = terms.packed(texts_of(batch))
-            parts = np.split(flat, np.cumsum(each)[:-1])
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([x.astype("<i4").tobytes() for x in parts], pa.binary()), pa.array(each), column(batch, "y")], ["id", "f", "n", "y"])
-
-    active = cut(rows.mapInArrow(featured, "id long, f binary, n long, y int"))
-    share = max_values / max(1, active.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    if share < 1:
-        active = active.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = active.toPandas().sort_values("id")  # in one order, however Spark returned them
-    y = got["y"].to_numpy(float)
-    flat, each = np.frombuffer(b"".join(got["f"]), "<i4"), got["n"].to_numpy(np.int64)
-    alone = np.intersect1d(slot[counts["bucket"].to_numpy()[chi >= least]], np.arange(len(wanted)))
-
-    def fitted(chosen: np.ndarray) -> tuple[FactorizationMachine, np.ndarray]:
-        mine, count = _subset(flat, each, chosen, len(wanted))
-        numbers = np.full(BUCKETS, -1, np.int32)
-        numbers[wanted[chosen]] = np.arange(len(chosen), dtype=np.int32)
-        machine = fit(np.split(mine, np.cumsum(count)[:-1]) if len(count) else [], y, len(chosen), numbers)
-        return machine, machine.probabilities(mine, count)
-
-    machine, probability = fitted(alone)
-    paired = np.union1d(alone, paired_features(flat, each, y, probability, len(wanted)))
-    return machine if len(paired) == len(alone) else fitted(paired)[0]
+    buckets = counts["bucket"].to_numpy()
+
+    def active(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features (places in the sorted buckets that are chosen) one row after the other, their number by row, the rows' labels: about max_values features at most."""
+        wanted = np.sort(buckets[chosen])
+        slot = np.full(BUCKETS, -1, np.int32)
+        slot[wanted] = np.arange(len(wanted), dtype=np.int32)
+        share = max_values / max(1.0, float(total[chosen].sum()))
+        taken = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+        @tidy
+        def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms = _Terms(slot)
+            for batch in slices(batches):
+                flat, each = terms.packed(texts_of(batch))
+                parts = np.split(flat, np.cumsum(each)[:-1])
+                yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([x.astype("<i4").tobytes() for x in parts], pa.binary()), pa.array(each), column(batch, "y")], ["id", "f", "n", "y"])
+
+        got = taken.mapInArrow(featured, "id long, f binary, n long, y int").toPandas().sort_values("id")  # in one order, however Spark returned them
+        return np.frombuffer(b"".join(got["f"]), "<i4"), got["n"].to_numpy(np.int64), got["y"].to_numpy(float)
+
+    def fitted(chosen: np.ndarray) -> FactorizationMachine:
+        flat, each, y = active(chosen)
+        slot = np.full(BUCKETS, -1, np.int32)
+        slot[np.sort(buckets[chosen])] = np.arange(int(chosen.sum()), dtype=np.int32)
+        return fit(np.split(flat, np.cumsum(each)[:-1]) if len(each) else [], y, int(chosen.sum()), slot)
+
+    alone = chi >= least
+    machine = fitted(alone)
+    # Terms with enough rows for a pair's test, beside those that the machine has.
+    wide = alone | (total >= 2 * np.log(max(2, len(counts) * _CELLS)))
+    flat, each, y = active(wide)
+    names = np.sort(buckets[wide])
+    mine = machine.slot[names][flat]
+    owner = np.repeat(np.arange(len(each)), each)
+    probability = machine.probabilities(mine[mine >= 0], np.bincount(owner[mine >= 0], minlength=len(each)))
+    more = np.isin(buckets, names[paired_features(flat, each, y, probability, len(names))])
+    return fitted(alone | more) if (more & ~alone).any() else machine
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
