@@ -44,13 +44,14 @@ class Snapshots:
 class DocumentIndex:
     """Documents in chunks with dense and sparse retrieval.
 
-    The chunk table has (chunk_id, doc_id, doc_name, doc_type, chunk_index, text, embedding). Sparse weights are computed from the
-    table at search time, so deleting or adding documents can leave no stale counts.
+    The chunk table has (chunk_id, doc_id, doc_name, doc_type, chunk_index, text, embedding). Sparse weights are a stored index that the
+    first search after a change makes from the table, so deleting or adding documents can leave no stale counts.
     """
 
     def __init__(self, spark: SparkSession, folder: str, encoder: providers.Encoder | None = None, generator: providers.Generator | None = None, limit: int = 200, overlap: int = 30):
         self.spark, self.tables = spark, Snapshots(spark, folder)
         self.encoder, self.generator, self.limit, self.overlap = encoder, generator, limit, overlap
+        self._sparse: tuple[str | None, retrieval.SparseIndex] | None = None
 
     def add(self, docs: DataFrame) -> None:
         """Documents (doc_id long, doc_name, doc_type, text); those of an id that is there already take its place."""
@@ -72,11 +73,18 @@ class DocumentIndex:
         found = self.tables.read("chunks")
         return self.spark.createDataFrame([], "chunk_id long, doc_id long, doc_name string, doc_type string, chunk_index int, text string, tokens int, embedding array<double>") if found is None else found
 
+    def sparse_index(self) -> retrieval.SparseIndex:
+        """The stored index of the present chunks."""
+        now = self.tables.now.get("chunks")
+        if self._sparse is None or self._sparse[0] != now:
+            self._sparse = (now, retrieval.SparseIndex.build(self.chunks, self.tables.folder))
+        return self._sparse[1]
+
     def _results(self, queries: Sequence[str], chunks: DataFrame | None = None) -> DataFrame:
-        """(query_id, chunk_id, score, method) of a batch of queries: one plan, whatever their number."""
-        chunks = self.chunks if chunks is None else chunks
+        """(query_id, chunk_id, score, method) of a batch of queries: one plan, whatever their number. chunks: those that may be found, if not all."""
         asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
-        sparse = retrieval.sparse_search(asked, chunks)
+        sparse = self.sparse_index().search(asked, chunks)
+        chunks = self.chunks if chunks is None else chunks
         if self.encoder is None:
             return sparse.withColumn("method", F.lit("tfidf"))
         vectors = self.spark.createDataFrame([(i, v) for i, v in enumerate(self.encoder(list(queries))) if v], "query_id int, vector array<double>")
@@ -87,8 +95,8 @@ class DocumentIndex:
 
     def search(self, query: str, k: int = 5, min_score: float = 0.0, where: Column | None = None) -> DataFrame:
         k = max(1, min(50, k))
-        chunks = self.chunks if where is None else self.chunks.where(where)
-        return self._named(self._results([query], chunks).where(F.col("score") >= min_score).orderBy(F.col("score").desc(), "chunk_id").limit(k))
+        chosen = None if where is None else self.chunks.where(where)
+        return self._named(self._results([query], chosen).where(F.col("score") >= min_score).orderBy(F.col("score").desc(), "chunk_id").limit(k))
 
     def search_variants(self, query: str, k: int = 5, n: int = 3) -> DataFrame:
         """Several phrasings at once; a chunk that more of them find scores higher."""
@@ -103,7 +111,7 @@ class DocumentIndex:
 
     def search_expanded(self, query: str, k: int = 5, n: int = 3, multiplier: int = 4) -> DataFrame:
         texts = list(dict.fromkeys([*providers.query_variants(self.generator, query, n), providers.hypothetical_answer(self.generator, query)]))
-        return self._named(retrieval.expanded_merge(self._results(texts), max(1, min(50, k)), multiplier))
+        return self._named(retrieval.expanded_merge(self._results(texts), max(1, min(50, k)), len(texts), multiplier))
 
     def answer(self, query: str, k: int = 5) -> tuple[str, list[str]]:
         """A generated answer (or the evidence itself) and the evidence with its numbers."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import retrieval as R
 from skein.plans.registry import query
-from skein.session import load
+from skein.session import load, shared_folder
 
 TOP = 10
 
@@ -57,8 +57,26 @@ def query_vectors(spark: SparkSession, sf_dir: str, every: bool = False) -> Data
     return vectors.join(questions(spark, sf_dir, True), "query_id", "left_semi") if every else vectors.where("query_id < 8")
 
 
-def sparse(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    return R.sparse_search(questions(spark, sf_dir, every), load(spark, sf_dir, "documents"), "doc_id")
+def index(spark: SparkSession, sf_dir: str) -> R.SparseIndex:
+    """The stored index of a folder's documents, made by the session's first search in them. Tables do not change while a session works on them."""
+    held = spark.__dict__.setdefault("_skein_indexes", {})
+    if sf_dir not in held:
+        held[sf_dir] = R.SparseIndex.build(load(spark, sf_dir, "documents"), shared_folder(spark), "doc_id")
+    return held[sf_dir]
+
+
+def sparse(spark: SparkSession, sf_dir: str, every: bool = False, among: DataFrame | None = None) -> DataFrame:
+    return index(spark, sf_dir).search(questions(spark, sf_dir, every), among)
+
+
+@query("sparse_index", """with dt as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
+tf as (select id, term, count(*) / any_value(size) as tf from dt join (select id, count(*) as size from dt group by 1) using (id) group by 1, 2),
+w as (select id, term, tf, tf * (ln(((select count(*) from documents) + 1.0) / (count(*) over (partition by term) + 1)) + 1) as w from tf)
+select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 9) as unit, round(tf / sqrt(sum(tf * tf) over (partition by id)), 9) as raw from w""")
+def sparse_index(spark, sf_dir):
+    """The postings of an index that is built anew."""
+    built = R.SparseIndex.build(load(spark, sf_dir, "documents"), shared_folder(spark), "doc_id")
+    return built.postings.select("id", "term", F.round("unit", 9).alias("unit"), F.round("raw", 9).alias("raw"))
 
 
 def dense(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
@@ -75,7 +93,7 @@ s as (select query_id, id as chunk_id, round(sum(tf.tf * q) / (any_value(length)
 ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s where score > 0)
 select query_id, chunk_id, score, rank from ranked where rank <= {TOP}""")
 def sparse_raw_tf_topk(spark, sf_dir, every=False):
-    return R.top_k(R.sparse_search(questions(spark, sf_dir, every), load(spark, sf_dir, "documents"), "doc_id", raw_document_tf=True), TOP)
+    return R.top_k(index(spark, sf_dir).search(questions(spark, sf_dir, every), raw_document_tf=True), TOP)
 
 
 @query("term_frequency", """with dt as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
@@ -146,7 +164,7 @@ def mqe_max_merge(spark, sf_dir, every=False):
 @query("expanded_search", f"""with {_SPARSE}, {_TOPPED.format(leg='sparse')}, b as (select chunk_id, max(score) as score from ranked where rank <= 5 group by 1)
 select chunk_id, score from b order by score desc, chunk_id limit {TOP}""")
 def expanded_search(spark, sf_dir, every=False):
-    return R.expanded_merge(sparse(spark, sf_dir, every), TOP)
+    return R.expanded_merge(sparse(spark, sf_dir, every), TOP, questions(spark, sf_dir, every).count())
 
 
 @query("rrf_fusion", f"""with {_SPARSE}, {_TOPPED.format(leg='sparse')}, f as (select chunk_id, round(sum(1.0::double / (rank - 1 + 60)), 9) as score from ranked where rank <= 50 group by 1)
@@ -213,7 +231,7 @@ def coverage_relevance(spark, sf_dir):
 @query("filter_then_search", f"with {_SPARSE}, {_TOPPED.format(leg='f')[:-1].replace('from f', 'from (select s.* from sparse s join documents d on d.doc_id = s.chunk_id where d.lang = ' + chr(39) + 'en' + chr(39) + ' and d.source in (' + chr(39) + 'src1' + chr(39) + ',' + chr(39) + 'src2' + chr(39) + ',' + chr(39) + 'src3' + chr(39) + ')) f')}) select query_id, chunk_id, score, rank from ranked where rank <= {TOP}")
 def filter_then_search(spark, sf_dir, every=False):
     chosen = load(spark, sf_dir, "documents").where("lang = 'en' and source in ('src1', 'src2', 'src3')").select(F.col("doc_id").alias("chunk_id"))
-    return R.top_k(R.restrict(sparse(spark, sf_dir, every), chosen), TOP)
+    return R.top_k(sparse(spark, sf_dir, every, chosen), TOP)
 
 
 @query("citation_context", f"""with {_SPARSE}, {_TOPPED.format(leg='sparse')}
