@@ -481,3 +481,35 @@ def routing_accuracy(spark, sf_dir):
 def beam_search(spark, sf_dir):
     nodes = load(spark, sf_dir, "events").select(F.col("event_id").alias("node_id"), (F.col("user_id") % 5).alias("depth"), F.round("value", 6).alias("score"))
     return R.beam(nodes, 3, 10).select("depth", "node_id", "score")
+
+
+@query("session_listing", "select user_id as session, max(ts) as updated_at, min(ts) as created_at, count(*) as messages from events where event_type <> 'error' group by 1 order by updated_at desc, session limit 50")
+def session_listing(spark, sf_dir):
+    from skein.operators.facades import sessions
+
+    return sessions(load(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") != "error")
+
+
+def _operations(spark, sf_dir):
+    """Purchases write a user's value, views read it."""
+    e = load(spark, sf_dir, "events").where("event_type in ('purchase', 'view')")
+    return e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.when(F.col("event_type") == "view", "get").otherwise("set").alias("op"), F.col("event_id").cast("string").alias("value"))
+
+
+@query("cache_replay", """with o as (select user_id, event_id, epoch_us(ts) / 1e6 as t, event_type = 'purchase' as is_set from events where event_type in ('purchase', 'view')),
+l as (select *, max(case when is_set then t end) over w as written, last_value(case when is_set then event_id end ignore nulls) over w as value from o window w as (partition by user_id order by t, event_id rows between unbounded preceding and 1 preceding))
+select user_id::varchar as key, event_id as seq, coalesce(t < written + 86400, false) as hit, case when t < written + 86400 then value::varchar end as found from l where not is_set""")
+def cache_replay(spark, sf_dir):
+    from skein.streaming.state import cache_replay
+
+    return cache_replay(_operations(spark, sf_dir), 86400.0).select("key", "seq", "hit", "found")
+
+
+@query("tool_recovery")
+def tool_recovery(spark, sf_dir):
+    """Which calls a switched-off tool refuses: users as tools, error events as failures. A state machine has no SQL form."""
+    from skein.streaming.state import disabled_calls
+
+    e = load(spark, sf_dir, "events")
+    result = F.when(F.col("event_type") == "error", "错误：x").when((F.col("event_type") == "signup") & (F.col("value") > 90), "【搜索不可用】").otherwise("ok")
+    return disabled_calls(e.select(F.col("user_id").cast("string").alias("tool"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), result.alias("result")), 2, 86400.0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import retrieval as R
 from skein.plans.registry import query
-from skein.session import load, shared_folder
+from skein.session import load, new_folder
 
 TOP = 10
 
@@ -61,7 +61,7 @@ def index(spark: SparkSession, sf_dir: str) -> R.SparseIndex:
     """The stored index of a folder's documents, made by the session's first search in them. Tables do not change while a session works on them."""
     held = spark.__dict__.setdefault("_skein_indexes", {})
     if sf_dir not in held:
-        held[sf_dir] = R.SparseIndex.build(load(spark, sf_dir, "documents"), shared_folder(spark), "doc_id")
+        held[sf_dir] = R.SparseIndex.build(load(spark, sf_dir, "documents"), new_folder(spark, "index"), "doc_id")
     return held[sf_dir]
 
 
@@ -75,7 +75,7 @@ w as (select id, term, tf, tf * (ln(((select count(*) from documents) + 1.0) / (
 select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 9) as unit, round(tf / sqrt(sum(tf * tf) over (partition by id)), 9) as raw from w""")
 def sparse_index(spark, sf_dir):
     """The postings of an index that is built anew."""
-    built = R.SparseIndex.build(load(spark, sf_dir, "documents"), shared_folder(spark), "doc_id")
+    built = R.SparseIndex.build(load(spark, sf_dir, "documents"), new_folder(spark, "index"), "doc_id")
     return built.postings.select("id", "term", F.round("unit", 9).alias("unit"), F.round("raw", 9).alias("raw"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,13 +38,41 @@ def load(spark: SparkSession, sf_dir: str, name: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where the session names none."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where the session names none, a master on one machine gets a temporary one, which goes when the program ends; on a cluster that would be the driver's own
+    disk, so there it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-shared-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="skein-shared-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a table that a query stores while it runs; sweep deletes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.__dict__.setdefault("_skein_folders", []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes what queries of this session have stored, once their results are written or no longer wanted; how many folders went."""
+    held = spark.__dict__.pop("_skein_folders", [])
+    spark.__dict__.pop("_skein_indexes", None)
+    sc = spark.sparkContext
+    for path in held:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    return len(held)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers of a session, once, for sessions whose workers don't find it by themselves."""
     sc = spark.sparkContext

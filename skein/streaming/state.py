@@ -6,11 +6,13 @@ of numbers a key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -97,3 +99,78 @@ class ExpiringCache:
     @property
     def hit_rate(self) -> float:
         return self.hits / (self.hits + self.misses) if self.hits + self.misses else 0.0
+
+
+def cache_replay(operations: DataFrame, ttl: float) -> DataFrame:
+    """Reads of a log (key, seq, ts double, op "get" or "set", value) with the value they find: the last one written, if it is younger than ttl.
+
+    A cache without a limit to its size is a window over its log, so nothing is replayed row by row.
+    """
+    before = Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("op") == "set", F.struct("ts", "value")), ignorenulls=True).over(before)
+    reads = operations.withColumn("last_", last).where("op = 'get'")
+    fresh = F.coalesce(F.col("ts") < F.col("last_.ts") + ttl, F.lit(False)) & F.col("last_.value").isNotNull()
+    return reads.select("key", "seq", "ts", fresh.alias("hit"), F.when(fresh, F.col("last_.value")).alias("found"))
+
+
+CACHE_OUT = "cache string, seq long, key string, hit boolean, found string"
+
+
+def cache_stream(operations: DataFrame, capacity: int = 100, ttl: float = 300.0, sweep: int = 100) -> DataFrame:
+    """Reads of a stream of operations (cache string, seq long, ts double, op "get", "set" or "update", key, value) on caches of limited size.
+
+    A cache's state is its items with their expiry, `capacity` at most, on the operations' own clock.
+    """
+
+    def run(name: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cache = ExpiringCache(capacity, ttl, sweep)
+        if state.exists:
+            items, cache.writes = state.get
+            cache.items = {k: (v, until) for k, v, until in json.loads(items)}
+        out = []
+        for r in pd.concat(list(frames)).sort_values(["ts", "seq"]).itertuples():  # one micro-batch of one cache
+            if r.op == "get":
+                found = cache.get(r.key, r.ts)
+                out.append((name[0], r.seq, r.key, found is not None, found))
+            elif r.op == "set":
+                cache.set(r.key, r.value, r.ts)
+            else:
+                cache.update(r.key, r.value, r.ts)
+        state.update((json.dumps([(k, v, until) for k, (v, until) in cache.items.items()]), cache.writes))
+        yield pd.DataFrame(out, columns=["cache", "seq", "key", "hit", "found"])
+
+    return operations.groupBy("cache").applyInPandasWithState(run, CACHE_OUT, "items string, writes int", "append", GroupStateTimeout.NoTimeout)
+
+
+def disabled_calls(calls: DataFrame, failures: int = 3, interval: float = 300.0, errors: Sequence[str] = ("错误：", "工具执行失败:", "【搜索不可用】"), terminal: Sequence[str] = ("【搜索不可用】",)) -> DataFrame:
+    """calls (tool string, seq long, ts double, result string) with `refused`: whether the tool was switched off when it was called.
+
+    So many errors in a row switch a tool off, a terminal one does so at once; after `interval` seconds it is on again with no error counted. Refused
+    calls have no result that counts. The calls of a tool are sorted, not collected: they stream through with two numbers of state.
+    """
+
+    def starts(prefixes: Sequence[str]) -> Column:
+        found = F.lit(False)
+        for p in prefixes:
+            found = found | F.coalesce(F.col("result").startswith(p), F.lit(False))
+        return found
+
+    weight = F.when(starts(terminal) & starts(errors), failures).when(starts(errors), 1).otherwise(0)
+    rows = calls.select("tool", F.col("seq").cast("long").alias("seq"), F.col("ts").cast("double").alias("ts"), weight.alias("weight"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool, count, since = None, 0, None
+        for frame in frames:
+            refused = []
+            for name, ts, weight in zip(frame["tool"], frame["ts"], frame["weight"], strict=True):
+                if name != tool:
+                    tool, count, since = name, 0, None
+                if since is not None and ts - since > interval:
+                    count, since = 0, None
+                refused.append(since is not None)
+                if since is None:
+                    count = count + weight if weight else 0
+                    since = ts if count >= failures else None
+            yield frame[["tool", "seq", "ts"]].assign(refused=refused)
+
+    return rows.repartition("tool").sortWithinPartitions("tool", "ts", "seq").mapInPandas(run, "tool string, seq long, ts double, refused boolean")

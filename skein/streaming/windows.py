@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from skein.session import shared_folder
+from skein.session import new_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", files_a_batch: int = 4) -> DataFrame:
@@ -30,7 +29,7 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     Rows are written to the shared folder, where the stream keeps its checkpoint too, so a lost executor loses nothing.
     """
     spark = stream.sparkSession
-    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    top = new_folder(spark, "stream")
     save = "overwrite" if mode == "complete" else "append"
 
     def write(batch: DataFrame, number: int) -> None:
