@@ -6,8 +6,6 @@ import ctypes
 import ctypes.util
 import functools
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import new_folder, shared_folder
+
 #: Bytes of text that one vectorised step holds at a time.
 SLICE_BYTES = 4 << 20
 
@@ -37,14 +37,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; where it names none (single machines, tests) a temporary one is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder as a checkpoint and read from there."""
     shared_folder(df.sparkSession)
@@ -53,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder as a compressed table and read from there: for larger intermediate results."""
-    path = f"{shared_folder(df.sparkSession)}/skein-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "skein")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -115,7 +107,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
     Large-star and small-star contraction in turns. Each round is two aggregations and two equi-joins on the
     edges, which only shrink to stars; every round is written to the shared checkpoint folder, so neither
-    lineage nor driver memory grows. A null end drops the edge; loops and repeated edges change nothing; no edges give
+    lineage nor driver memory grows. Rounds grow with the logarithm of the longest chain; more than `limit` are an error, no result is cut short. A null end drops the edge; loops and repeated edges change nothing; no edges give
     no rows.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
