@@ -6,13 +6,12 @@ texts that the third stage shortens stay rows, with n_chars counted anew. The la
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontam, sentencepiece_ops, simhash, suffix_dedup, toxicity
-from skein.llm.common import load, shared_folder
+from skein.llm.common import load
+from skein.session import new_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each one's result written as Parquet to the shared folder and read again."""
     docs = load(spark, sf_dir, "documents")
-    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    top = new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{top}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
