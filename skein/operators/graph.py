@@ -12,8 +12,9 @@ def entity_names(text: Column) -> Column:
     """Known technical words, capitalised Latin words, CJK subjects and targets of a few patterns, quoted strings; first of equal ones kept."""
     low = F.lower(text)
     known = F.filter(F.array(*[F.lit(w) for w in TECH_ENTITIES]), lambda w: F.contains(low, w))
-    proper = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1))
-    proper = F.filter(proper, lambda p: ~F.array_contains(known, F.lower(p)))
+    proper_ = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1))
+    # The known words are bound once, not looked for again for each of the others.
+    proper = F.transform(F.array(known), lambda k: F.filter(proper_, lambda p: ~F.array_contains(k, F.lower(p))))[0]
     subject = [F.regexp_extract_all(text, F.lit(f"([一-鿿]{{2,8}}){verb}"), F.lit(1)) for verb in ("是(?:一种|一个|一类)?", "使用", "包含", "属于", "支持", "提供了")]
     target = F.regexp_extract_all(text, F.lit("是(?:一种|一个|一类)?([一-鿿]{2,8})"), F.lit(1))
     quoted = F.filter(F.regexp_extract_all(text, F.lit("[「\"'](.+?)[」\"']"), F.lit(1)), lambda q: F.length(q) >= 2)

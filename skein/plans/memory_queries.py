@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scores as S
 from skein.functions import text as T
-from skein.functions.lexicons import TECH_WORDS
+from skein.functions.lexicons import TECH_ENTITIES, TECH_WORDS
 from skein.operators import context as C
 from skein.operators import graph as G
 from skein.operators import logs as L
@@ -130,39 +130,29 @@ def forget_capacity(spark, sf_dir):
     return M.forget(memories(spark, sf_dir), "capacity", capacity=500).select("memory_id")
 
 
-_SETS = "s as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from documents where lang = 'en')"
-_PAIRED = f"{_SETS}, p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) as similarity from s a join s b on a.doc_id < b.doc_id and len(a.t) > 0 and len(b.t) > 0 and least(len(a.t), len(b.t)) >= 0.8 * greatest(len(a.t), len(b.t)))"
+_SETS = """s as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from documents),
+c as (select doc_id, t, min(doc_id) over (partition by md5(array_to_string(list_sort(t), ' '))) as rep from s where len(t) > 0),
+p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) as similarity from c a join c b
+    on a.doc_id < b.doc_id and a.doc_id = a.rep and b.doc_id = b.rep and least(len(a.t), len(b.t)) >= 0.8 * greatest(len(a.t), len(b.t)))"""
 
 
-def _english(spark, sf_dir) -> DataFrame:
-    return load(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"), ((F.col("doc_id") % 7) / 10.0).alias("importance"))
-
-
-@query("dedup_pairs", f"with {_PAIRED} select a, b, round(similarity, 6) as similarity from p where similarity >= 0.8")
-def dedup_pairs(spark, sf_dir):
-    return M.similar_pairs(_english(spark, sf_dir), 0.8).withColumn("similarity", F.round("similarity", 6))
-
-
-@query("dedup_jaccard", f"with {_PAIRED}, l as (select distinct case when b % 7 > a % 7 then a else b end as loser from p where similarity >= 0.8) select doc_id as memory_id from documents where lang = 'en' and doc_id not in (select loser from l)")
-def dedup_jaccard(spark, sf_dir):
-    return M.drop_duplicates(_english(spark, sf_dir), 0.8).select("memory_id")
-
-
-# The same over documents of every language, without SQL: copies are told by membership (member: b has the tokens of a), pairs are those of representatives.
 def _texts(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"), ((F.col("doc_id") % 7) / 10.0).alias("importance"))
 
 
-@query("dedup_pairs_all")
-def dedup_pairs_all(spark, sf_dir):
+@query("dedup_pairs", f"with {_SETS} select rep as a, doc_id as b, 1.0::double as similarity, 'member' as kind from c where doc_id <> rep union all select a, b, round(similarity, 6), 'pair' from p where similarity >= 0.8")
+def dedup_pairs(spark, sf_dir):
+    """Copies are told by membership (member: b has the tokens of a), pairs are those of representatives."""
     m = _texts(spark, sf_dir)
     classes = M.token_classes(m)
     members = classes.where("memory_id <> rep").select(F.col("rep").alias("a"), F.col("memory_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
     return members.unionByName(M.class_pairs(m, classes, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"), F.lit("pair").alias("kind")))
 
 
-@query("dedup_jaccard_all")
-def dedup_jaccard_all(spark, sf_dir):
+@query("dedup_jaccard", f"""with {_SETS}, e as (select a, b from p where similarity >= 0.8 union all select b, a from p where similarity >= 0.8 union all select distinct rep, rep from c),
+l as (select x.doc_id from e join c x on x.rep = e.a join c y on y.rep = e.b where y.doc_id % 7 > x.doc_id % 7 or (y.doc_id % 7 = x.doc_id % 7 and y.doc_id < x.doc_id))
+select doc_id as memory_id from documents where doc_id not in (select doc_id from l)""")
+def dedup_jaccard(spark, sf_dir):
     return M.drop_class_duplicates(_texts(spark, sf_dir), 0.8).select("memory_id")
 
 
@@ -215,75 +205,42 @@ def store_counts(spark, sf_dir):
     return m.rollup("memory_type").agg(F.count("*").alias("n")).select(F.coalesce("memory_type", F.lit("all")).alias("memory_type"), "n")
 
 
-# Knowledge graph: capitalised words of English documents.
-_FOUND = r"w as (select distinct doc_id as memory_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as name from documents where lang = 'en' and doc_id < 300), f as (select distinct memory_id, lower(name) as key from w where regexp_full_match(name, '[A-Z][a-zA-Z]{2,}'))"
+# Knowledge graph: the entities of every document. The documents hold no CJK text, so the SQL leaves out the patterns for it.
+_FOUND = rf"""n as (select doc_id as memory_id, unnest(list_concat(list_filter({sorted(TECH_ENTITIES)!r}, lambda w: contains(lower(text), w)), list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda p: regexp_full_match(p, '[A-Z][a-zA-Z]{{2,}}')),
+    list_filter(regexp_extract_all(text, '[「"'']([^\n\r]+?)[」"'']', 1), lambda q: length(q) >= 2))) as name from documents), f as (select distinct memory_id, lower(name) as key from n)"""
 
 
-def found(spark, sf_dir) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where("lang = 'en' and doc_id < 300").select("doc_id", F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1)).alias("names"))
-    return docs.select(F.col("doc_id").alias("memory_id"), F.explode("names").alias("name")).groupBy("memory_id", F.lower("name").alias("key")).agg(F.min("name").alias("name"))
+def mentioned(spark, sf_dir) -> DataFrame:
+    return G.mentions(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content")))
 
 
 @query("entities", f"with {_FOUND} select key, count(*) as memories from f group by 1")
 def entities(spark, sf_dir):
-    return G.entities(found(spark, sf_dir)).select("key", "memories")
+    return G.entities(mentioned(spark, sf_dir)).select("key", "memories")
 
 
 @query("entity_memory_ids", f"with {_FOUND} select key, string_agg(memory_id, ',' order by memory_id) as ids from f group by 1")
 def entity_memory_ids(spark, sf_dir):
-    return G.memory_ids(found(spark, sf_dir)).select("key", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return G.memory_ids(mentioned(spark, sf_dir)).select("key", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("cooccurrence_edges", f"with {_FOUND} select a.key as source, b.key as target, count(*) as n, round(count(*) * 0.5, 2)::double as weight from f a join f b on a.memory_id = b.memory_id and a.key < b.key group by 1, 2 having count(*) > 1")
 def cooccurrence_edges(spark, sf_dir):
-    edges = G.cooccurrence(found(spark, sf_dir)).groupBy("source", "target").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 2).alias("weight"))
+    edges = G.cooccurrence(mentioned(spark, sf_dir)).groupBy("source", "target").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 2).alias("weight"))
     return edges.where("n > 1")
 
 
 @query("entity_relations", f"with {_FOUND} select a.memory_id, a.key as source, b.key as target from f a join f b on a.memory_id = b.memory_id and a.key < b.key where a.key = 'the' or b.key = 'the'")
 def entity_relations(spark, sf_dir):
-    return G.relations_of(G.cooccurrence(found(spark, sf_dir)), "The").select("memory_id", "source", "target")
+    return G.relations_of(G.cooccurrence(mentioned(spark, sf_dir)), "The").select("memory_id", "source", "target")
 
 
-@query("graph_score", f"""with {_FOUND}, q as (select unnest(['the', 'and', 'with']) as key), e as (select a.memory_id as origin, a.key as source, b.key as target from f a join f b on a.memory_id = b.memory_id and a.key < b.key where a.memory_id < 60),
-l as (select distinct e.origin, e.source, e.target, f.memory_id from e, f where (e.source in (select key from q) and e.target = f.key) or (e.target in (select key from q) and e.source = f.key)),
+@query("graph_score", f"""with {_FOUND}, q as (select unnest(['the', 'and', 'with']) as key), e as (select a.memory_id as origin, a.key as source, b.key as target from f a join f b on a.memory_id = b.memory_id and a.key < b.key where a.key in (select key from q) or b.key in (select key from q)),
+l as (select e.*, f.memory_id from e join f on e.target = f.key where e.source in (select key from q) union select e.*, f.memory_id from e join f on e.source = f.key where e.target in (select key from q)),
 s as (select memory_id, sum(0.5::double * case when origin = memory_id then 0.3::double else 0.15::double end) as links from l group by 1),
 o as (select memory_id, count(*) as size, count(q.key) as shared from f left join q on f.key = q.key group by 1)
 select o.memory_id, round(least(1.0::double, shared::double / (size + 3 - shared) * 0.6::double + coalesce(links, 0) * 0.4::double), 6) as score from o left join s using (memory_id) where shared > 0 or links is not null""")
 def graph_score(spark, sf_dir):
-    f = found(spark, sf_dir)
-    q = spark.createDataFrame([("the",), ("and",), ("with",)], "key string")
-    return G.graph_scores(q, f, G.cooccurrence(f.where("memory_id < 60"))).withColumn("score", F.round("score", 6))
-
-
-# The same over every document, with the graph's own entities. The SQL above holds for its row set only; these have none, tests hold them against brute force.
-def mentioned(spark, sf_dir) -> DataFrame:
-    return G.mentions(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content")))
-
-
-@query("entities_all")
-def entities_all(spark, sf_dir):
-    return G.entities(mentioned(spark, sf_dir)).select("key", "memories")
-
-
-@query("entity_memory_ids_all")
-def entity_memory_ids_all(spark, sf_dir):
-    return G.memory_ids(mentioned(spark, sf_dir)).select("key", F.array_join(F.transform("memory_ids", lambda x: x.cast("string")), ",").alias("ids"))
-
-
-@query("cooccurrence_edges_all")
-def cooccurrence_edges_all(spark, sf_dir):
-    edges = G.cooccurrence(mentioned(spark, sf_dir)).groupBy("source", "target").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 2).alias("weight"))
-    return edges.where("n > 1")
-
-
-@query("entity_relations_all")
-def entity_relations_all(spark, sf_dir):
-    return G.relations_of(G.cooccurrence(mentioned(spark, sf_dir)), "The").select("memory_id", "source", "target")
-
-
-@query("graph_score_all")
-def graph_score_all(spark, sf_dir):
     f = mentioned(spark, sf_dir)
     q = spark.createDataFrame([("the",), ("and",), ("with",)], "key string")
     return G.graph_scores(q, f, G.cooccurrence(f)).withColumn("score", F.round("score", 6))

@@ -1,4 +1,4 @@
-"""Queries without SQL that take every row, held against brute force on small tables."""
+"""Queries that take every row, held against brute force on small tables."""
 
 from __future__ import annotations
 
@@ -33,19 +33,19 @@ def test_graph_takes_every_document(spark, folder):
     where = folder(documents=spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (t, lang) in texts.items()], DOCUMENTS))
     found = {i: {n.lower() for n in re.findall(r"\b[A-Z][a-zA-Z]{2,}\b", t)} for i, (t, _) in texts.items()}
     memories = Counter(k for keys in found.values() for k in keys)
-    assert {r.key: r.memories for r in run(spark, where, "entities_all")} == memories
-    assert {r.key: r.ids for r in run(spark, where, "entity_memory_ids_all")} == {k: ",".join(str(i) for i in sorted(found) if k in found[i]) for k in memories}
+    assert {r.key: r.memories for r in run(spark, where, "entities")} == memories
+    assert {r.key: r.ids for r in run(spark, where, "entity_memory_ids")} == {k: ",".join(str(i) for i in sorted(found) if k in found[i]) for k in memories}
     edges = [(i, *pair) for i, keys in found.items() for pair in combinations(sorted(keys), 2)]
     counts = Counter(e[1:] for e in edges)
-    assert {(r.source, r.target): (r.n, r.weight) for r in run(spark, where, "cooccurrence_edges_all")} == {e: (n, n / 2) for e, n in counts.items() if n > 1}
-    assert sorted(tuple(r) for r in run(spark, where, "entity_relations_all")) == sorted(e for e in edges if "the" in e[1:])
+    assert {(r.source, r.target): (r.n, r.weight) for r in run(spark, where, "cooccurrence_edges")} == {e: (n, n / 2) for e, n in counts.items() if n > 1}
+    assert sorted(tuple(r) for r in run(spark, where, "entity_relations")) == sorted(e for e in edges if "the" in e[1:])
     asked, want = {"the", "and", "with"}, {}
     for m, keys in found.items():
         links = sum(0.5 * (0.3 if o == m else 0.15) for o, s, t in edges if (s in asked and t in keys) or (t in asked and s in keys))
         score = min(1.0, len(keys & asked) / (len(keys | asked)) * 0.6 + links * 0.4)
         if score > 0:
             want[m] = score
-    got = {r.memory_id: r.score for r in run(spark, where, "graph_score_all")}
+    got = {r.memory_id: r.score for r in run(spark, where, "graph_score")}
     assert set(got) == set(want) and all(got[m] == pytest.approx(want[m], abs=1e-6) for m in want)
 
 
@@ -61,18 +61,18 @@ def test_every_question_is_asked(spark, folder):
     )
     # Two documents hold a question's rare word and share the best score; the lower id is first.
     best = {i: min(i % n, (i - 1) % n) for i in items}
-    for name in ("sparse_tfidf_topk_all", "sparse_raw_tf_topk_all", "bm25_topk_all", "filter_then_search_all"):
+    for name in ("sparse_tfidf_topk", "sparse_raw_tf_topk", "bm25_topk", "filter_then_search"):
         rows = run(spark, where, name)
         assert {r.query_id: r.chunk_id for r in rows if r["rank"] == 1} == best and len(rows) == 10 * len(items), name
     cosine = lambda a, b: (1 + a * b) / ((1 + a * a) * (1 + b * b)) ** 0.5
     want = {q: [v for _, v in sorted((-round(min(1.0, cosine(q, v)), 6), v) for v in range(90))[:10]] for q in items}
-    rows = run(spark, where, "dense_cosine_topk_all")
+    rows = run(spark, where, "dense_cosine_topk")
     assert {q: [r.chunk_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q] for q in items} == want
-    for name in ("hybrid_merge_all", "min_score_filter_all", "hybrid_rank_fusion_all", "citation_context_all", "offline_embedding_search"):
+    for name in ("hybrid_merge", "min_score_filter", "hybrid_rank_fusion", "citation_context", "offline_embedding_search"):
         assert {r.query_id for r in run(spark, where, name)} == set(items), name
-    assert {r.chunk_id: r.hits for r in run(spark, where, "mqe_max_merge_all")} == dict.fromkeys(range(n), len(items))
-    assert {r.chunk_id for r in run(spark, where, "expanded_search_all")} >= {i % n for i in items}
-    for name in ("rrf_fusion_all", "node_dedup_all"):
+    assert {r.chunk_id: r.hits for r in run(spark, where, "mqe_max_merge")} == dict.fromkeys(range(n), len(items))
+    assert {r.chunk_id for r in run(spark, where, "expanded_search")} >= {i % n for i in items}
+    for name in ("rrf_fusion", "node_dedup"):
         assert {r.chunk_id for r in run(spark, where, name)} == set(range(n)), name
 
 
@@ -90,11 +90,11 @@ def test_duplicates_in_every_language(spark, folder):
     close = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
     close = {p: x for p, x in close.items() if x >= 0.8}
     rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
-    rows = run(spark, where, "dedup_pairs_all")
+    rows = run(spark, where, "dedup_pairs")
     assert {(r.a, r.b) for r in rows if r.kind == "member"} == {(rep[i], i) for i in sets if rep[i] != i}
     assert {(r.a, r.b): r.similarity for r in rows if r.kind == "pair"} == {(a, b): round(x, 6) for (a, b), x in close.items() if rep[a] == a and rep[b] == b and a != b and sets[a] != sets[b]}
     losers = {a if b % 7 > a % 7 else b for a, b in close}
-    assert {r.memory_id for r in run(spark, where, "dedup_jaccard_all")} == set(range(len(texts))) - losers
+    assert {r.memory_id for r in run(spark, where, "dedup_jaccard")} == set(range(len(texts))) - losers
 
 
 def test_notes_and_questions_of_every_row(spark, folder):
