@@ -14,7 +14,7 @@ from skein.operators import logs as L
 from skein.operators import memory as M
 from skein.operators import routing as R
 from skein.plans.registry import query
-from skein.session import load
+from skein.session import load, spread
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 DUCK_AS_OF = f"timestamp '{AS_OF_TEXT}'"
@@ -137,7 +137,7 @@ p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.t, b.t))::double
 
 
 def _texts(spark, sf_dir) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"), ((F.col("doc_id") % 7) / 10.0).alias("importance"))
+    return spread(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"), ((F.col("doc_id") % 7) / 10.0).alias("importance")))
 
 
 @query("dedup_pairs", f"with {_SETS} select rep as a, doc_id as b, 1.0::double as similarity, 'member' as kind from c where doc_id <> rep union all select a, b, round(similarity, 6), 'pair' from p where similarity >= 0.8")
@@ -211,7 +211,7 @@ _FOUND = rf"""n as (select doc_id as memory_id, unnest(list_concat(list_filter({
 
 
 def mentioned(spark, sf_dir) -> DataFrame:
-    return G.mentions(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content")))
+    return G.mentions(spread(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))))
 
 
 @query("entities", f"with {_FOUND} select key, count(*) as memories from f group by 1")

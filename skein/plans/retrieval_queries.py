@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import retrieval as R
 from skein.plans.registry import query
-from skein.session import load, new_folder
+from skein.session import load, new_folder, spread
 
 TOP = 10
 
@@ -58,7 +58,7 @@ def index(spark: SparkSession, sf_dir: str) -> R.SparseIndex:
     """The stored index of a folder's documents, made by the session's first search in them. Tables do not change while a session works on them."""
     held = spark.__dict__.setdefault("_skein_indexes", {})
     if sf_dir not in held:
-        held[sf_dir] = R.SparseIndex.build(load(spark, sf_dir, "documents"), new_folder(spark, "index"), "doc_id")
+        held[sf_dir] = R.SparseIndex.build(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), new_folder(spark, "index"), "doc_id")
     return held[sf_dir]
 
 
@@ -72,7 +72,7 @@ w as (select id, term, tf, tf * (ln(((select count(*) from documents) + 1.0) / (
 select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 9) as unit, round(tf / sqrt(sum(tf * tf) over (partition by id)), 9) as raw from w""")
 def sparse_index(spark, sf_dir):
     """The postings of an index that is built anew."""
-    built = R.SparseIndex.build(load(spark, sf_dir, "documents"), new_folder(spark, "index"), "doc_id")
+    built = R.SparseIndex.build(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), new_folder(spark, "index"), "doc_id")
     return built.postings.select("id", "term", F.round("unit", 9).alias("unit"), F.round("raw", 9).alias("raw"))
 
 
@@ -202,7 +202,7 @@ s as (select query_id, tf.id as chunk_id, round(sum(idf * tf.n * 2.5 / (tf.n + 1
 ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s where score > 0)
 select query_id, chunk_id, score, rank from ranked where rank <= {TOP}""")
 def bm25_topk(spark, sf_dir):
-    return R.top_k(R.bm25_search(questions(spark, sf_dir), load(spark, sf_dir, "documents"), "doc_id"), TOP)
+    return R.top_k(R.bm25_search(questions(spark, sf_dir), spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"), TOP)
 
 
 @query("keyword_score", """with q as (select text as q from benchmark where item_id = 3), c as (select doc_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as c, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) as k, q from documents, q)

@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "skein", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -37,6 +37,12 @@ def load(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out if it has fewer partitions than the session has cores: a small table in one file would keep them idle. Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 

@@ -161,3 +161,16 @@ def test_ask(spark):
     assert [r.name for r in got.collect()] == ["ann", "bob"] and "people(" in seen[0]
     assert Q.run_sql(spark, "select name from people where id = :i", {"i": 2}).first().name == "bob"
     assert "订单" in Q.question_keywords("查询订单的数量")
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_dense_search_in_blocks(spark, monkeypatch, limit):
+    """Blocks of queries change nothing; null, zero and shorter vectors resemble nothing."""
+    from skein.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "VECTOR_BYTES", limit)
+    q = {1: [1.0, 0.0], 2: [1.0, 1.0], 3: [0.0, -2.0], 4: [0.0, 0.0], 5: None}
+    v = {10: [2.0, 0.0], 11: [1.0, 1.0], 12: [0.0, 3.0], 13: [0.0, 0.0], 14: None, 15: [1.0], 16: [-1.0, 0.5], 17: [1.0, None]}
+    got = retrieval.dense_search(spark.createDataFrame(list(q.items()), "query_id int, vector array<double>"), spark.createDataFrame(list(v.items()), "chunk_id long, embedding array<float>"))
+    root = round(0.5**0.5, 6)
+    assert {(r.query_id, r.chunk_id): r.score for r in got.collect()} == {(1, 10): 1.0, (1, 11): root, (2, 10): root, (2, 11): 1.0, (2, 12): root}
