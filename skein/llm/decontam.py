@@ -58,10 +58,11 @@ class ItemIndex:
     items: list[np.ndarray] = field(init=False)
     budget: np.ndarray = field(init=False)
     need: np.ndarray = field(init=False)
+    sizes: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.items = [codes(t) for t in self.texts]
-        m = np.array([len(x) for x in self.items], np.int64)
+        m = self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.budget = np.maximum(0, np.minimum((m * EDITS).astype(np.int64), m // Q - 1))
         self.need = m + 1 - Q * (self.budget + 1)
         hashes = [gram_hashes(x) for x in self.items]
@@ -76,32 +77,46 @@ class ItemIndex:
         #: Items with fewer than Q characters have no q-gram: the rare case is a plain containment test.
         self.short = [(i, "".join(map(chr, x.tolist()))) for i, x in enumerate(self.items) if 0 < len(x) < Q]
 
-    def regions(self, x: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, lowest diagonal, highest diagonal) of bands in x that reach the bound; bands that touch are one."""
-        h = gram_hashes(x)
+    def _base(self, item: np.ndarray | int, starts: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The number of the band in which diagonal 0 of a text lies. Bands of different texts are neither shared nor neighbours, for any item."""
+        width = self.budget[item] + 1
+        return (starts[text] + text * (self.sizes[item] + 4 * width)) // width
+
+    def regions(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(text, item, lowest diagonal, highest diagonal) of bands that reach the bound; bands of a text that touch are one.
+
+        All texts are looked up in one pass, but diagonals are those of each text: its regions are the same whatever texts are beside it.
+        """
+        sizes = np.array([len(x) for x in texts], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        gap = np.array([_SEPARATOR], np.uint32)
+        h = gram_hashes(np.concatenate([y for x in texts for y in (x, gap)])) if texts else np.zeros(0, np.uint32)
         at = np.flatnonzero(self.table[h >> np.uint32(32 - _TABLE_BITS)])
         if not len(at):
             return []
         g = np.searchsorted(self.grams, h[at])
         g[g == len(self.grams)] = 0
-        real = self.grams[g] == h[at]
-        at, g = at[real], g[real]
-        if not len(at):
+        text = np.searchsorted(starts, at, "right") - 1
+        local = at - starts[text]
+        real = (self.grams[g] == h[at]) & (local + Q <= sizes[text])
+        local, text, g = local[real], text[real], g[real]
+        if not len(g):
             return []
         count = self.count[g]
         total = np.cumsum(count)
         cells: list[np.ndarray] = []
         sums: list[np.ndarray] = []
         begin = 0
-        while begin < len(at):
+        while begin < len(g):
             done = total[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(total, done + _PAIRS, "right")))
             n = count[begin:end]
             post = np.repeat(self.first[g[begin:end]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             owner = self.owner[post]
-            diagonal = np.repeat(at[begin:end], n) - self.place[post]
+            diagonal = np.repeat(local[begin:end], n) - self.place[post]
             # Bands start below zero: an item's start may lie before the text's.
-            key = (owner.astype(np.int64) << 40) + (diagonal + (1 << 32)) // (self.budget[owner] + 1)
+            band = diagonal // (self.budget[owner] + 1) + self._base(owner, starts, np.repeat(text[begin:end], n))
+            key = (owner.astype(np.int64) << 40) + band + (1 << 32)
             key.sort()
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             cells.append(key[head])
@@ -115,15 +130,20 @@ class ItemIndex:
         both = shared.copy()
         both[:-1] += np.where(beside[:-1], shared[1:], 0)
         good = np.flatnonzero(both >= self.need[item])
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
+        bases, owner = np.zeros(0, np.int64), -1
         for k in good.tolist():
             i, width = int(item[k]), int(self.budget[item[k]]) + 1
-            low = (int(key[k]) & ((1 << 40) - 1)) * width - (1 << 32)
+            if i != owner:
+                bases, owner = self._base(i, starts, np.arange(len(texts))), i
+            band = (int(key[k]) & ((1 << 40) - 1)) - (1 << 32)
+            t = int(np.searchsorted(bases - -(-self.sizes[i] // width), band, "right")) - 1
+            low = (band - int(bases[t])) * width
             high = low + 2 * width - 1
-            if out and out[-1][0] == i and low <= out[-1][2] + 1:
-                out[-1] = (i, out[-1][1], high)
+            if out and out[-1][:2] == (t, i) and low <= out[-1][3] + 1:
+                out[-1] = (t, i, out[-1][2], high)
             else:
-                out.append((i, low, high))
+                out.append((t, i, low, high))
         return out
 
 
@@ -164,18 +184,9 @@ def banded_distances(x: np.ndarray, items: list[np.ndarray], low: list[int], hig
 def find(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of every region of the texts within an item's budget, starts and ends in code points."""
     xs = [codes(t) for t in texts]
-    sizes = np.array([len(x) for x in xs], np.int64)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    gap = np.array([_SEPARATOR], np.uint32)
-    joined = np.concatenate([y for x in xs for y in (x, gap)]) if xs else np.zeros(0, np.uint32)
     wanted: dict[int, list[tuple[int, int, int]]] = {}
-    for i, low, high in index.regions(joined):
-        # A region may reach over several texts, as bands that touch are one: each of them is held against the item on the diagonals that it has.
-        m = len(index.items[i])
-        first, last = np.searchsorted(starts, [low - 1, high + m + 1], "right") - 1
-        for t in range(max(0, int(first)), min(int(last), len(xs) - 1) + 1):
-            if low - 1 < starts[t] + sizes[t] and high + m + 1 > starts[t]:
-                wanted.setdefault(t, []).append((i, max(int(low - starts[t]), -m - 1), min(int(high - starts[t]), int(sizes[t]) + 1)))
+    for t, i, low, high in index.regions(xs):
+        wanted.setdefault(t, []).append((i, low, min(high, len(xs[t]) + 1)))
     out = []
     for t, regions in sorted(wanted.items()):
         items = [index.items[i] for i, _, _ in regions]
