@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, decontam, fingerprints, licenses, sentencepiece_ops, simhash, suffix_dedup, toxicity, url_filters, vector_codes, warc
+from skein.llm import chat, decontam, fingerprints, licenses, phrases, sentencepiece_ops, simhash, suffix_dedup, toxicity, url_filters, vector_codes, warc
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece_ops.op1_sentencepiece,
@@ -15,11 +15,13 @@ QUERIES: dict = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_chat_format": chat.op9_chat_format,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_phrases": phrases.op11_phrases,
     "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_url_filters": url_filters.OP8_SQL,
     "op9_chat_format": chat.OP9_SQL,
+    "op11_phrases": phrases.OP11_SQL,
     "op12_vector_codes": vector_codes.OP12_SQL,
 }
