@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, decontam, fingerprints, licenses, phrases, sentencepiece_ops, simhash, suffix_dedup, toxicity, url_filters, vector_codes, warc
+from skein.llm import chat, decontam, fingerprints, licenses, minhash, phrases, sentencepiece_ops, simhash, suffix_dedup, toxicity, url_filters, vector_codes, warc
 
 QUERIES: dict = {
     "op1_sentencepiece": sentencepiece_ops.op1_sentencepiece,
@@ -17,6 +17,7 @@ QUERIES: dict = {
     "op10_decontaminate": decontam.op10_decontaminate,
     "op11_phrases": phrases.op11_phrases,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
