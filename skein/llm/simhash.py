@@ -130,21 +130,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate component: the one with the smallest id. Rows with a null id stay.
-
-    Of repeated rows with one id all stay, as they are one document.
-    """
-    kept = near_duplicates(docs, id_col, text_col).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-
-
 @tidy
-def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "_text"):
-        prints = np.array([text_fingerprint(x or b"") for x in column(batch, "_text").cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-        kept = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(prints)], [*(batch.schema.names[i] for i in kept), "_fp"])
+def _row_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        prints = np.array([text_fingerprint(x or b"") for x in column(batch, "text").cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "id"), pa.array(prints)], ["row", "id", "fp"])
 
 
 def keep_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,21 +142,21 @@ def keep_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Sets are components of fingerprints, so rows that share an id but not a near text are different sets and each keeps a row. Which ids stay is settled from
     ids and fingerprints. Only texts whose id repeats (or is null) are fingerprinted again, to tell their rows apart; equal ones are merged where they
-    are before they are shuffled.
+    are before they are shuffled. The caller's columns travel as one struct, so they may have any names.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("rep"))
     named = distinct.join(components(links(distinct.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v"))), F.col("fp") == F.col("node"), "left")
     best = named.groupBy(F.coalesce("component", "fp").alias("set")).agg(F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "fp")).alias("x"))
-    chosen = best.select(F.col("x.rep").alias("_id"), F.col("x.fp").alias("_fp"))
-    repeated = cut(prints.groupBy(F.col("id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1 or _again is null").select("_again"))
-    single = chosen.join(repeated, F.col("_id") == F.col("_again"), "left_anti").where("_id is not null").select(F.col("_id").alias(id_col))
-    out = docs.join(single, id_col, "left_semi").select(*docs.columns)
+    chosen = best.select(F.col("x.rep").alias("chosen"), F.col("x.fp").alias("its"))
+    repeated = cut(prints.groupBy(F.col("id").alias("again")).agg(F.count("*").alias("n")).where("n > 1 or again is null").select("again"))
+    single = chosen.join(repeated, F.col("chosen") == F.col("again"), "left_anti").where("chosen is not null").select("chosen")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"))
+    out = packed.join(single, F.col("id") == F.col("chosen"), "left_semi").select("row.*")
     if repeated.isEmpty():
         return out
-    rows = docs.join(repeated, F.col(id_col).cast("long").eqNullSafe(F.col("_again")), "left_semi").select(*docs.columns)
-    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
-    marked = bounded(rows).withColumn("_text", F.col(text_col)).mapInArrow(_with_fingerprints, schema).alias("d")
-    wanted = marked.join(chosen.alias("c"), F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("c._id")) & (F.col("d._fp") == F.col("c._fp")), "left_semi")
-    one = wanted.groupBy(id_col, "_fp").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
-    return out.unionByName(one.select("_row.*"))
+    rows = packed.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_semi").select("row", "id", F.col("row")[text_col].alias("text"))
+    schema = StructType([StructField("row", packed.schema["row"].dataType), StructField("id", LongType()), StructField("fp", LongType())])
+    wanted = bounded(rows).mapInArrow(_row_batches, schema).join(chosen, F.col("id").eqNullSafe(F.col("chosen")) & (F.col("fp") == F.col("its")), "left_semi")
+    one = wanted.groupBy("id", "fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(one.select("row.*"))

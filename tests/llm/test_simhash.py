@@ -50,13 +50,19 @@ def test_empty_repeated_and_extra_columns(spark, documents):
     rows = documents([(5, "same text here"), (5, "same text here"), (9, "same text here"), (7, None)]).withColumn("fp", F.lit("x")).withColumn("id", F.lit(1)).withColumn("component_id", F.lit(2))
     got = sorted((r.id, r.component_id) for r in simhash.near_duplicates(rows).collect())
     assert got == [(5, 5), (5, 5), (7, 7), (9, 5)]
-    kept = simhash.keep_one(rows)
-    assert sorted(r.doc_id for r in kept.collect()) == [5, 5, 7] and sorted(kept.columns) == sorted(rows.columns)
-
-
-def test_null_ids_stay(spark, documents):
-    rows = documents([(1, "some words to keep"), (2, "some words to keep")]).unionByName(documents([(0, "other")]).withColumn("doc_id", F.lit(None).cast("long")))
-    assert sorted((r.doc_id is None, r.doc_id) for r in simhash.keep_one(rows).collect()) == [(False, 1), (True, None)]
+    kept = simhash.keep_row(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 7] and kept.columns == rows.columns
+
+
+def test_columns_of_any_name(spark, documents):
+    rows = documents([(1, "some words to keep"), (2, "some words to keep"), (2, "others here to keep too"), (3, None)]).unionByName(documents([(0, "null id text")]).withColumn("doc_id", F.lit(None).cast("long")))
+    for name in ("_fp", "_text", "_id", "_again", "_row", "fp", "id", "row", "again", "chosen", "its", "a.b"):
+        rows = rows.withColumn(name, F.concat(F.lit(name), F.col("text")))
+    kept = simhash.keep_row(rows)
+    assert kept.columns == rows.columns
+    got = sorted((r.doc_id is None, r.doc_id, r.text, r["_fp"], r["row"]) for r in kept.collect())
+    assert [(x[1], x[2]) for x in got] == [(1, "some words to keep"), (2, "others here to keep too"), (3, None), (None, "null id text")]
+    assert got[0][3:] == ("_fpsome words to keep", "rowsome words to keep")
 
 
 def test_components_on_a_long_chain_and_a_star(spark):
