@@ -7,8 +7,8 @@ J, says whether the pair may still reach it: it is dropped where that is less th
 
 Components don't need every pair, and groups of copies would have very many. So links are found in two steps:
 
-* Each class is compared with one member (hub) of each band bucket, and verified against the nearest of these by its bits: one pair a class at most.
-  Groups fall together around their hubs.
+* In each of STARS rounds every band bucket names one member its hub; each component (a class, at first) takes the hub of another component that is nearest
+  to one of its members by their bits, and that pair is verified. Groups fall together around hubs with one pair a component and round.
 * Only buckets that then hold several components matter. Two components that meet in one are compared as wholes, in blocks of bounded size: candidates by their
   bits, then full sets, and one link is enough. All pairs that share a band have by then been compared, or are in one component already.
 
@@ -37,8 +37,11 @@ ROWS = 5
 WORDS = HASHES // 64
 #: Chance of a pair at the threshold being dropped by its bits.
 MISS = 1e-6
-#: Shingles in a block of a component's sets.
+#: Rounds of stars before components are compared as wholes; more of them leave less to that.
+STARS = 3
+#: Shingles in a block of sets; a set counts MEMBER more, so that a block holds few thousands of small ones.
 BLOCK = 1 << 16
+MEMBER = 64
 #: Bits of the filter that picks the texts whose sets are needed.
 FILTER_BITS = 26
 MEMO = 500_000
@@ -232,14 +235,14 @@ def _linked(a: Column, b: Column) -> Column:
 
 
 def _compare(most: list[int]):
-    """Task function: of each pair of blocks the first link that is found, if there is one."""
+    """Task function: of each block of small components (x) and block of a large one (y) the first link of each small component that has one."""
 
     def parse(side: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(x) for x in side["values"]], np.int64)
-        values = np.concatenate([np.asarray(x, np.int64) for x in side["values"]])
-        return np.array(side["id"], np.int64), np.array(side["bits"], np.int64).reshape(-1, WORDS), sizes, values
+        sizes = np.array([len(v) for v in side["values"]], np.int64)
+        values = np.concatenate([np.asarray(v, np.int64) for v in side["values"]]).view(np.uint64)  # in their order as unsigned
+        return np.array(side["id"], np.int64), np.array(side["bits"], np.int64).view(np.uint64).reshape(-1, WORDS), sizes, values
 
-    def link(a, b) -> tuple[int, int] | None:
+    def links(comps: list[int], a, b) -> Iterator[tuple[int, int]]:
         ids_a, bits_a, n_a, v_a = a
         ids_b, bits_b, n_b, v_b = b
         small, large = np.minimum(n_a[:, None], n_b), np.maximum(n_a[:, None], n_b)
@@ -251,36 +254,71 @@ def _compare(most: list[int]):
             i, j, far = i[keep], j[keep], far[keep]
         order = np.argsort(far, kind="stable")
         starts_a, starts_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        done: set[int] = set()
         for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            if comps[x] in done:
+                continue
             s, t = v_a[starts_a[x] : starts_a[x] + n_a[x]], v_b[starts_b[y] : starts_b[y] + n_b[y]]
             at = np.searchsorted(t, s)
             at[at == len(t)] = 0
             both = int((t[at] == s).sum())
             if 100 * both >= THRESHOLD * (len(s) + len(t) - both):
-                return int(ids_a[x]), int(ids_b[y])
-        return None
+                done.add(comps[x])
+                yield int(ids_a[x]), int(ids_b[y])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [got for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True) if (got := link(parse(x.as_py()), parse(y.as_py())))]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
+            for one, other in zip(column(batch, "x"), column(batch, "y"), strict=True):
+                x, y = one.as_py(), other.as_py()
+                if found := list(links(x["comp"], parse(x), parse(y))):
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
 
     return run
 
 
-def _block_links(pairs: DataFrame, members: DataFrame, most: list[int]) -> DataFrame:
-    """(u, v): a link for each pair of blocks of the paired components (x, y) that has one. members: (comp, id, n, b0 .., values), values sorted."""
-    total = members.groupBy(F.col("comp").alias("of")).agg(F.ceil(F.sum("n") / BLOCK).alias("deals"))
+def _blocks(rows: DataFrame, of: str) -> DataFrame:
+    """(of, block): rows (of, comp, id, n, b0 .., values) of each `of` in blocks of bounded size. A large one is dealt over tasks before it is gathered."""
+    cost = F.ceil(F.sum(F.col("n") + MEMBER) / BLOCK)
+    total = rows.groupBy(F.col(of).alias("of")).agg(cost.alias("deals"))
+    dealt = rows.join(total, F.col(of) == F.col("of")).withColumn("deal", F.pmod(F.xxhash64("id", "n"), F.col("deals")))
     bits = F.array(*[f"b{k}" for k in range(WORDS)])
-    dealt = members.join(total, F.col("comp") == F.col("of")).withColumn("deal", F.pmod(F.xxhash64("id", "h1"), F.col("deals")))
-    blocks = dealt.groupBy("comp", "deal").agg(F.collect_list(F.struct("id", bits.alias("bits"), "values")).alias("rows"))
-    blocks = stored(blocks.select("comp", F.struct(F.col("rows.id").alias("id"), F.flatten("rows.bits").alias("bits"), F.col("rows.values").alias("values")).alias("block")))
-    left = pairs.join(blocks.select(F.col("comp").alias("x"), F.col("block").alias("xb")), "x")
-    both = left.join(blocks.select(F.col("comp").alias("y"), F.col("block").alias("yb")), "y").select(F.col("xb").alias("x"), F.col("yb").alias("y"))
+    wanted = F.struct("comp", "id", bits.alias("bits"), "values")
+    packed = dealt.select(of, "deal", wanted.alias("row")).repartition(of, "deal").groupBy(of, "deal").agg(F.collect_list("row").alias("r"))
+    return packed.select(of, F.struct(F.col("r.comp").alias("comp"), F.col("r.id").alias("id"), F.flatten("r.bits").alias("bits"), F.col("r.values").alias("values")).alias("block"))
+
+
+def _block_links(pairs: DataFrame, members: DataFrame, most: list[int]) -> DataFrame:
+    """(u, v): links between the paired components (x, y), at least one for each pair that has any. members: (comp, id, n, b0 .., values), values sorted.
+
+    Of a pair the larger component is told in its blocks, once for all its pairs; the members of all the smaller ones that it meets are packed into blocks of
+    their own. A block of either kind moves once, however many it is compared with.
+    """
+    total = members.groupBy("comp").agg(F.sum(F.col("n") + MEMBER).alias("total"))
+    sized = pairs.join(total.select(F.col("comp").alias("x"), F.col("total").alias("tx")), "x").join(total.select(F.col("comp").alias("y"), F.col("total").alias("ty")), "y")
+    ranked = sized.select(F.when(F.col("tx") >= F.col("ty"), F.col("x")).otherwise(F.col("y")).alias("big"), F.when(F.col("tx") >= F.col("ty"), F.col("y")).otherwise(F.col("x")).alias("small"))
+    ranked = stored(ranked)
+    large = _blocks(members.join(ranked.select(F.col("big").alias("own")).distinct(), F.col("comp") == F.col("own"), "left_semi").withColumn("own", F.col("comp")), "own")
+    small = _blocks(ranked.join(members, F.col("small") == F.col("comp")).drop("small"), "big")
+    both = small.select("big", F.col("block").alias("x")).join(large.select("own", F.col("block").alias("y")), F.col("big") == F.col("own")).select("x", "y")
     return both.mapInArrow(_compare(most), "u long, v long")
 
 
+def _stars(members: DataFrame, comp: DataFrame | None, facts: DataFrame, sets: DataFrame, most: list[int], turn: int) -> DataFrame:
+    """(u, v): verified links, one pair a component at most. members: (key, rep); comp: (node, component) so far."""
+    of = lambda df, rep, name: df.withColumn(name, F.col(rep)) if comp is None else df.join(comp.select(F.col("node").alias("at"), F.col("component").alias(name)), F.col(rep) == F.col("at"), "left").drop("at").withColumn(name, F.coalesce(name, rep))
+    placed = of(members, "rep", "comp")
+    # The member with the least hash is the hub, so that no id is every bucket's hub and each round has others.
+    least = placed.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp")).alias("hub"), F.min("comp").alias("a"), F.max("comp").alias("z"))
+    hubs = least.where("a <> z").select("k", F.col("hub.rep").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+    star = placed.join(hubs, F.col("key") == F.col("k")).where("comp <> hub_comp").select("rep", "comp", "hub").distinct()
+    near = star.join(facts.alias("a"), F.col("rep") == F.col("a.id")).join(facts.alias("b"), (F.col("hub") == F.col("b.id")) & _may_link("a", "b", most))
+    pairs = near.groupBy("comp").agg(F.min(F.struct(_differing("a", "b").alias("far"), F.col("rep").alias("u"), F.col("hub").alias("v"))).alias("best")).select("best.u", "best.v")
+    left = pairs.join(sets.select(F.col("id").alias("iu"), F.col("values").alias("us")), F.col("u") == F.col("iu"))
+    both = left.join(sets.select(F.col("id").alias("iv"), F.col("values").alias("vs")), (F.col("v") == F.col("iv")) & _linked(F.col("us"), F.col("vs")))
+    return both.select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
     """(id, n, component_id) of each row: n is the size of its set, component_id the smallest id that links reach, the row's own included.
 
@@ -296,37 +334,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = classes.select("rep", F.explode("keys").alias("key"))
     shared = keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("held")).where("held > 1")
     members = stored(keyed.join(shared, F.col("key") == F.col("k")).select("key", "rep"))
-    # One hub a bucket: the member with the least hash, so that no id is every bucket's hub.
-    hubs = members.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("rep"), "rep")).alias("hub")).select("k", F.col("hub.rep").alias("hub"))
-    star = members.join(hubs, F.col("key") == F.col("k")).where("rep <> hub").select("rep", "hub").distinct()
-    facts = classes.select("rep", "n", "h1", *words)
-    a, b = facts.alias("a"), facts.alias("b")
-    near = star.join(a, star["rep"] == F.col("a.rep")).join(b, (star["hub"] == F.col("b.rep")) & _may_link("a", "b", most)).select(star["rep"].alias("u"), star["hub"].alias("v"), _differing("a", "b").alias("far"))
-    pairs = near.groupBy("u").agg(F.min(F.struct("far", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    facts = classes.select(F.col("rep").alias("id"), "n", "h1", *words)
     sets = stored(_sets(docs, members.select(F.col("rep").alias("id")), id_col, text_col))
-    first = (
-        pairs.join(sets.select(F.col("id").alias("u"), F.col("values").alias("us")), "u")
-        .join(sets.select(F.col("id").alias("w"), F.col("values").alias("vs")), (F.col("v") == F.col("w")) & _linked(F.col("us"), F.col("vs")))
-        .select("u", "v")
-    )
-    edges = stored(first)
-    comp = components(edges)
+    edges: DataFrame | None = None
+    comp: DataFrame | None = None
+    for turn in range(STARS):
+        more = stored(_stars(members, comp, facts, sets, most, turn))
+        edges = more if edges is None else edges.unionByName(more)
+        comp = components(edges)
     # Buckets that hold several components. A component of one class brings its bits, so most pairs are settled as they meet.
-    named = facts.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
+    named = facts.join(comp, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id"))
     sizes = named.groupBy(F.col("comp").alias("of")).agg(F.count("*").alias("classes"))
-    named = stored(named.join(sizes, F.col("comp") == F.col("of")).select("rep", "comp", "n", "h1", *words, "classes"))
-    placed = members.join(named.select("rep", "comp").distinct(), "rep").select("key", "comp").distinct()
+    named = stored(named.join(sizes, F.col("comp") == F.col("of")).select("id", "comp", "n", "h1", *words, "classes"))
+    placed = members.join(named.select("id", "comp").distinct(), F.col("rep") == F.col("id")).select("key", "comp").distinct()
     mixed = placed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("held")).where("held > 1")
     open_ = stored(placed.join(mixed, F.col("key") == F.col("k")).select("key", "comp"))
-    one = named.where("classes = 1").select(F.col("rep").alias("only"), F.lit(True).alias("single"), "n", *words)
+    one = named.where("classes = 1").select(F.col("id").alias("only"), F.lit(True).alias("single"), "n", *words)
     sided = stored(open_.join(one, F.col("comp") == F.col("only"), "left").drop("only"))
     x, y = sided.alias("x"), sided.alias("y")
     several = F.col("x.single").isNull() | F.col("y.single").isNull()
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (several | _may_link("x", "y", most))).select(F.col("x.comp").alias("x"), F.col("y.comp").alias("y")).distinct()
     met = stored(met)
     concerned = met.select(F.col("x").alias("c")).unionByName(met.select(F.col("y").alias("c"))).distinct()
-    inside = named.join(concerned, F.col("comp") == F.col("c"), "left_semi").join(sets.select(F.col("id").alias("i"), F.col("h1").alias("h"), "values"), (F.col("rep") == F.col("i")) & (F.col("h1") == F.col("h")))
-    more = _block_links(met, inside.select("comp", F.col("rep").alias("id"), "h1", "n", *words, "values"), most)
+    own_sets = sets.select(F.col("id").alias("i"), F.col("h1").alias("h"), "values")
+    inside = named.join(concerned, F.col("comp") == F.col("c"), "left_semi").join(own_sets, (F.col("id") == F.col("i")) & (F.col("h1") == F.col("h")))
+    more = _block_links(met, stored(inside.select("comp", "id", "n", *words, "values")), most)
     comp = components(edges.unionByName(more))
     final = classes.select("n", "h1", "h2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "rep").alias("component_id"))
     own = made.select("id", "n", "h1", "h2")

@@ -53,24 +53,23 @@ def _cutter(parts: int):
     def cut_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = column(batch, "v")
-            kept, sizes, packed = [], [], []
-            for i, v in enumerate(vectors):
-                if not v.is_valid:
-                    continue
-                x = v.values
-                if x.null_count:
-                    continue
-                x = np.asarray(x, np.float64) if len(x) else np.empty(0)
-                if not np.isfinite(x).all():
-                    continue
-                whole = np.floor(x * SCALE)
-                fits = len(x) % parts == 0 and (np.abs(whole) < LIMIT).all()
-                kept.append(i)
-                sizes.append(len(x) if fits else -1)
-                packed.append([_pack(p) for p in whole.astype(np.int64).reshape(parts, -1)] if fits else None)
+            ends = np.asarray(vectors.offsets).astype(np.int64)
+            sizes = np.diff(ends)
+            flat = vectors.values.slice(ends[0], ends[-1] - ends[0])
+            values = np.asarray(flat.fill_null(np.nan), np.float64)
+            whole = np.floor(values * SCALE)
+            # Of each row: whether a component is missing or not finite, and whether one is out of range.
+            count = lambda bad: np.diff(np.concatenate([[0], np.cumsum(bad)])[ends - ends[0]])
+            kept = np.flatnonzero((count(~np.isfinite(values)) == 0) & np.asarray(vectors.is_valid()))
+            fits = (sizes % parts == 0) & (count(~(np.abs(whole) < LIMIT)) == 0)
+            packed: list[list[bytes] | None] = []
+            for i in kept.tolist():
+                own = whole[ends[i] - ends[0] : ends[i + 1] - ends[0]]
+                packed.append([_pack(p) for p in own.astype(np.int64).reshape(parts, sizes[i] // parts)] if fits[i] else None)
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "vec_id").take(at), column(batch, "label").take(at), pa.array(sizes, pa.int64()), pa.array(packed, pa.list_(pa.binary()))], ["vec_id", "label", "size", "parts"]
+                [column(batch, "vec_id").take(at), column(batch, "label").take(at), pa.array(np.where(fits, sizes, -1)[kept]), pa.array(packed, pa.list_(pa.binary()))],
+                ["vec_id", "label", "size", "parts"],
             )
 
     return cut_vectors
