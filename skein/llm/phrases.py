@@ -5,7 +5,7 @@ threshold become a bitmap, and so do the phrases of k words that do (by the same
 if its bucket and both its parts of k words are marked. A bitmap errs on one side only: what it lets through is counted exactly, so results are
 those of a full count.
 
-Bitmaps have 2**bits marks, chosen by the size of the corpus and 2**27 (16 MB) at most; beyond that they let more phrases through and nothing else changes.
+Bitmaps have 2**bits marks, chosen by the size of the corpus and 2**26 (8 MB) at most; beyond that they let more phrases through and nothing else changes.
 Bucket counts stop at the threshold, so they take a byte a bucket in a task. Tasks count runs of some million words before they send phrases on,
 so a frequent phrase is a row for each run, and Spark adds the runs' counts up where they are before it shuffles.
 """
@@ -20,17 +20,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded, column, load, stored, tidy
+from skein.llm.common import bounded, column, load, slices, stored, tidy
 
 LONGEST = 4
 LEAST = 30
 TOP = 2_000
 COVERED = 80
 NO_LANG = "und"
-MIN_BITS, MAX_BITS = 20, 27
+MIN_BITS, MAX_BITS = 20, 26
 #: Words that a task counts together, and distinct words that it remembers.
-RUN = 4_000_000
-MEMO = 1_000_000
+RUN = 2_000_000
+MEMO = 300_000
 _BLOCK_BITS = 16
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes(ord(".") if c in _ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -59,14 +59,18 @@ def _tokens(texts: list[bytes], words: _Words) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, parts), np.int32, len(parts))
 
 
-def _bucket(hashes: np.ndarray, length: int, lang: str, bits: int) -> np.ndarray:
-    """Bucket of the phrase of so many words at each place."""
+def _phrase_hashes(hashes: np.ndarray, length: int, lang: str) -> np.ndarray:
+    """A hash of the phrase of so many words at each place."""
     n = max(0, len(hashes) - length + 1)
     h = np.full(n, xxhash.xxh64_intdigest(lang.encode(), length), np.uint64)
     for k in range(length):
         h += hashes[k : k + n] * _PLACES[k]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -79,6 +83,7 @@ class _Counts:
         self.held = np.zeros(1 << bits, self.kind)
 
     def add(self, buckets: np.ndarray) -> None:
+        buckets = buckets[self.held[buckets] < self.least]
         at, n = np.unique(buckets, return_counts=True)
         self.held[at] = np.minimum(self.held[at].astype(np.int64) + n, self.least).astype(self.kind)
 
@@ -102,57 +107,66 @@ def _pieces_of(lang_texts: dict[str, list[bytes]], words: _Words, runs: dict[str
 def _counter(length: int, bits: int, least: int, marks: tuple[np.ndarray, np.ndarray] | None, ahead: bool):
     """Task function of one pass. marks: packed bits of the buckets of this length and of the phrases one word shorter; ahead: count the next length's buckets."""
 
-    def passing(hashes: np.ndarray, whole: np.ndarray, lang: str) -> np.ndarray:
+    def passing(hashes: np.ndarray, own_hashes: np.ndarray, whole: np.ndarray, lang: str) -> np.ndarray:
         """Whether the phrase of this length at each place is within a piece and may reach the threshold."""
-        n = max(0, len(hashes) - length + 1)
+        n = len(own_hashes)
         ok = np.ones(n, bool)
         for k in range(length):
             ok &= whole[k : k + n]
         if marks is not None and n:
             own, shorter = marks
-            part = _bucket(hashes, length - 1, lang, bits)
-            hit = (shorter[part >> 3] >> (part & 7).astype(np.uint8)) & 1
-            ok &= hit[:n].astype(bool) & hit[1 : n + 1].astype(bool)
             at = np.flatnonzero(ok)
-            b = _bucket(hashes, length, lang, bits)[at]
-            ok[at] = (own[b >> 3] >> (b & 7).astype(np.uint8)) & 1
+            b = _bucket(own_hashes[at], bits)
+            at = at[((own[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
+            b = _bucket(_phrase_hashes(hashes, length - 1, lang), bits)
+            hit = ((shorter[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+            at = at[hit[at] & hit[at + 1]]
+            ok = np.zeros(n, bool)
+            ok[at] = True
         return ok
 
+    def distinct(ids: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First places of the distinct phrases among those at these places, and how often each is there: by their hashes, if these tell all of them apart."""
+        order = np.argsort(h, kind="stable")
+        at, h = at[order], h[order]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(np.append(head, len(at)))
+        first = at[head]
+        if all((ids[at + k] == np.repeat(ids[first + k], n)).all() for k in range(length)):
+            return first, n
+        rows, first, n = np.unique(np.stack([ids[at + k] for k in range(length)], axis=1), axis=0, return_index=True, return_counts=True)
+        return at[first], n
+
     def counted(runs: dict[str, list[np.ndarray]], words: _Words, buckets: _Counts | None) -> Iterator[pa.RecordBatch]:
         table = np.array(words.hashes, np.uint64)
         for lang, chunks in runs.items():
             ids = np.concatenate(chunks)
+            chunks.clear()
             hashes, whole = table[ids], ids != 0
-            ok = passing(hashes, whole, lang)
+            own = _phrase_hashes(hashes, length, lang)
+            ok = passing(hashes, own, whole, lang)
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            # Exact numbers of the phrases: pairs of numbers are ranked before the next word is added.
-            code = ids[at].astype(np.int64)
-            for k in range(1, length):
-                code = np.unique(code, return_inverse=True)[1] * len(words.names) + ids[at + k]
-            _, first, n = np.unique(code, return_index=True, return_counts=True)
-            starts = at[first]
+            starts, n = distinct(ids, at, own[at])
             names = words.names
             spelt = [b" ".join([names[x] for x in row]) for row in np.stack([ids[starts + k] for k in range(length)], axis=1).tolist()]
-            for s in range(0, len(spelt), 20_000):
-                part = spelt[s : s + 20_000]
+            for s in range(0, len(spelt), 200_000):
+                part = spelt[s : s + 200_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), pa.array(part, pa.binary()), pa.array(n[s : s + 20_000], pa.int64()), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())],
+                    [pa.array([lang] * len(part)), pa.array(part, pa.binary()), pa.array(n[s : s + 200_000], pa.int64()), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())],
                     ["lang", "phrase", "n", "block", "counts"],
                 )
             if buckets is not None and len(ids) > length:
-                both = ok[:-1] & ok[1:]
-                for s in range(0, len(both), RUN):
-                    some = np.flatnonzero(both[s : s + RUN]) + s
-                    if len(some):
-                        buckets.add(_bucket(hashes[s : s + RUN + length], length + 1, lang, bits)[some - s])
+                del own
+                some = np.flatnonzero(ok[:-1] & ok[1:])
+                buckets.add(_bucket(_phrase_hashes(hashes, length + 1, lang)[some], bits))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, runs, held = _Words(), {}, 0
         buckets = _Counts(bits, least) if ahead else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = column(batch, "text").cast(pa.binary()).to_pylist()
             groups: dict[str, list[bytes]] = {}
             for lang, text in zip(column(batch, "lang").to_pylist(), texts, strict=True):
@@ -212,7 +226,7 @@ def _phrase_marks(frequent: DataFrame, length: int, bits: int) -> np.ndarray:
                 hashes = np.array(words.hashes, np.uint64)
                 for row in np.array_split(ids, max(1, len(ids) // 50_000)):
                     flat = hashes[row].ravel()
-                    held.add(_bucket(flat, length, lang, bits)[::length])
+                    held.add(_bucket(_phrase_hashes(flat, length, lang)[::length], bits))
         for k, data in held.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["block", "counts"])
 
@@ -220,8 +234,8 @@ def _phrase_marks(frequent: DataFrame, length: int, bits: int) -> np.ndarray:
 
 
 def bits_for(n_bytes: int) -> int:
-    """Bits of a bitmap for texts of so many bytes: about a bucket for every four words."""
-    return min(MAX_BITS, max(MIN_BITS, int(n_bytes // 24).bit_length()))
+    """Bits of a bitmap for texts of so many bytes: about a bucket for every eight words."""
+    return min(MAX_BITS, max(MIN_BITS, int(n_bytes // 48).bit_length()))
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int | None = None) -> tuple[list[DataFrame], DataFrame]:
