@@ -1,14 +1,11 @@
 """Facades: a document index, a memory and a context builder over tables.
 
-State is a folder of Parquet snapshots. A change writes the next snapshot beside the last one and then moves a pointer, so readers see whole snapshots and a
-lost executor costs a retry.
+State is a durable store (skein.sources.store): a change is one commit, readers keep the version they began with, and a store that is opened again goes on where it was.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,42 +13,21 @@ from pyspark.sql import functions as F
 from skein.functions import scores as S
 from skein.functions import text as T
 from skein.operators import chunking, context, memory, providers, retrieval
-
-
-@dataclass
-class Snapshots:
-    """Named tables in a folder; `now` holds each one's latest path."""
-
-    spark: SparkSession
-    folder: str
-    now: dict[str, str] = field(default_factory=dict)
-
-    def read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self.now[name]) if name in self.now else None
-
-    def replace(self, name: str, df: DataFrame) -> None:
-        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.now[name] = path
-
-    def append(self, name: str, df: DataFrame) -> None:
-        if name in self.now:
-            df.write.mode("append").parquet(self.now[name])
-        else:
-            self.replace(name, df)
+from skein.operators.segments import TextIndex
+from skein.sources.store import Store
 
 
 class DocumentIndex:
     """Documents in chunks with dense and sparse retrieval.
 
-    The chunk table has (chunk_id, doc_id, doc_name, doc_type, chunk_index, text, embedding). Sparse weights are a stored index that the
-    first search after a change makes from the table, so deleting or adding documents can leave no stale counts.
+    The chunk table has (chunk_id, doc_id, doc_name, doc_type, chunk_index, text, tokens, embedding). Postings are an index that grows with it (TextIndex), in the same
+    commits, so no search sees one without the other; adding documents reads and indexes these alone.
     """
 
     def __init__(self, spark: SparkSession, folder: str, encoder: providers.Encoder | None = None, generator: providers.Generator | None = None, limit: int = 200, overlap: int = 30):
-        self.spark, self.tables = spark, Snapshots(spark, folder)
+        self.spark, self.tables = spark, Store(spark, folder)
         self.encoder, self.generator, self.limit, self.overlap = encoder, generator, limit, overlap
-        self._sparse: tuple[str | None, retrieval.SparseIndex] | None = None
+        self.index = TextIndex(self.tables)
 
     def add(self, docs: DataFrame) -> None:
         """Documents (doc_id long, doc_name, doc_type, text); those of an id that is there already take its place."""
@@ -59,31 +35,39 @@ class DocumentIndex:
         named = cut.withColumnRenamed("id", "doc_id").join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "doc_name", "doc_type"), "doc_id")
         rows = named.select(F.xxhash64("doc_id", "chunk_index").alias("chunk_id"), "doc_id", "doc_name", "doc_type", "chunk_index", F.col("content").alias("text"), "tokens")
         rows = providers.embed(rows, self.encoder)
-        old = self.tables.read("chunks")
-        if old is None:
-            self.tables.replace("chunks", rows)
-        else:
-            self.tables.replace("chunks", old.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").select(rows.columns).unionByName(rows))
+        with self.tables.begin() as t:
+            old = t.read("chunks")
+            if old is not None:
+                same = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+                self.index.delete(old.join(same, "doc_id", "left_semi").select(F.col("chunk_id").alias("id")), into=t)
+                t.append("gone", same.select("doc_id", F.lit(t.base.version + 1).cast("long").alias("since")))
+            added = t.append("chunks", rows.withColumn("since", F.lit(t.base.version + 1).cast("long")))
+            self.index.add(added, into=t)
 
     def add_text(self, text: str, title: str, doc_id: int, doc_type: str = "text") -> None:
         self.add(self.spark.createDataFrame([(doc_id, title, doc_type, text)], "doc_id long, doc_name string, doc_type string, text string"))
 
     @property
     def chunks(self) -> DataFrame:
-        found = self.tables.read("chunks")
-        return self.spark.createDataFrame([], "chunk_id long, doc_id long, doc_name string, doc_type string, chunk_index int, text string, tokens int, embedding array<double>") if found is None else found
-
-    def sparse_index(self) -> retrieval.SparseIndex:
-        """The stored index of the present chunks."""
-        now = self.tables.now.get("chunks")
-        if self._sparse is None or self._sparse[0] != now:
-            self._sparse = (now, retrieval.SparseIndex.build(self.chunks, self.tables.folder))
-        return self._sparse[1]
+        """The chunks that count: those of a document that was added again or deleted later don't."""
+        rows, gone = self.tables.read("chunks"), self.tables.read("gone")
+        if rows is None:
+            return self.spark.createDataFrame([], "chunk_id long, doc_id long, doc_name string, doc_type string, chunk_index int, text string, tokens int, embedding array<double>")
+        if gone is not None:
+            last = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("since").alias("gone_since"))
+            rows = rows.join(last, (F.col("doc_id") == F.col("gone_id")) & (F.col("since") < F.col("gone_since")), "left_anti")
+        return rows.drop("since")
+
+    def merge(self, fan: int = 4) -> None:
+        """Upkeep: segments and parts of like size become one, and chunks that no longer count go."""
+        self.index.merge(fan)
+        for name in ("chunks", "gone", "index_terms", "index_facts", "index_dead"):
+            self.tables.compact(name, fan)
 
     def _results(self, queries: Sequence[str], chunks: DataFrame | None = None) -> DataFrame:
         """(query_id, chunk_id, score, method) of a batch of queries: one plan, whatever their number. chunks: those that may be found, if not all."""
         asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
-        sparse = self.sparse_index().search(asked, chunks)
+        sparse = self.index.search(asked, chunks)
         chunks = self.chunks if chunks is None else chunks
         if self.encoder is None:
             return sparse.withColumn("method", F.lit("tfidf"))
@@ -130,10 +114,15 @@ class DocumentIndex:
         return out.withColumn("doc_type", F.coalesce("doc_type", F.lit("all")))
 
     def delete(self, doc_ids: Sequence[int]) -> None:
-        self.tables.replace("chunks", self.chunks.where(~F.col("doc_id").isin(*doc_ids)))
+        ids = self.spark.createDataFrame([(int(i),) for i in doc_ids], "doc_id long")
+        with self.tables.begin() as t:
+            rows = t.read("chunks")
+            if rows is not None:
+                self.index.delete(rows.join(ids, "doc_id", "left_semi").select(F.col("chunk_id").alias("id")), into=t)
+                t.append("gone", ids.withColumn("since", F.lit(t.base.version + 1).cast("long")))
 
     def clear(self) -> None:
-        self.tables.now.pop("chunks", None)
+        self.tables.drop(*self.tables.manifest().tables)
 
 
 class Memory:
@@ -142,7 +131,7 @@ class Memory:
     SCHEMA = "memory_id string, content string, memory_type string, importance double, ts timestamp_ntz, session_id string, modality string, file_path string"
 
     def __init__(self, spark: SparkSession, folder: str, ttl_minutes: float = 60):
-        self.spark, self.tables, self.ttl = spark, Snapshots(spark, folder), ttl_minutes
+        self.spark, self.tables, self.ttl = spark, Store(spark, folder), ttl_minutes
 
     @property
     def rows(self) -> DataFrame:
@@ -151,6 +140,7 @@ class Memory:
 
     def add(self, rows: DataFrame) -> None:
         self.tables.append("memories", memory.prepare(rows.select("memory_id", "content", "memory_type", "importance", "ts", "session_id", "modality", "file_path")))
+        self.tables.compact("memories")
 
     def search(self, query: str, as_of: Column, limit: int = 5, types: Sequence[str] = memory.TYPES, session: str | None = None, min_importance: float | None = None) -> DataFrame:
         """(memory_id, content, memory_type, score): TF-IDF and key words by the type's formula, all types in one ranking."""

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import graph, logs, memory, providers, retrieval, tools
-from skein.operators.engine import DocumentIndex, Memory, Snapshots
+from skein.operators.engine import DocumentIndex, Memory
 from skein.sources import files
+from skein.sources.store import Store, Transaction
 
 
 def held(value: float, low: float, high: float):
@@ -106,7 +107,7 @@ class RetrievalActions(Actions):
             texts = list(dict.fromkeys([*texts, providers.hypothetical_answer(self.index.generator, query)]))
         marks.append(("phrasings", clock()))
         asked = self.index.spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
-        found = self.index._results(texts) if hybrid else self.index.sparse_index().search(asked).withColumn("method", F.lit("tfidf"))
+        found = self.index._results(texts) if hybrid else self.index.index.search(asked).withColumn("method", F.lit("tfidf"))
         best = retrieval.top_k(found, 4 * int(held(top_k, 1, 50))).drop("rank")
         marks.append(("search", clock()))
         out = retrieval.rank_fusion(best).orderBy(F.col("score").desc(), "chunk_id").limit(int(held(top_k, 1, 50)))
@@ -181,7 +182,7 @@ class MemoryActions(Actions):
         return rows.orderBy(F.col("ts").desc_nulls_last(), "memory_id").limit(int(held(limit, 1, 100)))
 
     def clear(self) -> None:
-        self.store.tables.now.pop("memories", None)
+        self.store.tables.drop("memories")
 
 
 @dataclass
@@ -238,28 +239,28 @@ class DialogueMemory:
 class SemanticStore:
     """Semantic memories with their vectors, the entities that they name and the edges between these: three tables that grow together."""
 
-    tables: Snapshots
+    tables: Store
     encoder: providers.Encoder | None = None
 
-    def insert(self, memories: DataFrame) -> None:
-        """Adds memories (memory_id, content): vectors, then mentions, then edges of co-occurrence and of patterns. An id that is there already is left as it is."""
-        known = self.tables.read("semantic")
-        fresh = memories.select("memory_id", "content").dropDuplicates(["memory_id"])
-        fresh = fresh if known is None else fresh.join(known.select("memory_id"), "memory_id", "left_anti")
-        self.tables.append("semantic_new", providers.embed(fresh, self.encoder, "content"))
-        added = self.tables.read("semantic_new")  # read back, so that ids stay the same while the other tables are made
+    def _add(self, t: Transaction, memories: DataFrame) -> None:
+        added = t.append("semantic", providers.embed(memories.select("memory_id", "content").dropDuplicates(["memory_id"]), self.encoder, "content"))
         found = graph.mentions(added)
         columns = ["memory_id", "source", "target", "type", "weight"]
-        edges = graph.cooccurrence(found).select(columns).unionByName(graph.pattern_relations(added, found).select(columns))
-        self.tables.append("mentions", found)
-        self.tables.append("edges", edges)
-        self.tables.append("semantic", added)
-        self.tables.now.pop("semantic_new")
+        t.append("mentions", found)
+        t.append("edges", graph.cooccurrence(found).select(columns).unionByName(graph.pattern_relations(added, found).select(columns)))
+
+    def insert(self, memories: DataFrame) -> None:
+        """Adds memories (memory_id, content): vectors, mentions, edges of co-occurrence and of patterns, in one commit. An id that is there already is left as it is."""
+        with self.tables.begin() as t:
+            known = t.read("semantic")
+            self._add(t, memories if known is None else memories.join(known.select("memory_id"), "memory_id", "left_anti"))
 
     def rebuild(self, memories: DataFrame) -> None:
-        """All tables anew from memories: what was derived from the old rows goes with them."""
-        self.tables.now = {k: v for k, v in self.tables.now.items() if k not in ("semantic", "mentions", "edges")}
-        self.insert(memories)
+        """All tables anew from memories, in one commit: what was derived from the old rows goes with them."""
+        with self.tables.begin() as t:
+            for name in ("semantic", "mentions", "edges"):
+                t.drop(name)
+            self._add(t, memories)
 
     def related(self, query: str, limit: int = 10) -> DataFrame:
         """(memory_id, score): memories by the entities of a text and the edges to theirs."""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from skein.operators import facades as A
 from skein.operators import filters as P
 from skein.operators import providers, tools
-from skein.operators.engine import DocumentIndex, Memory, Snapshots
+from skein.operators.engine import DocumentIndex, Memory
+from skein.sources.store import Store
 from skein.streaming import state as ST
 
 
@@ -84,7 +85,7 @@ def test_dialogue_memory(spark, tmp_path):
 
 
 def test_semantic_store(spark, tmp_path):
-    s = A.SemanticStore(Snapshots(spark, str(tmp_path)), providers.hashing_encoder(8))
+    s = A.SemanticStore(Store(spark, str(tmp_path)), providers.hashing_encoder(8))
     rows = lambda *x: spark.createDataFrame(list(x), "memory_id string, content string")
     s.insert(rows(("a", "Python uses Numpy for Arrays"), ("b", "Kafka feeds Numpy"), ("a", "Python uses Numpy for Arrays")))
     s.insert(rows(("b", "something else"), ("c", "Arrays and Kafka")))
