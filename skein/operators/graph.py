@@ -43,11 +43,22 @@ def memory_ids(found: DataFrame) -> DataFrame:
 
 
 def cooccurrence(found: DataFrame, weight: float = 0.5) -> DataFrame:
-    """An edge for each pair of entities of one memory, in order of their keys. A memory names few entities, so the self-join is small for each."""
+    """An edge for each pair of entities of one memory, in order of their keys: n (n - 1) / 2 rows of a memory with n entities, since every one is an edge.
+
+    mentions(limit=n) bounds that where only a memory's first n entities are to count; edges_at gives the edges of some entities without the others'.
+    """
     a, b = found.select("memory_id", F.col("key").alias("source")), found.select("memory_id", F.col("key").alias("target"))
     return a.join(b, "memory_id").where("source < target").withColumn("type", F.lit("co_occurrence")).withColumn("weight", F.lit(weight))
 
 
+def edges_at(found: DataFrame, keys: DataFrame, weight: float = 0.5) -> DataFrame:
+    """cooccurrence's edges with an end among keys (key). Only the asked entities meet the others of their memories, so rows grow with these, not with all pairs."""
+    asked = found.join(keys.select("key").distinct(), "key", "left_semi").select("memory_id", F.col("key").alias("one"))
+    met = asked.join(found.select("memory_id", F.col("key").alias("other")), "memory_id").where("one <> other")
+    each = met.select("memory_id", F.least("one", "other").alias("source"), F.greatest("one", "other").alias("target")).distinct()
+    return each.withColumn("type", F.lit("co_occurrence")).withColumn("weight", F.lit(weight))
+
+
 def pattern_relations(memories: DataFrame, found: DataFrame, text_col: str = "content") -> DataFrame:
     """is_a, uses and related_to edges between entities of one memory, by what stands after or between their names."""
     text = memories.select("memory_id", F.lower(text_col).alias("text"))

@@ -64,17 +64,24 @@ def similar_pairs(memories: DataFrame, threshold: float) -> DataFrame:
 
     Prefix filtering: with tokens in order of rising frequency, two sets of that similarity share one of the first
     size - ceil(threshold * size) + 1 tokens. Frequent tokens are last, so the join meets rare ones.
+
+    By its places i and j in both sets the first shared token bounds the rest: sets of a and b tokens share 1 + min(a - i, b - j) at most and need
+    t / (1 + t) (a + b). Sets are verified as 64-bit hashes of their tokens.
     """
     sets = memories.select(F.col("memory_id").alias("id"), F.array_distinct(T.plain_tokens(F.col("content"))).alias("tokens")).where(F.size("tokens") > 0)
     long = sets.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     frequency = long.groupBy("token").agg(F.count("*").alias("df"))
     ranked = long.join(frequency, "token").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
-    prefix = ranked.where(F.col("r") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).select("id", "size", "token")
-    other = prefix.select(F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("token").alias("token2"))
-    meet = (F.col("token") == F.col("token2")) & (F.col("id") < F.col("id2")) & (F.least("size", "size2") >= F.lit(threshold) * F.greatest("size", "size2"))
-    pairs = prefix.join(other, meet).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+    prefix = ranked.where(F.col("r") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).select("id", "size", "token", "r")
+    other = prefix.select(F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("token").alias("token2"), F.col("r").alias("r2"))
+    near = F.least("size", "size2") >= F.lit(threshold) * F.greatest("size", "size2")
+    # The first shared token of a pair is the same for both sides; later ones may fail this bound, the first does not.
+    enough = 1 + F.least(F.col("size") - F.col("r"), F.col("size2") - F.col("r2")) >= F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("size2")) - 1e-9
+    pairs = prefix.join(other, (F.col("token") == F.col("token2")) & (F.col("id") < F.col("id2")) & near & enough).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    hashed = sets.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    both = pairs.join(hashed.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").join(hashed.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
+    shared = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
+    return shared.select("a", "b", (F.col("n") / (F.col("nx") + F.col("ny") - F.col("n"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def drop_duplicates(memories: DataFrame, threshold: float = 0.8) -> DataFrame:

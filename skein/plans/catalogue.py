@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import function_queries, memory_queries, relational_queries, retrieval_queries, text_queries  # noqa: F401
+from skein.plans import function_queries, memory_queries, relational_queries, retrieval_queries, store_queries, text_queries  # noqa: F401
 from skein.plans.registry import QUERIES, SQL
 
 

@@ -14,7 +14,7 @@ from skein.operators import logs as L
 from skein.operators import memory as M
 from skein.operators import routing as R
 from skein.plans.registry import query
-from skein.session import load, spread
+from skein.session import load, new_folder, spread
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 DUCK_AS_OF = f"timestamp '{AS_OF_TEXT}'"
@@ -232,7 +232,8 @@ def cooccurrence_edges(spark, sf_dir):
 
 @query("entity_relations", f"with {_FOUND} select a.memory_id, a.key as source, b.key as target from f a join f b on a.memory_id = b.memory_id and a.key < b.key where a.key = 'the' or b.key = 'the'")
 def entity_relations(spark, sf_dir):
-    return G.relations_of(G.cooccurrence(mentioned(spark, sf_dir)), "The").select("memory_id", "source", "target")
+    asked = spark.createDataFrame([("the",)], "key string")
+    return G.relations_of(G.edges_at(mentioned(spark, sf_dir), asked), "The").select("memory_id", "source", "target")
 
 
 @query("graph_score", f"""with {_FOUND}, q as (select unnest(['the', 'and', 'with']) as key), e as (select a.memory_id as origin, a.key as source, b.key as target from f a join f b on a.memory_id = b.memory_id and a.key < b.key where a.key in (select key from q) or b.key in (select key from q)),
@@ -241,9 +242,11 @@ s as (select memory_id, sum(0.5::double * case when origin = memory_id then 0.3:
 o as (select memory_id, count(*) as size, count(q.key) as shared from f left join q on f.key = q.key group by 1)
 select o.memory_id, round(least(1.0::double, shared::double / (size + 3 - shared) * 0.6::double + coalesce(links, 0) * 0.4::double), 6) as score from o left join s using (memory_id) where shared > 0 or links is not null""")
 def graph_score(spark, sf_dir):
-    f = mentioned(spark, sf_dir)
+    path = new_folder(spark, "mentions")
+    mentioned(spark, sf_dir).write.parquet(path)  # read in ten places of the plan
+    f = spark.read.parquet(path)
     q = spark.createDataFrame([("the",), ("and",), ("with",)], "key string")
-    return G.graph_scores(q, f, G.cooccurrence(f)).withColumn("score", F.round("score", 6))
+    return G.graph_scores(q, f, G.edges_at(f, q)).withColumn("score", F.round("score", 6))
 
 
 # Context assembly: turns of a conversation as packets.

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import retrieval as R
+from skein.operators.segments import TextIndex
 from skein.plans.registry import query
 from skein.session import load, new_folder, spread
+from skein.sources.store import Files, Store
 
 TOP = 10
 
@@ -54,12 +56,34 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(questions(spark, sf_dir), "query_id", "left_semi")
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the documents table looks like from outside: its files with their times, and its size. A table that is written anew looks different."""
+    files, path = Files(spark, sf_dir), f"{sf_dir}/documents.parquet"
+    return tuple(sorted(files.names(path))), files.size(path)
+
+
+def _held(spark: SparkSession, sf_dir: str, kind: str, make):
+    """An index of a folder's documents, made by the session's first search in them and again once the table has changed."""
+    held, state = spark.__dict__.setdefault("_skein_indexes", {}), _state(spark, sf_dir)
+    if held.get((kind, sf_dir), (None,))[0] != state:
+        held[kind, sf_dir] = (state, make(spread(load(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return held[kind, sf_dir][1]
+
+
 def index(spark: SparkSession, sf_dir: str) -> R.SparseIndex:
-    """The stored index of a folder's documents, made by the session's first search in them. Tables do not change while a session works on them."""
-    held = spark.__dict__.setdefault("_skein_indexes", {})
-    if sf_dir not in held:
-        held[sf_dir] = R.SparseIndex.build(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), new_folder(spark, "index"), "doc_id")
-    return held[sf_dir]
+    """The stored weights of a folder's documents."""
+    return _held(spark, sf_dir, "weights", lambda docs: R.SparseIndex.build(docs, new_folder(spark, "index"), "doc_id"))
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored postings of a folder's documents."""
+
+    def make(docs: DataFrame) -> TextIndex:
+        made = TextIndex(Store(spark, new_folder(spark, "postings")))
+        made.add(docs, "doc_id")
+        return made
+
+    return _held(spark, sf_dir, "postings", make)
 
 
 def sparse(spark: SparkSession, sf_dir: str, among: DataFrame | None = None) -> DataFrame:
@@ -202,7 +226,7 @@ s as (select query_id, tf.id as chunk_id, round(sum(idf * tf.n * 2.5 / (tf.n + 1
 ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s where score > 0)
 select query_id, chunk_id, score, rank from ranked where rank <= {TOP}""")
 def bm25_topk(spark, sf_dir):
-    return R.top_k(R.bm25_search(questions(spark, sf_dir), spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"), TOP)
+    return text_index(spark, sf_dir).bm25_top(questions(spark, sf_dir), TOP)
 
 
 @query("keyword_score", """with q as (select text as q from benchmark where item_id = 3), c as (select doc_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as c, list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) as k, q from documents, q)
