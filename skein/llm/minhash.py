@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 A document's set is its distinct 4-word shingles. Rows with equal sets are one class. A class gets HASHES minimal values; BANDS bands of ROWS values propose
-candidates (a pair at the threshold of 0.8 shares no band in 1 of 8 million cases), and one bit of every value is kept as four words of 64. The bits of
+candidates (a pair at the threshold of 0.8 shares no band in 1 of 8 million cases), and one bit of every value is kept in words of 64. The bits of
 two classes differ with probability (1 - J) / 2, so after each word the posterior of J >= 0.8 given the differences so far, under an even prior on
 J, says whether the pair may still reach it: it is dropped where that is less than MISS. Survivors are verified on their full sets.
 
@@ -31,14 +31,14 @@ from skein.llm.common import bounded, column, components, load, slices, stored,
 SHINGLE = 4
 #: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 80
-HASHES = 256
+HASHES = 384
 BANDS = 40
 ROWS = 5
 WORDS = HASHES // 64
 #: Chance of a pair at the threshold being dropped by its bits.
-MISS = 1e-6
+MISS = 1e-5
 #: Rounds of stars before components are compared as wholes; more of them leave less to that.
-STARS = 3
+STARS = 2
 #: Shingles in a block of sets; a set counts MEMBER more, so that a block holds few thousands of small ones.
 BLOCK = 1 << 16
 MEMBER = 64
