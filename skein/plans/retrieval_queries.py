@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import retrieval as R
+from skein.operators.ann import VectorIndex
 from skein.operators.segments import TextIndex
 from skein.plans.registry import query
 from skein.session import load, new_folder, spread
@@ -100,8 +101,8 @@ def sparse_index(spark, sf_dir):
     return built.postings.select("id", "term", F.round("unit", 9).alias("unit"), F.round("raw", 9).alias("raw"))
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.dense_search(query_vectors(spark, sf_dir), load(spark, sf_dir, "embeddings"), "vec_id")
+def dense(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    return R.dense_search(query_vectors(spark, sf_dir), load(spark, sf_dir, "embeddings"), "vec_id", limit=limit)
 
 
 @query("sparse_tfidf_topk", f"with {_SPARSE}, {_TOPPED.format(leg='sparse')} select query_id, chunk_id, score, rank from ranked where rank <= {TOP}")
@@ -140,7 +141,21 @@ def chunk_share_idf(spark, sf_dir):
 
 @query("dense_cosine_topk", f"with {_DENSE}, {_TOPPED.format(leg='dense')} select query_id, chunk_id, score, rank from ranked where rank <= {TOP}")
 def dense_cosine_topk(spark, sf_dir):
-    return R.top_k(dense(spark, sf_dir), TOP)
+    return R.top_k(dense(spark, sf_dir, TOP), TOP)
+
+
+@query("vector_index_recall", "select count(*) as queries, least(10, (select count(*) from embeddings)) * count(*) as wanted, true as recall_is_enough, true as cells_are_left_out from embeddings where vec_id % 50 = 0")
+def vector_index_recall(spark, sf_dir):
+    """The ten nearest of every vector whose id is divisible by 50, by the stored index and by the exact scan: whether nine in ten are found without asking all cells."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = VectorIndex.build(spread(vectors), new_folder(spark, "vectors"), "vec_id")
+    cells = len(index.quantiser.cells)
+    probes = max(1, int(0.7 * cells))  # these vectors lie nearly evenly around their centres: fewer cells find less than nine in ten
+    exact = R.top_k(R.dense_search(asked, vectors, "vec_id", limit=10), 10).select("query_id", "chunk_id")
+    found = index.search(asked, 10, probes, 200).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "chunk_id"], "left").agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("hits"))
+    return both.select("queries", "wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("recall_is_enough"), F.lit(probes < cells).alias("cells_are_left_out"))
 
 
 @query("vector_distance_by_label", """with q as (select embedding::double[] as q from embeddings where vec_id = 0),
@@ -200,7 +215,7 @@ r as (select *, row_number() over (partition by query_id, leg order by score des
 select query_id, chunk_id, round(sum(1.0::double / (rank - 1 + 60)), 9) as score from r where rank <= 20 group by 1, 2""")
 def hybrid_rank_fusion(spark, sf_dir):
     tagged = lambda df, leg: R.top_k(df, 20).drop("rank").withColumn("leg", F.lit(leg))
-    legs = tagged(dense(spark, sf_dir), "d").unionByName(tagged(sparse(spark, sf_dir), "s"))
+    legs = tagged(dense(spark, sf_dir, 20), "d").unionByName(tagged(sparse(spark, sf_dir), "s"))
     from pyspark.sql import Window
 
     ranked = legs.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "leg").orderBy(F.col("score").desc(), "chunk_id")) - 1)
