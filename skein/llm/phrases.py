@@ -5,9 +5,10 @@ threshold become a bitmap, and so do the phrases of k words that do (by the same
 if its bucket and both its parts of k words are marked. A bitmap errs on one side only: what it lets through is counted exactly, so results are
 those of a full count.
 
-Bitmaps have 2**bits marks, chosen by the size of the corpus and 2**26 (8 MB) at most; beyond that they let more phrases through and nothing else changes.
+Bitmaps have 2**bits marks, chosen by the size of the corpus and 2**25 (4 MB) at most; beyond that they let more phrases through and nothing else changes.
 Bucket counts stop at the threshold, so they take a byte a bucket in a task. Tasks count runs of some million words before they send phrases on,
-so a frequent phrase is a row for each run, and Spark adds the runs' counts up where they are before it shuffles.
+so a frequent phrase is a row for each run, and Spark adds the runs' counts up where they are before it shuffles. Within a run words and phrases are
+the arithmetic of arrays: they are told apart by two hashes of 64 bits each, and spelt out once.
 """
 
 from __future__ import annotations
@@ -27,36 +28,77 @@ LEAST = 30
 TOP = 2_000
 COVERED = 80
 NO_LANG = "und"
-MIN_BITS, MAX_BITS = 20, 26
-#: Words that a task counts together, and distinct words that it remembers.
+MIN_BITS, MAX_BITS = 20, 25
+#: Words that a task counts together.
 RUN = 2_000_000
-MEMO = 300_000
+#: Bytes of text that are cut into words at a time.
+WINDOW = 1 << 20
 _BLOCK_BITS = 16
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
-_TABLE = bytes(ord(".") if c in _ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: A-Z in lower case, whatever ends a piece as ".", a tab as a blank.
+_TABLE = bytes(46 if c in _ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers, one a place.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_DRAWN = np.random.default_rng(20240711)
+#: Two independent polynomial hashes modulo 2**64: values of bytes, and odd bases with their inverses.
+_VALUES = _DRAWN.integers(1, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES[:, [32, 46]] = 0
+_BASES = [int(x) | 1 for x in _DRAWN.integers(1 << 62, 1 << 63, 2, np.uint64)]
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-class _Words(dict):
-    """Words numbered as they come, with their hashes. Number 0 is the end of a piece."""
+def _base_powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of the bases and of their inverses, for texts of so many bytes."""
+    if not _powers or len(_powers[0][0]) < size:
+        row = lambda base: np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]), dtype=np.uint64)
+        _powers[:] = [(row(np.uint64(b)), row(np.uint64(pow(b, -1, 1 << 64)))) for b in _BASES]
+    return _powers
 
-    def __init__(self) -> None:
-        super().__init__({b".": 0})
-        self.names = [b"."]
-        self.hashes = [0]
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self.names)
-        self.names.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return at
 
+class _Run:
+    """Words of texts in order: where they are, their two hashes, and the piece that each lies in."""
 
-def _tokens(texts: list[bytes], words: _Words) -> np.ndarray:
-    """The texts' words as numbers, with 0 where a piece ends."""
-    parts = (b".".join(texts) + b".").translate(_TABLE).replace(b".", b" . ").split()
-    return np.fromiter(map(words.__getitem__, parts), np.int32, len(parts))
+    def __init__(self) -> None:
+        self.texts: list[bytes] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = self.words = self.pieces = 0
+
+    def add(self, texts: list[bytes]) -> None:
+        whole = (b".".join(texts) + b".").translate(_TABLE)
+        at = 0
+        while at < len(whole):
+            end = at + WINDOW
+            if end < len(whole):  # a window ends where no word does: after a separator
+                end = max(whole.rfind(b" ", at, end), whole.rfind(b".", at, end)) + 1
+                if end <= at:
+                    after = [x for x in (whole.find(b" ", at + WINDOW), whole.find(b".", at + WINDOW)) if x >= 0]
+                    end = min(after) + 1
+            self._window(whole[at:end])
+            at = end
+
+    def _window(self, text: bytes) -> None:
+        x = np.frombuffer(text, np.uint8)
+        edge = np.diff(np.concatenate([[False], (x != 32) & (x != 46), [False]]).view(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        pieces = np.cumsum(x == 46)
+        if len(starts):
+            hashes = []
+            for values, (up, down) in zip(_VALUES, _base_powers(len(x)), strict=True):
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(values[x] * up[: len(x)], dtype=np.uint64)])
+                hashes.append((sums[ends] - sums[starts]) * down[starts])
+            self.parts.append((starts + self.size, ends + self.size, *hashes, pieces[starts] + self.pieces))
+        self.texts.append(text)
+        self.size += len(x)
+        self.words += len(starts)
+        self.pieces += int(pieces[-1]) if len(pieces) else 0
+
+    def joined(self) -> tuple[bytes, tuple[np.ndarray, ...]]:
+        """The text and (starts, ends, hashes, other hashes, pieces) of its words; the run is empty then."""
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        columns = tuple(np.concatenate(c) for c in zip(*self.parts, strict=True)) if self.parts else none
+        text = b"".join(self.texts)
+        self.__init__()
+        return text, columns
 
 
 def _phrase_hashes(hashes: np.ndarray, length: int, lang: str) -> np.ndarray:
@@ -95,90 +137,76 @@ class _Counts:
                 yield k, part.tobytes()
 
 
-def _pieces_of(lang_texts: dict[str, list[bytes]], words: _Words, runs: dict[str, list[np.ndarray]]) -> int:
-    total = 0
-    for lang, texts in lang_texts.items():
-        got = _tokens(texts, words)
-        runs.setdefault(lang, []).append(got)
-        total += len(got)
-    return total
-
-
 def _counter(length: int, bits: int, least: int, marks: tuple[np.ndarray, np.ndarray] | None, ahead: bool):
     """Task function of one pass. marks: packed bits of the buckets of this length and of the phrases one word shorter; ahead: count the next length's buckets."""
 
-    def passing(hashes: np.ndarray, own_hashes: np.ndarray, whole: np.ndarray, lang: str) -> np.ndarray:
-        """Whether the phrase of this length at each place is within a piece and may reach the threshold."""
+    def passing(hashes: np.ndarray, own_hashes: np.ndarray, pieces: np.ndarray, lang: str) -> np.ndarray:
+        """Places of the phrases of this length that lie within a piece and may reach the threshold."""
         n = len(own_hashes)
-        ok = np.ones(n, bool)
-        for k in range(length):
-            ok &= whole[k : k + n]
-        if marks is not None and n:
+        at = np.flatnonzero(pieces[:n] == pieces[length - 1 : length - 1 + n])
+        if marks is not None and len(at):
             own, shorter = marks
-            at = np.flatnonzero(ok)
             b = _bucket(own_hashes[at], bits)
             at = at[((own[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
             b = _bucket(_phrase_hashes(hashes, length - 1, lang), bits)
             hit = ((shorter[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
             at = at[hit[at] & hit[at + 1]]
-            ok = np.zeros(n, bool)
-            ok[at] = True
-        return ok
-
-    def distinct(ids: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First places of the distinct phrases among those at these places, and how often each is there: by their hashes, if these tell all of them apart."""
-        order = np.argsort(h, kind="stable")
-        at, h = at[order], h[order]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        n = np.diff(np.append(head, len(at)))
-        first = at[head]
-        if all((ids[at + k] == np.repeat(ids[first + k], n)).all() for k in range(length)):
-            return first, n
-        rows, first, n = np.unique(np.stack([ids[at + k] for k in range(length)], axis=1), axis=0, return_index=True, return_counts=True)
-        return at[first], n
-
-    def counted(runs: dict[str, list[np.ndarray]], words: _Words, buckets: _Counts | None) -> Iterator[pa.RecordBatch]:
-        table = np.array(words.hashes, np.uint64)
-        for lang, chunks in runs.items():
-            ids = np.concatenate(chunks)
-            chunks.clear()
-            hashes, whole = table[ids], ids != 0
+        return at
+
+    def counted(runs: dict[str, _Run], buckets: _Counts | None) -> Iterator[pa.RecordBatch]:
+        for lang, run in runs.items():
+            text, (starts, ends, hashes, others, pieces) = run.joined()
+            if len(starts) < length:
+                continue
             own = _phrase_hashes(hashes, length, lang)
-            ok = passing(hashes, own, whole, lang)
-            at = np.flatnonzero(ok)
+            at = passing(hashes, own, pieces, lang)
             if not len(at):
                 continue
-            starts, n = distinct(ids, at, own[at])
-            names = words.names
-            spelt = [b" ".join([names[x] for x in row]) for row in np.stack([ids[starts + k] for k in range(length)], axis=1).tolist()]
+            if buckets is not None and len(at) > 1:
+                both = at[:-1][np.diff(at) == 1]
+                both = both[pieces[both] == pieces[np.minimum(both + length, len(pieces) - 1)]]
+                both = both[both + length < len(pieces)]
+                buckets.add(_bucket(_phrase_hashes(hashes, length + 1, lang)[both], bits))
+            # Equal phrases lie together in the order of their hashes; the second hash tells those apart that share the first.
+            h = own[at]
+            order = np.argsort(h)
+            at, h = at[order], h[order]
+            o = _phrase_hashes(others, length, lang)[at]
+            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(head, len(at)))
+            if (o != np.repeat(o[head], n)).any():
+                order = np.lexsort((o, h))
+                at, h, o = at[order], h[order], o[order]
+                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])]))
+                n = np.diff(np.append(head, len(at)))
+            first = at[head]
+            a, z = starts[first], ends[first + length - 1]
+            spelt = [text[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)]
+            # Several blanks between words are one.
+            letters = sum(ends[first + k] - starts[first + k] for k in range(length))
+            for i in np.flatnonzero(z - a != letters + length - 1).tolist():
+                spelt[i] = b" ".join(w for w in spelt[i].split(b" ") if w)
             for s in range(0, len(spelt), 200_000):
                 part = spelt[s : s + 200_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(part)), pa.array(part, pa.binary()), pa.array(n[s : s + 200_000], pa.int64()), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())],
                     ["lang", "phrase", "n", "block", "counts"],
                 )
-            if buckets is not None and len(ids) > length:
-                del own
-                some = np.flatnonzero(ok[:-1] & ok[1:])
-                buckets.add(_bucket(_phrase_hashes(hashes, length + 1, lang)[some], bits))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs, held = _Words(), {}, 0
+        runs: dict[str, _Run] = {}
         buckets = _Counts(bits, least) if ahead else None
         for batch in slices(batches):
-            texts = column(batch, "text").cast(pa.binary()).to_pylist()
             groups: dict[str, list[bytes]] = {}
-            for lang, text in zip(column(batch, "lang").to_pylist(), texts, strict=True):
+            for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text").cast(pa.binary()).to_pylist(), strict=True):
                 if text:
                     groups.setdefault(lang, []).append(text)
-            held += _pieces_of(groups, words, runs)
-            if held >= RUN or len(words) >= MEMO:
-                yield from counted(runs, words, buckets)
-                runs, held = {}, 0
-                if len(words) >= MEMO:
-                    words = _Words()
-        yield from counted(runs, words, buckets)
+            for lang, texts in groups.items():
+                runs.setdefault(lang, _Run()).add(texts)
+            if sum(r.words for r in runs.values()) >= RUN:
+                yield from counted(runs, buckets)
+        yield from counted(runs, buckets)
         if buckets is not None:
             for k, data in buckets.blocks():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["lang", "phrase", "n", "block", "counts"])
@@ -216,17 +244,16 @@ def _phrase_marks(frequent: DataFrame, length: int, bits: int) -> np.ndarray:
 
     @tidy
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = _Counts(bits, 1), _Words()
+        held = _Counts(bits, 1)
         for batch in batches:
-            groups: dict[str, list[bytes]] = {}
+            groups: dict[str, _Run] = {}
             for lang, phrase in zip(column(batch, "lang").to_pylist(), column(batch, "phrase").cast(pa.binary()).to_pylist(), strict=True):
-                groups.setdefault(lang, []).append(phrase)
-            for lang, phrases in groups.items():
-                ids = np.fromiter((words[w] for p in phrases for w in p.split()), np.int64, length * len(phrases)).reshape(-1, length)
-                hashes = np.array(words.hashes, np.uint64)
-                for row in np.array_split(ids, max(1, len(ids) // 50_000)):
-                    flat = hashes[row].ravel()
-                    held.add(_bucket(_phrase_hashes(flat, length, lang)[::length], bits))
+                groups.setdefault(lang, _Run()).texts.append(phrase)
+            for lang, run in groups.items():
+                phrases, run.texts = run.texts, []
+                run.add(phrases)
+                hashes = run.joined()[1][2]
+                held.add(_bucket(_phrase_hashes(hashes, length, lang)[::length], bits))
         for k, data in held.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["block", "counts"])
 
@@ -234,8 +261,8 @@ def _phrase_marks(frequent: DataFrame, length: int, bits: int) -> np.ndarray:
 
 
 def bits_for(n_bytes: int) -> int:
-    """Bits of a bitmap for texts of so many bytes: about a bucket for every eight words."""
-    return min(MAX_BITS, max(MIN_BITS, int(n_bytes // 48).bit_length()))
+    """Bits of a bitmap for texts of so many bytes: about a bucket for every 32 words."""
+    return min(MAX_BITS, max(MIN_BITS, int(n_bytes // 192).bit_length()))
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int | None = None) -> tuple[list[DataFrame], DataFrame]:

@@ -67,7 +67,7 @@ def test_against_a_full_count(spark, bits):
 
 def test_counts_of_runs_and_many_words(monkeypatch):
     monkeypatch.setattr(P, "RUN", 50)
-    monkeypatch.setattr(P, "MEMO", 12)
+    monkeypatch.setattr(P, "WINDOW", 23)
     rng = random.Random(5)
     rows = [(t, "en") for t in texts(rng, 60)]
     batches = [pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows[i : i + 7]]), pa.array([x[0] for x in rows[i : i + 7]])], ["lang", "text"]) for i in range(0, 60, 7)]
