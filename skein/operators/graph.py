@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from skein.functions.lexicons import TECH_ENTITIES
 
 
+# Fixed values, on which results depend: the verbs, lengths and quotes below, the 20 characters after a verb, and the weights of edges and scores.
+
+
 def entity_names(text: Column) -> Column:
     """Known technical words, capitalised Latin words, CJK subjects and targets of a few patterns, quoted strings; first of equal ones kept."""
     low = F.lower(text)

@@ -10,6 +10,7 @@ from skein.operators import sqlgate as G
 from skein.plans.registry import query
 from skein.session import load
 from skein.streaming import state as ST
+from skein.streaming import timers as ET
 from skein.streaming import windows as W
 
 
@@ -180,6 +181,15 @@ def stream_first_seen(spark, sf_dir):
     return seen.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("stream_sessions", """with b as (select user_id::varchar as key, ts, value, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 7200000000 then 0 else 1 end as fresh from events),
+s as (select *, sum(fresh) over (partition by key order by ts rows unbounded preceding) as k from b), t as (select key, min(ts) as "start", max(ts) as "end", count(*) as n, round(sum(value), 4) as total from s group by key, k)
+select * from t where epoch_ms("end") + 7200001 <= (select epoch_ms(max(ts)) - 3600000 from events)""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of every user, two hours apart, closed by event-time timers; those that the watermark has not passed are still open."""
+    rows = W.drain(ET.sessions(W.event_stream(spark, sf_dir), "user_id", 7200), "append")
+    return rows.select("key", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
 @query("stream_breaker")
 def stream_breaker(spark, sf_dir):
     """A breaker for each user's events, errors as failures."""

@@ -87,7 +87,7 @@ def ship(spark: SparkSession) -> None:
     top = Path(__file__).resolve().parent.parent
     target = Path(tempfile.mkdtemp(prefix="skein-package-")) / "skein-package.zip"
     with zipfile.ZipFile(target, "w") as z:
-        for p in [*sorted((top / "skein").rglob("*.py")), *sorted(top.glob("corpus_pipeline.py"))]:
+        for p in [*sorted((top / "skein").rglob("*.py")), *sorted(top.glob("*.py"))]:
             z.write(p, p.relative_to(top))
     sc.addPyFile(str(target))
     sc._skein_shipped = True
