@@ -6,7 +6,7 @@ if its bucket and both its parts of k words are marked. A bitmap errs on one sid
 those of a full count.
 
 Bitmaps have 2**bits marks, chosen by the size of the corpus and 2**25 (4 MB) at most; beyond that they let more phrases through and nothing else changes.
-Bucket counts stop at the threshold, so they take a byte a bucket in a task. Tasks count runs of some million words before they send phrases on,
+Bucket counts stop at the threshold, so they take a byte a bucket in a task. Tasks count runs of about a million words before they send phrases on,
 so a frequent phrase is a row for each run, and Spark adds the runs' counts up where they are before it shuffles. Within a run words and phrases are
 the arithmetic of arrays: they are told apart by two hashes of 64 bits each, and spelt out once.
 """
@@ -30,7 +30,7 @@ COVERED = 80
 NO_LANG = "und"
 MIN_BITS, MAX_BITS = 20, 25
 #: Words that a task counts together.
-RUN = 2_000_000
+RUN = 1_000_000
 #: Bytes of text that are cut into words at a time.
 WINDOW = 1 << 20
 _BLOCK_BITS = 16
