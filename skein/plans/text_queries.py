@@ -77,11 +77,18 @@ def distinct_variants(spark, sf_dir):
     return names.select("n_regionkey", F.lit(True).alias("ok"), F.size(T.distinct_variants(F.col("v"))).cast("long").alias("n"))
 
 
-@query("modality_by_extension", "select page_id, case when regexp_extract(lower(url), '(\\.[^./]+)$', 1) in ('.html') then 'text' else 'text' end as modality from pages")
+_EXTENSIONS = ["png", "MP4", "mp3", "py", "txt", "pdf", "json", "xyz", ""]
+
+
+@query("modality_by_extension", f"""with n as (select event_id, lower({_EXTENSIONS}[(event_id * 7 + user_id) % 9 + 1]) as e from events)
+select event_id, case when e = 'png' then 'image' when e = 'mp4' then 'video' when e = 'mp3' then 'audio' when e = 'py' then 'code' when e = 'pdf' then 'document' when e = 'json' then 'data' else 'text' end as modality from n""")
 def modality_by_extension(spark, sf_dir):
+    """Files named after the events, with extensions of every modality, unknown ones and none."""
     from skein.functions.lexicons import MODALITY_BY_EXTENSION
 
-    return load(spark, sf_dir, "pages").select("page_id", T.by_extension(F.regexp_replace("url", r"[?#].*$", ""), MODALITY_BY_EXTENSION).alias("modality"))
+    extension = F.get(F.array(*[F.lit(e) for e in _EXTENSIONS]), ((F.col("event_id") * 7 + F.col("user_id")) % 9).cast("int"))
+    path = F.concat(F.lit("/files.v2/"), F.col("event_type"), F.when(extension == "", "").otherwise(F.concat(F.lit("."), extension)))
+    return load(spark, sf_dir, "events").select("event_id", T.by_extension(path, MODALITY_BY_EXTENSION).alias("modality"))
 
 
 @query("page_text", r"select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g'))) as digest from pages")
@@ -126,12 +133,17 @@ def chunk_tokens(spark, sf_dir):
     return C.token_chunks(load(spark, sf_dir, "documents"), "doc_id", "text").select("id", "chunk_index", "tokens", "paragraphs")
 
 
-_CATALOGUE = [G.Table("users", [G.Column_("id", "bigint"), G.Column_("name", "string", comment="customer name")]), G.Table("orders", [G.Column_("id", "bigint"), G.Column_("user_id", "bigint"), G.Column_("amount", "double")]), G.Table("products", [G.Column_("id", "bigint"), G.Column_("name", "string"), G.Column_("price", "double")])]
+_ASKED = ["order", "key", "text", "id", "date"]
+_NAMED = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@query("table_match", "select * from (values ('users', 0), ('orders', 13), ('products', 0)) t(\"table\", score)")
+@query("table_match", f"""with c as (select table_name, column_name from information_schema.columns where table_name in ({', '.join(f"'{t}'" for t in _NAMED)})), k as (select unnest({_ASKED}) as k),
+n as (select table_name, sum(case when contains(lower(table_name), k) then 10 else 0 end) as s from (select distinct table_name from c), k group by 1), m as (select table_name, sum(case when contains(lower(column_name), k) then 3 else 0 end) as s from c, k group by 1)
+select n.table_name as "table", (n.s + m.s)::int as score from n join m using (table_name)""")
 def table_match(spark, sf_dir):
-    return G.table_scores(spark, _CATALOGUE, ["orders", "amount"]).select("table", F.col("score").cast("int").alias("score"))
+    """How well each of the given tables answers to some key words, by its name and its columns'."""
+    tables = [G.Table(name, [G.Column_(c, kind) for c, kind in load(spark, sf_dir, name).dtypes]) for name in _NAMED]
+    return G.table_scores(spark, tables, _ASKED).select("table", F.col("score").cast("int").alias("score"))
 
 
 @query("catalog_columns", "select 'n_name' as name, 'varchar' = 'varchar' as known union all select 'n_nationkey', true union all select 'n_regionkey', true")
@@ -176,8 +188,9 @@ def batch_sessions(spark, sf_dir):
 
 @query("stream_first_seen", "select event_type, count(*) as n from events group by 1")
 def stream_first_seen(spark, sf_dir):
-    """Events by type after de-duplication by id within the watermark."""
-    seen = W.drain(W.first_seen(W.event_stream(spark, sf_dir).select("event_id", "event_type", "ts"), ["event_id"]), "append")
+    """Events by type, each told three times, after de-duplication by id within the watermark."""
+    told = W.event_stream(spark, sf_dir).select("event_id", "event_type", "ts").withColumn("time", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).drop("time")
+    seen = W.drain(W.first_seen(told, ["event_id"]), "append")
     return seen.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
