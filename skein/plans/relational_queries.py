@@ -22,7 +22,6 @@ statement("join_cross", "select r_name, n_name from region cross join nation")
 statement("join_using", "select count(*) as n, round(sum(l_extendedprice), 2) as total from (select o_orderkey as k from orders where o_orderpriority = '1-URGENT') a join (select l_orderkey as k, l_extendedprice from lineitem) b using (k)")
 statement("join_theta", "select a.n_name as a, b.n_name as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
 statement("join_range", "select s_suppkey, count(*) as parts from supplier join part on p_retailprice between s_acctbal and s_acctbal + 50 group by s_suppkey")
-statement("join_lateral", "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 1) t")
 statement("subquery_scalar", "select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 1.5 from orders)")
 statement("subquery_not_in", "select s_suppkey from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey = 1)")
 statement("subquery_correlated", "select p_partkey from part p where p_retailprice = (select max(p_retailprice) from part q where q.p_brand = p.p_brand)")
@@ -67,6 +66,14 @@ statement("shipping_priority", "select l_orderkey, round(sum(l_extendedprice * (
 statement("revenue_forecast", "select round(sum(l_extendedprice * l_discount), 2) as revenue from lineitem where l_shipdate >= timestamp '1994-01-01' and l_shipdate < timestamp '1995-01-01' and l_discount between 0.05 and 0.07 and l_quantity < 24")
 
 
+@query("join_lateral", "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 1) t")
+def join_lateral(spark, sf_dir):
+    """Each customer's dearest order. Spark plans a lateral subquery's ORDER BY and LIMIT as a global sort before a shuffle, which loses the order; a window's own order holds."""
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey").asc_nulls_last())
+    best = load(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).where("r = 1")
+    return load(spark, sf_dir, "customer").join(best, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
+
+
 @query("agg_approx_distinct")
 def agg_approx_distinct(spark, sf_dir):
     """Distinct customers a priority, within a few hundredths."""
