@@ -87,8 +87,8 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return _held(spark, sf_dir, "postings", make)
 
 
-def sparse(spark: SparkSession, sf_dir: str, among: DataFrame | None = None) -> DataFrame:
-    return index(spark, sf_dir).search(questions(spark, sf_dir), among)
+def sparse(spark: SparkSession, sf_dir: str, among: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    return index(spark, sf_dir).search(questions(spark, sf_dir), among, limit=limit)
 
 
 @query("sparse_index", """with dt as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
@@ -107,7 +107,7 @@ def dense(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFra
 
 @query("sparse_tfidf_topk", f"with {_SPARSE}, {_TOPPED.format(leg='sparse')} select query_id, chunk_id, score, rank from ranked where rank <= {TOP}")
 def sparse_tfidf_topk(spark, sf_dir):
-    return R.top_k(sparse(spark, sf_dir), TOP)
+    return R.top_k(sparse(spark, sf_dir, limit=TOP), TOP)
 
 
 @query("sparse_raw_tf_topk", f"""with {_TOKENS} l as (select id, sqrt(sum(tf * tf)) as length from tf group by 1),
@@ -115,7 +115,7 @@ s as (select query_id, id as chunk_id, round(sum(tf.tf * q) / (any_value(length)
 ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s where score > 0)
 select query_id, chunk_id, score, rank from ranked where rank <= {TOP}""")
 def sparse_raw_tf_topk(spark, sf_dir):
-    return R.top_k(index(spark, sf_dir).search(questions(spark, sf_dir), raw_document_tf=True), TOP)
+    return R.top_k(index(spark, sf_dir).search(questions(spark, sf_dir), raw_document_tf=True, limit=TOP), TOP)
 
 
 @query("term_frequency", """with dt as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
@@ -201,13 +201,13 @@ def mqe_max_merge(spark, sf_dir):
 @query("expanded_search", f"""with {_SPARSE}, {_TOPPED.format(leg='sparse')}, b as (select chunk_id, max(score) as score from ranked where rank <= greatest(1, {4 * TOP} // (select count(*) from benchmark)) group by 1)
 select chunk_id, score from b order by score desc, chunk_id limit {TOP}""")
 def expanded_search(spark, sf_dir):
-    return R.expanded_merge(sparse(spark, sf_dir), TOP, questions(spark, sf_dir).count())
+    return R.expanded_merge(sparse(spark, sf_dir, limit=4 * TOP), TOP, questions(spark, sf_dir).count())
 
 
 @query("rrf_fusion", f"""with {_SPARSE}, {_TOPPED.format(leg='sparse')}, f as (select chunk_id, round(sum(1.0::double / (rank - 1 + 60)), 9) as score from ranked where rank <= 50 group by 1)
 select chunk_id, score from f""")
 def rrf_fusion(spark, sf_dir):
-    return R.rank_fusion(R.top_k(sparse(spark, sf_dir), 50).drop("rank")).withColumn("score", F.round("score", 9))
+    return R.rank_fusion(R.top_k(sparse(spark, sf_dir, limit=50), 50).drop("rank")).withColumn("score", F.round("score", 9))
 
 
 @query("hybrid_rank_fusion", f"""with {_SPARSE}, {_DENSE}, legs as (select query_id, chunk_id, score, 'd' as leg from dense union all select query_id, chunk_id, score, 's' from sparse),
@@ -215,7 +215,7 @@ r as (select *, row_number() over (partition by query_id, leg order by score des
 select query_id, chunk_id, round(sum(1.0::double / (rank - 1 + 60)), 9) as score from r where rank <= 20 group by 1, 2""")
 def hybrid_rank_fusion(spark, sf_dir):
     tagged = lambda df, leg: R.top_k(df, 20).drop("rank").withColumn("leg", F.lit(leg))
-    legs = tagged(dense(spark, sf_dir, 20), "d").unionByName(tagged(sparse(spark, sf_dir), "s"))
+    legs = tagged(dense(spark, sf_dir, 20), "d").unionByName(tagged(sparse(spark, sf_dir, limit=20), "s"))
     from pyspark.sql import Window
 
     ranked = legs.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "leg").orderBy(F.col("score").desc(), "chunk_id")) - 1)
@@ -226,7 +226,7 @@ def hybrid_rank_fusion(spark, sf_dir):
 f as (select *, row_number() over (partition by chunk_id order by leg, score desc) as r from legs)
 select chunk_id, score, leg, row_number() over (order by leg, score desc, chunk_id) as position from f where r = 1""")
 def hyde_union(spark, sf_dir):
-    top = R.top_k(sparse(spark, sf_dir).where("query_id in (0, 1)"), TOP)
+    top = R.top_k(index(spark, sf_dir).search(questions(spark, sf_dir).where("query_id in (0, 1)"), limit=TOP), TOP)
     return R.hypothetical_union(top.where("query_id = 1").select("chunk_id", "score"), top.where("query_id = 0").select("chunk_id", "score"))
 
 
@@ -268,13 +268,13 @@ def coverage_relevance(spark, sf_dir):
 @query("filter_then_search", f"with {_SPARSE}, {_TOPPED.format(leg='f')[:-1].replace('from f', 'from (select s.* from sparse s join documents d on d.doc_id = s.chunk_id where d.lang = ' + chr(39) + 'en' + chr(39) + ' and d.source in (' + chr(39) + 'src1' + chr(39) + ',' + chr(39) + 'src2' + chr(39) + ',' + chr(39) + 'src3' + chr(39) + ')) f')}) select query_id, chunk_id, score, rank from ranked where rank <= {TOP}")
 def filter_then_search(spark, sf_dir):
     chosen = load(spark, sf_dir, "documents").where("lang = 'en' and source in ('src1', 'src2', 'src3')").select(F.col("doc_id").alias("chunk_id"))
-    return R.top_k(sparse(spark, sf_dir, chosen), TOP)
+    return R.top_k(sparse(spark, sf_dir, chosen, TOP), TOP)
 
 
 @query("citation_context", f"""with {_SPARSE}, {_TOPPED.format(leg='sparse')}
 select query_id, string_agg('[' || rank || '] ' || substr(text, 1, 120) || case when length(text) > 120 then '...' else '' end, chr(10) order by rank) as context from ranked join documents on doc_id = chunk_id where rank <= 3 group by 1""")
 def citation_context(spark, sf_dir):
-    top = R.top_k(sparse(spark, sf_dir), 3).join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    top = R.top_k(sparse(spark, sf_dir, limit=3), 3).join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), T.clip(F.col("text"), 120))
     ordered = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
     return top.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("context"))
