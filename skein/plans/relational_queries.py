@@ -21,7 +21,10 @@ statement("join_anti", "select c_custkey from customer left anti join orders on
 statement("join_cross", "select r_name, n_name from region cross join nation")
 statement("join_using", "select count(*) as n, round(sum(l_extendedprice), 2) as total from (select o_orderkey as k from orders where o_orderpriority = '1-URGENT') a join (select l_orderkey as k, l_extendedprice from lineitem) b using (k)")
 statement("join_theta", "select a.n_name as a, b.n_name as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
-statement("join_range", "select s_suppkey, count(*) as parts from supplier join part on p_retailprice between s_acctbal and s_acctbal + 50 group by s_suppkey")
+# Prices are counted once each and meet suppliers by ranges of 50, so no supplier is compared with every part.
+statement("join_range", """with p as (select p_retailprice as price, floor(p_retailprice / 50) as bin, count(*) as n from part group by 1, 2),
+s as (select s_suppkey, s_acctbal, explode(sequence(floor(s_acctbal / 50), floor((s_acctbal + 50) / 50))) as bin from supplier)
+select s_suppkey, sum(n) as parts from s join p on s.bin = p.bin and price between s_acctbal and s_acctbal + 50 group by s_suppkey""", "select s_suppkey, count(*) as parts from supplier join part on p_retailprice between s_acctbal and s_acctbal + 50 group by s_suppkey")
 statement("subquery_scalar", "select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 1.5 from orders)")
 statement("subquery_not_in", "select s_suppkey from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey = 1)")
 statement("subquery_correlated", "select p_partkey from part p where p_retailprice = (select max(p_retailprice) from part q where q.p_brand = p.p_brand)")

@@ -30,3 +30,14 @@ def test_vector_recall_over_many_near_vectors(spark, tmp_path):
     rows = [(i, v) for i, v in enumerate(x.tolist())]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert entry.queries()["vector_index_recall"](spark, str(tmp_path)).first().asDict() == {"queries": 400, "wanted": 4000, "recall_is_enough": True, "cells_are_left_out": True}
+
+
+def test_join_range_compares_no_supplier_with_every_part(spark, tmp_path):
+    balances = [-60.0, -50.0, -0.5, 0.0, 49.99, 50.0, 99.9, 100.0, 850.0, 900.5, 900.5, None]
+    prices = [-50.0, -10.25, 0.0, 0.0, 49.99, 50.0, 50.01, 100.0, 149.9, 149.9, 150.0, 900.0, 949.5, None]
+    spark.createDataFrame(list(enumerate(balances)), "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(list(enumerate(prices)), "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    out = entry.queries()["join_range"](spark, str(tmp_path))
+    counts = {k: sum(p is not None and a <= p <= a + 50 for p in prices) for k, a in enumerate(balances) if a is not None}
+    assert {r.s_suppkey: r.parts for r in out.collect()} == {k: n for k, n in counts.items() if n}
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
