@@ -13,15 +13,15 @@ from skein.functions.lexicons import TECH_ENTITIES
 
 def entity_names(text: Column) -> Column:
     """Known technical words, capitalised Latin words, CJK subjects and targets of a few patterns, quoted strings; first of equal ones kept."""
-    low = F.lower(text)
-    known = F.filter(F.array(*[F.lit(w) for w in TECH_ENTITIES]), lambda w: F.contains(low, w))
-    proper_ = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1))
-    # The known words are bound once, not looked for again for each of the others.
-    proper = F.transform(F.array(known), lambda k: F.filter(proper_, lambda p: ~F.array_contains(k, F.lower(p))))[0]
+    words = F.array(*[F.lit(w) for w in TECH_ENTITIES])
+    known = F.transform(F.array(F.lower(text)), lambda low: F.filter(words, lambda w: F.contains(low, w)))[0]  # the text is lower-cased once, not for each word
+    proper = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z]{2,})\b"), F.lit(1))
     subject = [F.regexp_extract_all(text, F.lit(f"([一-鿿]{{2,8}}){verb}"), F.lit(1)) for verb in ("是(?:一种|一个|一类)?", "使用", "包含", "属于", "支持", "提供了")]
     target = F.regexp_extract_all(text, F.lit("是(?:一种|一个|一类)?([一-鿿]{2,8})"), F.lit(1))
+    patterns = F.when(text.rlike("[一-鿿]"), F.concat(*subject, target)).otherwise(F.array().cast("array<string>"))  # one look at a text without CJK, not seven
     quoted = F.filter(F.regexp_extract_all(text, F.lit("[「\"'](.+?)[」\"']"), F.lit(1)), lambda q: F.length(q) >= 2)
-    return F.array_distinct(F.concat(known, proper, *subject, target, quoted))
+    # The known words are bound once, not looked for again for each of the others.
+    return F.transform(F.array(known), lambda k: F.array_distinct(F.concat(k, F.filter(proper, lambda p: ~F.array_contains(k, F.lower(p))), patterns, quoted)))[0]
 
 
 def entity_type(name: Column) -> Column:
@@ -32,7 +32,8 @@ def entity_type(name: Column) -> Column:
 def mentions(memories: DataFrame, id_col: str = "memory_id", text_col: str = "content", limit: int | None = None) -> DataFrame:
     """(memory_id, key, name): a row for each distinct entity of a memory; keys are lower-cased names."""
     names = entity_names(F.col(text_col))
-    long = memories.select(F.col(id_col).alias("memory_id"), F.explode(names if limit is None else F.slice(names, 1, limit)).alias("name"))
+    # From a plain explode Spark derives filters (not null, not empty) that evaluate the names twice more.
+    long = memories.select(F.col(id_col).alias("memory_id"), F.explode_outer(names if limit is None else F.slice(names, 1, limit)).alias("name")).where("name is not null")
     return long.groupBy("memory_id", F.lower("name").alias("key")).agg(F.min("name").alias("name"))
 
 
