@@ -55,6 +55,18 @@ def cooccurrence(found: DataFrame, weight: float = 0.5) -> DataFrame:
     return a.join(b, "memory_id").where("source < target").withColumn("type", F.lit("co_occurrence")).withColumn("weight", F.lit(weight))
 
 
+def edge_counts(found: DataFrame, folder: str, least: int = 2, weight: float = 0.5) -> DataFrame:
+    """(source, target, n, weight): cooccurrence's edges that at least so many memories have, counted, their weights summed. folder: where found is stored, since it is read twice.
+
+    A pair is in no more memories than its rarer end, so entities of fewer memories, which are most of the names, are left out before pairs are made.
+    """
+    found.select("memory_id", "key").write.parquet(folder)
+    stored = found.sparkSession.read.parquet(folder)
+    often = stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
+    edges = cooccurrence(stored.join(often, "key", "left_semi"), weight)
+    return edges.groupBy("source", "target").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).where(F.col("n") >= least)
+
+
 def edges_at(found: DataFrame, keys: DataFrame, weight: float = 0.5) -> DataFrame:
     """cooccurrence's edges with an end among keys (key). Only the asked entities meet the others of their memories, so rows grow with these, not with all pairs."""
     asked = found.join(keys.select("key").distinct(), "key", "left_semi").select("memory_id", F.col("key").alias("one"))

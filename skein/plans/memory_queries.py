@@ -226,8 +226,7 @@ def entity_memory_ids(spark, sf_dir):
 
 @query("cooccurrence_edges", f"with {_FOUND} select a.key as source, b.key as target, count(*) as n, round(count(*) * 0.5, 2)::double as weight from f a join f b on a.memory_id = b.memory_id and a.key < b.key group by 1, 2 having count(*) > 1")
 def cooccurrence_edges(spark, sf_dir):
-    edges = G.cooccurrence(mentioned(spark, sf_dir)).groupBy("source", "target").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 2).alias("weight"))
-    return edges.where("n > 1")
+    return G.edge_counts(mentioned(spark, sf_dir), new_folder(spark, "mentions")).withColumn("weight", F.round("weight", 2))
 
 
 @query("entity_relations", f"with {_FOUND} select a.memory_id, a.key as source, b.key as target from f a join f b on a.memory_id = b.memory_id and a.key < b.key where a.key = 'the' or b.key = 'the'")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
 from skein.operators import graph as G
 
 
@@ -11,3 +17,16 @@ def test_names_are_evaluated_once(spark):
     assert {(r.memory_id, r.key) for r in found.collect()} == {(1, "redis"), (1, "go"), (1, "paris"), (4, "知识图谱"), (4, "paris")}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("「") == 1  # no filter that repeats the names' patterns
+
+
+def test_counted_edges_without_rare_ends(spark, tmp_path):
+    rng = random.Random(4)
+    held = {m: {f"k{rng.randrange(12)}" for _ in range(rng.randrange(6))} | {f"only{m}"} for m in range(40)}
+    found = spark.createDataFrame([(m, k, k) for m, keys in held.items() for k in keys], "memory_id long, key string, name string")
+    counts = Counter(p for keys in held.values() for p in combinations(sorted(keys), 2))
+    got = G.edge_counts(found, f"{tmp_path}/a")
+    assert {(r.source, r.target): (r.n, r.weight) for r in got.collect()} == {p: (n, n / 2) for p, n in counts.items() if n > 1}
+    every = G.edge_counts(found, f"{tmp_path}/b", least=1)
+    assert {(r.source, r.target): r.n for r in every.collect()} == counts
+    assert spark.read.parquet(f"{tmp_path}/a").where(F.col("key").startswith("only")).count() == 40
+    assert "left_semi" in got._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftsemi", "left_semi")
