@@ -274,7 +274,9 @@ def filter_then_search(spark, sf_dir):
 @query("citation_context", f"""with {_SPARSE}, {_TOPPED.format(leg='sparse')}
 select query_id, string_agg('[' || rank || '] ' || substr(text, 1, 120) || case when length(text) > 120 then '...' else '' end, chr(10) order by rank) as context from ranked join documents on doc_id = chunk_id where rank <= 3 group by 1""")
 def citation_context(spark, sf_dir):
-    top = R.top_k(sparse(spark, sf_dir, limit=3), 3).join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), T.clip(F.col("text"), 120))
+    best = R.top_k(sparse(spark, sf_dir, limit=3), 3)
+    best = F.broadcast(best) if R.few(questions(spark, sf_dir), R.BROADCAST_ROWS // 3) else best  # three rows a question at most
+    top = best.join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), T.clip(F.col("text"), 120).alias("text")), "chunk_id")  # no whole text is moved
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
     return top.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("context"))

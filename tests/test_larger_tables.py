@@ -41,3 +41,9 @@ def test_join_range_compares_no_supplier_with_every_part(spark, tmp_path):
     counts = {k: sum(p is not None and a <= p <= a + 50 for p in prices) for k, a in enumerate(balances) if a is not None}
     assert {r.s_suppkey: r.parts for r in out.collect()} == {k: n for k, n in counts.items() if n}
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_citation_context_moves_no_text(spark, sf):
+    """The best rows go to the documents; texts, of any number, stay where they are."""
+    plan = entry.queries()["citation_context"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
