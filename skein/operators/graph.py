@@ -37,6 +37,15 @@ def mentions(memories: DataFrame, id_col: str = "memory_id", text_col: str = "co
     return long.groupBy("memory_id", F.lower("name").alias("key")).agg(F.min("name").alias("name"))
 
 
+#: Mentions of a task of dealt.
+TASK_MENTIONS = 250_000
+
+
+def dealt(found: DataFrame) -> DataFrame:
+    """Stored mentions by memory, so many to a task: adaptive execution would join them to a few large tasks, and what these hold grows with the table."""
+    return found.repartition(max(1, -(-found.count() // TASK_MENTIONS)), "memory_id")
+
+
 def entities(found: DataFrame) -> DataFrame:
     """(key, name, type, memories): each entity with the number of memories that name it."""
     return found.groupBy("key").agg(F.min("name").alias("name"), F.count("*").alias("memories")).withColumn("type", entity_type(F.col("name")))

@@ -243,7 +243,7 @@ select o.memory_id, round(least(1.0::double, shared::double / (size + 3 - shared
 def graph_score(spark, sf_dir):
     path = new_folder(spark, "mentions")
     mentioned(spark, sf_dir).write.parquet(path)  # read in ten places of the plan
-    f = spark.read.parquet(path)
+    f = G.dealt(spark.read.parquet(path))
     q = spark.createDataFrame([("the",), ("and",), ("with",)], "key string")
     return G.graph_scores(q, f, G.edges_at(f, q)).withColumn("score", F.round("score", 6))
 

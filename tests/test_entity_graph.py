@@ -30,3 +30,12 @@ def test_counted_edges_without_rare_ends(spark, tmp_path):
     assert {(r.source, r.target): r.n for r in every.collect()} == counts
     assert spark.read.parquet(f"{tmp_path}/a").where(F.col("key").startswith("only")).count() == 40
     assert "left_semi" in got._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftsemi", "left_semi")
+
+
+def test_edges_of_bounded_tasks(spark, monkeypatch):
+    """What a task joins doesn't grow with the table: no shuffle after the one that deals the mentions."""
+    monkeypatch.setattr(G, "TASK_MENTIONS", 10)
+    found = spark.createDataFrame([(m, f"k{k}") for m in range(20) for k in range(m % 5)], "memory_id long, key string")
+    edges = G.edges_at(G.dealt(found), spark.createDataFrame([("k0",)], "key string"))
+    assert {(r.memory_id, r.source, r.target) for r in edges.collect()} == {(m, "k0", f"k{k}") for m in range(20) for k in range(1, m % 5)}
+    assert G.dealt(found).rdd.getNumPartitions() == 4
