@@ -87,8 +87,8 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return _held(spark, sf_dir, "postings", make)
 
 
-def sparse(spark: SparkSession, sf_dir: str, among: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    return index(spark, sf_dir).search(questions(spark, sf_dir), among, limit=limit)
+def sparse(spark: SparkSession, sf_dir: str, among: DataFrame | None = None, limit: int | None = None, best: bool = False) -> DataFrame:
+    return index(spark, sf_dir).search(questions(spark, sf_dir), among, limit=limit, best=best)
 
 
 @query("sparse_index", """with dt as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
@@ -232,7 +232,7 @@ def hyde_union(spark, sf_dir):
 
 @query("node_dedup", f"with {_SPARSE} select chunk_id, max(score) as score from sparse group by 1")
 def node_dedup(spark, sf_dir):
-    return R.best_of_each(sparse(spark, sf_dir)).select("chunk_id", "score")
+    return R.best_of_each(sparse(spark, sf_dir, best=True)).select("chunk_id", "score")
 
 
 @query("bm25_topk", f"""with {_TOKENS} f as (select count(*) as n, (select avg(coalesce(size, 0)) from documents left join size on id = doc_id) as mean from documents),

@@ -83,3 +83,13 @@ def test_many_chosen_ids_move_no_text(spark, tmp_path, monkeypatch):
     got = index.search(asked, docs.select("chunk_id").where("chunk_id % 3 = 0"))
     assert sorted(tuple(r) for r in got.collect()) == want and want
     assert not any("terms#" in x for x in exchanged(got))
+
+
+def test_a_text_sends_its_best_question_alone(spark, tmp_path):
+    """Of texts with many questions only the best ones, and those equal when rounded, leave a batch; the best of each is the same."""
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i} d{i % 3}") for i in range(60)], "chunk_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(q, f"a b{q % 7} d{q % 3}") for q in range(42)], "query_id long, text string")  # each text is asked twice by the same words
+    index = R.SparseIndex.build(docs, str(tmp_path))
+    every, best = index.search(asked), index.search(asked, best=True)
+    rows = lambda df: sorted(tuple(r) for r in R.best_of_each(df).collect())
+    assert rows(best) == rows(every) and every.count() == 60 * 42 and best.count() == 60 * 2
