@@ -93,3 +93,18 @@ def test_a_text_sends_its_best_question_alone(spark, tmp_path):
     every, best = index.search(asked), index.search(asked, best=True)
     rows = lambda df: sorted(tuple(r) for r in R.best_of_each(df).collect())
     assert rows(best) == rows(every) and every.count() == 60 * 42 and best.count() == 60 * 2
+
+
+def test_postings_as_their_sql(spark, tmp_path):
+    """Rows without an id, a text or a word, and seldom terms; no text is moved."""
+    import duckdb
+
+    where = folder_of(spark, tmp_path, [(i, f"a b{i % 7} c{i} c{i}") for i in range(30)] + [(None, "a b1 c3"), (40, None), (41, "-"), (42, "")])
+    found = entry.queries()["sparse_index"](spark, where)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{where}/documents.parquet/*.parquet')")
+    want = con.execute(f"select id, term, unit, raw from ({entry.oracle_sql()['sparse_index']})").fetchall()
+    got = sorted(tuple(r) for r in found.select("id", "term", "unit", "raw").collect())
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)] and len(want) == 90
+    assert [r[2:] for r in got] == [pytest.approx(r[2:]) for r in sorted(want)]
+    assert not any("terms#" in x and "Generate" not in x for x in exchanged(found))
