@@ -103,10 +103,14 @@ def best_class(text: Column, classes: Mapping[str, Sequence[str]], default: str
     return out
 
 
+#: Space separators of Unicode, which SQL's trim takes.
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def title(text: Column) -> Column:
     """The first line that isn't blank, without leading # and *, if it has 4 to 99 characters."""
-    first = F.element_at(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1)
-    clean = F.regexp_replace(first, r"^[#*]+\s*", "")
+    first = F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_SPACES))), lambda x: x != ""), F.lit(0))  # null if all are blank
+    clean = F.regexp_replace(first, r"^[#*]+[ \t\n\f\r]*", "")
     return F.when((F.length(clean) > 3) & (F.length(clean) < 100), clean)
 
 

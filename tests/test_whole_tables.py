@@ -107,3 +107,14 @@ def test_notes_and_questions_of_every_row(spark, folder):
     got = {r.item_id: (r.doc_type, r.cleaned) for r in run(spark, where, "query_parse_all")}
     assert set(got) == {1, 2} and got[1] == ("insult", "zzz zzz") and got[2] == (None, "zzz")
     assert [r.item_id for r in run(spark, where, "query_parse")] == [2]
+
+
+def test_titles_of_blank_texts(spark, folder):
+    """A text without a line has no title; what is trimmed is what the SQL trims."""
+    import duckdb
+
+    texts = ["", "\n", "  \n \n", None, "# Title\nx", "\n\n  ** Bold line \n", "#" * 9, "\u00a0\n\u3000\nafter wide blanks", "\u00a0 inside \u2003", "#\x0bnot trimmed", "#\t\f tabs", "\t\nnext line", "abc", "a" * 99, "a" * 100]
+    where = folder(documents=spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCUMENTS))
+    sql = entry.oracle_sql()["title_extract"].replace("from documents", f"from '{where}/documents.parquet/*.parquet'")
+    want = dict(duckdb.sql(sql).fetchall())
+    assert {r.doc_id: r.title for r in run(spark, where, "title_extract")} == want and want[0] is None and want[4] == "Title"
