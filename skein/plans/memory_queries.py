@@ -143,10 +143,10 @@ def _texts(spark, sf_dir) -> DataFrame:
 @query("dedup_pairs", f"with {_SETS} select rep as a, doc_id as b, 1.0::double as similarity, 'member' as kind from c where doc_id <> rep union all select a, b, round(similarity, 6), 'pair' from p where similarity >= 0.8")
 def dedup_pairs(spark, sf_dir):
     """Copies are told by membership (member: b has the tokens of a), pairs are those of representatives."""
-    m = _texts(spark, sf_dir)
-    classes = M.token_classes(m)
+    sets = M.token_sets(_texts(spark, sf_dir))
+    classes = M.token_classes(sets)
     members = classes.where("memory_id <> rep").select(F.col("rep").alias("a"), F.col("memory_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
-    return members.unionByName(M.class_pairs(m, classes, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"), F.lit("pair").alias("kind")))
+    return members.unionByName(M.class_pairs(sets, classes, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"), F.lit("pair").alias("kind")))
 
 
 @query("dedup_jaccard", f"""with {_SETS}, e as (select a, b from p where similarity >= 0.8 union all select b, a from p where similarity >= 0.8 union all select distinct rep, rep from c),
