@@ -2,7 +2,7 @@
 
 Vectors are scaled to length one, so cosine is a dot product. Centres of cells and of the residuals' parts are fitted by Lloyd rounds on a bounded sample (TRAIN_ROWS rows, the
 ones of the least hashes); every vector is then put into its nearest centre's cell, as a folder of its own, with a code of one byte a part and the vector itself. A search takes each
-query's nearest cells, so other cells' folders are not opened; it reads codes alone, scores them by tables of the query's parts, keeps the best `rerank` of
+query's nearest cells, so other cells' folders are not opened; it reads codes alone, scores the vectors that they stand for, keeps the best `rerank` of
 each task and query, and scores these exactly by their vectors. probes=None asks all cells and skips the codes: the exact way.
 """
 
@@ -23,6 +23,10 @@ TRAIN_ROWS = 50_000
 MAX_CELLS = 4_096
 PARTS = 8
 ENTRIES = 256
+#: Distances and scores that are computed at a time.
+SCORES = 1 << 20
+#: Candidates that a task keeps at most, over all queries of a block.
+KEPT_ROWS = 4_000_000
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -32,21 +36,31 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         return centres
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        far = (centres * centres).sum(1)[None, :] - 2 * (x @ centres.T)
-        near = far.argmin(1)
+        near, far = _least(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         counts = np.bincount(near, minlength=len(centres))
         lost = np.flatnonzero(counts == 0)
         if len(lost):
-            order = np.argsort(-(far[np.arange(len(x)), near] + (x * x).sum(1)), kind="stable")
+            order = np.argsort(-(far + (x * x).sum(1)), kind="stable")
             sums[lost], counts[lost] = x[order[: len(lost)]], 1
         centres = sums / counts[:, None]
     return centres
 
 
+def _least(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and its squared distance without the row's own square; SCORES distances at a time."""
+    near, far, own = np.empty(len(x), np.int64), np.empty(len(x)), (centres * centres).sum(1)[None, :]
+    step = max(1, SCORES // len(centres))
+    for at in range(0, len(x), step):
+        some = own - 2 * (x[at : at + step] @ centres.T)
+        near[at : at + step] = some.argmin(1)
+        far[at : at + step] = some.min(1)
+    return near, far
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
+    return _least(x, centres)[0]
 
 
 @dataclass
@@ -125,42 +139,47 @@ class VectorIndex:
         return np.argsort(-(queries @ self.quantiser.cells.T), axis=1, kind="stable")[:, :probes]
 
     def candidates(self, ids: list, units: np.ndarray, probes: int, rerank: int) -> DataFrame:
-        """(query_id, id, cell, near): each query's best rows by their codes, at most `rerank` of each task's batch."""
+        """(query_id, id, cell, near): each query's best rows by their codes, at most `rerank` of each task. Tasks are as many as cores, so that the rows kept don't grow with the files."""
         made = self.quantiser
         cells = self.probed(units, probes)
-        asked: dict[int, list[int]] = {}
-        for q, own in enumerate(cells.tolist()):
-            for c in own:
-                asked.setdefault(c, []).append(q)
+        asked = np.zeros((len(units), len(made.cells)), bool)
+        np.put_along_axis(asked, cells, True, axis=1)
+        packed = np.packbits(asked, axis=1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = [units[:, a:b] @ book.T for (a, b), book in zip(made.cuts(), made.books, strict=True)]
-            base = units @ made.cells.T
-            for batch in batches:
-                names, cell = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-                code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(names), -1)
-                best: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
-                for c in np.unique(cell).tolist():
-                    at, own = np.flatnonzero(cell == c), asked.get(c, [])
-                    if own:
-                        near = base[own, c][:, None] + sum(t[own][:, code[at, s]] for s, t in enumerate(tables))
-                        for row, q in enumerate(own):
-                            best.setdefault(q, []).append((at, near[row], c))
-                out_q, out_i, out_c, out_n = [], [], [], []
-                for q, found in best.items():
-                    at, near = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                    if len(at) > rerank:
-                        top = np.argpartition(-near, rerank - 1)[:rerank]
-                        at, near = at[top], near[top]
-                    out_q += [ids[q]] * len(at)
-                    out_i.append(names[at])
-                    out_c.append(cell[at])
-                    out_n.append(near)
-                if out_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_i)), pa.array(np.concatenate(out_c).astype(np.int32)), pa.array(np.concatenate(out_n))], ["query_id", "id", "cell", "near"])
-
-        scanned = self.rows.where(F.col("cell").isin(sorted(asked))).select("id", "code", "cell")
-        return scanned.mapInArrow(run, "query_id long, id long, cell int, near double")
+            q = np.asarray(ids, np.int64)
+            near, name, of = np.full((len(q), rerank), -np.inf), np.zeros((len(q), rerank), np.int64), np.zeros((len(q), rerank), np.int32)
+            for whole in batches:
+                for start in range(0, whole.num_rows, 8192):
+                    batch = whole.slice(start, 8192)
+                    names, cell = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+                    code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(names), -1)
+                    x = made.cells[cell] + np.concatenate([book[code[:, s]] for s, book in enumerate(made.books)], axis=1)  # what the codes stand for
+                    step = max(1, SCORES // (len(names) + rerank))
+                    for at in range(0, len(q), step):
+                        own = slice(at, at + step)
+                        scores = units[own] @ x.T
+                        scores[np.unpackbits(packed[own], axis=1, count=len(made.cells))[:, cell] == 0] = -np.inf
+                        better = np.flatnonzero((scores > near[own].min(axis=1, keepdims=True)).any(axis=1))
+                        if not len(better):
+                            continue
+                        rows = better + at
+                        both = np.concatenate([near[rows], scores[better]], axis=1)
+                        top = np.argpartition(-both, rerank - 1, axis=1)[:, :rerank]
+                        old, new = top < rerank, np.maximum(top - rerank, 0)
+                        pick = np.minimum(top, rerank - 1)
+                        name[rows] = np.where(old, np.take_along_axis(name[rows], pick, 1), names[new])
+                        of[rows] = np.where(old, np.take_along_axis(of[rows], pick, 1), cell[new])
+                        near[rows] = np.take_along_axis(both, top, 1)
+            step = max(1, 65_536 // rerank)
+            for at in range(0, len(q), step):
+                i, j = np.nonzero(near[at : at + step] > -np.inf)
+                i += at
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(name[i, j]), pa.array(of[i, j]), pa.array(near[i, j])], ["query_id", "id", "cell", "near"])
+
+        scanned = self.rows.where(F.col("cell").isin(np.unique(cells).tolist())).select("id", "code", "cell")
+        return scanned.coalesce(self.spark.sparkContext.defaultParallelism).mapInArrow(run, "query_id long, id long, cell int, near double")
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, rerank: int | None = None, digits: int = 6) -> DataFrame:
         """(query_id, chunk_id, score, rank): the k best of each query (query_id long, vector). Queries go out in blocks of bounded bytes."""
@@ -170,7 +189,7 @@ class VectorIndex:
         rerank = rerank or 10 * k
         size = self.quantiser.cells.shape[1]
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("q"))
-        blocks = max(1, -(-(asked.count() * size * 8) // retrieval.VECTOR_BYTES))
+        blocks = max(1, -(-(asked.count() * max(size * 8 * KEPT_ROWS, rerank * retrieval.VECTOR_BYTES)) // (retrieval.VECTOR_BYTES * KEPT_ROWS)))
         found = None
         for b in range(blocks):
             rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked).toArrow().combine_chunks().to_batches()  # about VECTOR_BYTES

@@ -47,3 +47,34 @@ def test_best_rows_leave_the_batch(spark):
     every, cut = R.dense_search(queries, vectors), R.dense_search(queries, vectors, limit=5)
     rows = lambda df: sorted(tuple(r) for r in R.top_k(df, 5).collect())
     assert rows(every) == rows(cut) and cut.count() < 9 * 30 < every.count()
+
+
+def test_what_a_task_keeps_is_bounded(spark, tmp_path, monkeypatch):
+    """Tasks are as many as cores, and each keeps a query's best rows over all its files; scores are made in slices of queries."""
+    from skein.operators import ann
+
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(size=8).tolist()) for i in range(1200)]
+    vectors = spark.createDataFrame(data, "chunk_id long, embedding array<double>").repartition(4)
+    index = VectorIndex.build(vectors, str(tmp_path / "v"))
+    ids = list(range(40))
+    units = R._units(np.array([data[i][1] for i in ids]))
+    cells = len(index.quantiser.cells)
+    whole = {(r.query_id, r.id) for r in R.top_k(index.candidates(ids, units, cells, 10), 10, "near", tie="id").collect()}
+    monkeypatch.setattr(ann, "SCORES", 500)
+    found = index.candidates(ids, units, cells, 10)
+    cores = spark.sparkContext.defaultParallelism
+    assert found.rdd.getNumPartitions() <= cores and found.count() <= cores * len(ids) * 10
+    assert {(r.query_id, r.id) for r in R.top_k(found, 10, "near", tie="id").collect()} == whole and len(whole) == 400
+    monkeypatch.setattr(ann, "KEPT_ROWS", 100)
+    queries = spark.createDataFrame([data[i] for i in ids[:12]], "query_id long, vector array<double>")
+    assert index.search(queries, 3, cells, 20).count() == 36
+
+
+def test_later_batches_send_only_better_rows(spark):
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(6000)], "chunk_id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "query_id long, vector array<double>")
+    every, cut = R.dense_search(queries, vectors), R.dense_search(queries, vectors, limit=5)
+    rows = lambda df: sorted(tuple(r) for r in R.top_k(df, 5).collect())
+    assert rows(every) == rows(cut) and cut.count() < 9 * 5 * 4
